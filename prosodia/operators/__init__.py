@@ -1,0 +1 @@
+"""Operators of the spoken-text and speech-signal engine."""

@@ -1,0 +1 @@
+"""Plans of the spoken-text and speech-signal engine."""

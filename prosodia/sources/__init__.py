@@ -1,0 +1 @@
+"""Sources of the spoken-text and speech-signal engine."""

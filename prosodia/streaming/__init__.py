@@ -1,0 +1 @@
+"""Streaming of the spoken-text and speech-signal engine."""
