@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -42,3 +43,8 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     if pa.types.is_large_string(column.type):
         return column.cast(pa.large_binary()).to_pylist()
     return column.cast(pa.binary()).to_pylist()
+
+
+def process_store() -> dict:
+    """What a Python worker keeps from task to task: vocabularies and the like, by key."""
+    return sys.__dict__.setdefault("_prosodia_process_store", {})
