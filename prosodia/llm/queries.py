@@ -73,3 +73,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosodia.llm.decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosodia.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosodia.llm.secret_scan import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents", "doc_id", "text")))
