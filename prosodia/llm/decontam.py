@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SHINGLE, SIMILARITY, CHUNK = 5, 0.8, 5_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -138,6 +139,17 @@ class Index:
                             out[item] = (score, start, n)
 
 
+def _chunks(benchmark: DataFrame, chunk: int, item_col: str, item_text_col: str) -> Iterator[list[tuple]]:
+    """The items in order, ``chunk`` at a time; one empty list for an empty benchmark."""
+    held: list[tuple] = []
+    for row in benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).orderBy("item", "text").toLocalIterator():
+        held.append((row["item"], row["text"]))
+        if len(held) == chunk:
+            yield held
+            held = []
+    yield held
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -168,18 +180,11 @@ def contaminated(
             T.StructField("n_words", T.LongType()),
         ]
     )
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).orderBy("item", "text")
-    chunks, held = [], []
-    for row in items.toLocalIterator():
-        held.append((row["item"], row["text"]))
-        if len(held) == chunk:
-            chunks.append(held)
-            held = []
-    chunks.append(held)
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     spark = docs.sparkSession
+    arrow_item = to_arrow_type(item_kind)
     out = None
-    for part in chunks:
+    for part in _chunks(benchmark, chunk, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -196,9 +201,30 @@ def contaminated(
                 rest = [pa.array(columns[2], pa.float64()), *(pa.array(c, k) for c, k in zip(columns[3:], kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], type=arrow_item), *rest], [f.name for f in schema.fields])
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        arrow_item = to_arrow_type(item_kind)
         found = slim.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    similarity: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    chunk: int = CHUNK,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no item in the sense of contaminated(). Nothing is shuffled."""
+    column = docs.columns.index(text_col)
+    for part in _chunks(benchmark, chunk, item_col, item_text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(list(enumerate(text for _, text in sent.value)), shingle, similarity)
+            for batch in batches:
+                yield batch.filter(pa.array([not index.matches(t) for t in batch.column(column).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -127,6 +127,21 @@ def learn(
     return langs, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def _judged(texts: list[str | None], langs: list[str], prototypes: np.ndarray, seed: int) -> tuple[list[str], list[float]]:
+    here, names, scores = space(prototypes.shape[1], seed), [], []
+    for text in texts:
+        one = here.bundle(text) if langs else None
+        if one is None:
+            names.append(UNKNOWN)
+            scores.append(0.0)
+            continue
+        near = prototypes @ one / max(float(np.linalg.norm(one)), 1e-9)
+        best = int(np.argmax(near))
+        names.append(langs[best])
+        scores.append(min(1.0, max(0.0, float(near[best]))))
+    return names, scores
+
+
 def predict(
     docs: DataFrame, langs: list[str], prototypes: np.ndarray, seed: int = 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -136,22 +151,10 @@ def predict(
     letter and all texts where nothing was learnt are ``und`` with score 0; equal cosines take the first language in
     order. Further columns of ``docs`` are ignored.
     """
-    dimensions = prototypes.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = space(dimensions, seed)
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(2).to_pylist():
-                one = here.bundle(text) if langs else None
-                if one is None:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                near = prototypes @ one / max(float(np.linalg.norm(one)), 1e-9)
-                best = int(np.argmax(near))
-                names.append(langs[best])
-                scores.append(min(1.0, max(0.0, float(near[best]))))
+            names, scores = _judged(batch.column(2).to_pylist(), langs, prototypes, seed)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
             )
@@ -165,3 +168,21 @@ def predict(
         ]
     )
     return docs.select(F.col(id_col), held_out(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def recognised(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = 0.1, seed: int = 20, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has letters and is at least ``least`` like some learnt language. Rows
+    are filtered where they are read; nothing is shuffled. Where nothing was learnt, texts with a letter stay."""
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(column).to_pylist()
+            if langs:
+                names, scores = _judged(texts, langs, prototypes, seed)
+                keep = [n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]
+            else:
+                keep = [any(map(str.isalpha, t or "")) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -87,3 +87,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosodia.llm.secret_scan import digest, scan
 
     return digest(scan(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query
+def op9_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosodia.llm.pii import scan
+
+    return scan(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -8,7 +8,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,15 +18,30 @@ from prosodia.llm.shared import materialise, utf8
 SEED = 42
 
 
+def _again(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Another hash for each further table, mixed from the first."""
+    if not table:
+        return hashes
+    with np.errstate(over="ignore"):
+        h = hashes ^ np.uint64(0x9E3779B97F4A7C15 * table & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ (h >> np.uint64(33))
+
+
 def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash of the word shingles of one UTF-8 text, as an unsigned integer.
+    return fingerprint_tables(text, width, 1)[0]
+
+
+def fingerprint_tables(text: bytes | None, width: int = 3, tables: int = 1) -> list[int]:
+    """64-bit SimHashes of the word shingles of one UTF-8 text, as unsigned integers, one for each table.
 
     Words are runs of bytes other than space and \\t-\\r after lower-casing A-Z; repeated shingles count each time. Fewer
     words than ``width`` make one shingle, no word (or a null) makes zero.
     """
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * tables
     if len(words) <= width:
         shingles = iter([b" ".join(words)])
         n = 1
@@ -34,23 +49,24 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
         n = len(words) - width + 1
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((tables, 64), np.int64)
     for at in range(0, n, 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        for table in range(tables):
+            part = _again(hashes[at : at + (1 << 16)], table).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones[table] += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(row.tobytes(), "little") for row in np.packbits(2 * ones > n, axis=1, bitorder="little")]
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row, fp the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, fp1, ...): one row per input row, the fingerprint of each table's 64 bits as a signed long."""
+    names = ["fp", *(f"fp{t}" for t in range(1, tables))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in utf8(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint_tables(t, width, tables) for t in utf8(batch.column(1))], np.uint64).reshape(-1, tables).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, t])) for t in range(tables))], ["doc_id", *names])
 
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
@@ -61,10 +77,13 @@ def _masks(blocks: int, equal: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(block, equal))]
 
 
-def _balls(radius: int) -> list[int]:
-    """Signed masks with at most ``radius`` bits set."""
-    found = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(64), r)]
-    return [m - (1 << 64) if m >> 63 else m for m in found]
+def _flips(radius: int) -> Column:
+    """An array of all masks with at most ``radius`` bits set."""
+    one = F.array(F.lit(0), *(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64))).cast("array<long>")
+    out = one
+    for _ in range(radius - 1):
+        out = F.flatten(F.transform(out, lambda x: F.transform(one, lambda y: x.bitwiseXOR(y))))
+    return F.array_distinct(out) if radius > 1 else out
 
 
 def links(fps: DataFrame, radius: int = 2, blocks: int = 4, crowd: int = 32) -> DataFrame:
@@ -91,26 +110,35 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 4, crowd: int = 32) ->
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     )
     crowded = near.where(F.col("n") > crowd).select("fp").distinct()
-    flips = F.array(*(F.lit(m) for m in _balls(1))) if radius == 2 else F.array(*(F.lit(m) for m in _balls(radius // 2)))
-    around = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.expr("fp ^ flip").alias("mid"))
+    around = crowded.select("fp", F.explode(_flips(radius // 2)).alias("flip")).select("fp", F.expr("fp ^ flip").alias("mid"))
     heads = around.groupBy("mid").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
     hung = around.join(heads, "mid").where("fp != head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
     return pairs.unionAll(hung)
 
 
 def near_duplicates(
-    docs: DataFrame, radius: int = 2, width: int = 3, blocks: int = 4, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, radius: int = 2, width: int = 3, blocks: int = 4, tables: int = 1, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per input row.
 
-    Documents are linked when their fingerprints differ in at most ``radius`` bits; component_id is the smallest doc_id
+    Documents are linked when their fingerprints differ in at most ``radius`` bits, in any of ``tables`` independent
+    SimHashes (a pair that one of them just misses is caught by another); fingerprint is the first. component_id is the smallest doc_id
     that links reach, the document's own included. Null and blank texts have fingerprint zero and are linked like any
     other. Rows with a null id keep their row; component_id is null only if no document of the component has an id.
     Repeated rows come out as often as they came in; further columns of ``docs`` are ignored. An empty table gives none.
     """
-    printed = materialise(fingerprints(docs, width, id_col, text_col))
+    printed = materialise(fingerprints(docs, width, tables, id_col, text_col))
     prints = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(prints.select("fp"), radius, blocks, crowd))
+    edges = links(prints.select("fp"), radius, blocks, crowd)
+    for table in range(1, tables):
+        here = printed.select("fp", F.col(f"fp{table}").alias("other")).distinct()
+        heads = materialise(here.groupBy("other").agg(F.min("fp").alias("head")))
+        hung = here.join(heads, "other").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+        met = links(heads.select(F.col("other").alias("fp")), radius, blocks, crowd)
+        for side in ("a", "b"):
+            met = met.join(heads.select(F.col("other").alias(side), F.col("head").alias(f"head_{side}")), side)
+        edges = edges.unionAll(hung).unionAll(met.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+    roots = connected_components(edges)
     member = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = member.join(lowest, "root").select("fp", "component_id")
