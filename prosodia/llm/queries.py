@@ -94,3 +94,10 @@ def op9_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosodia.llm.pii import scan
 
     return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosodia.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
