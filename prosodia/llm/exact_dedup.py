@@ -81,8 +81,12 @@ def exact_classes(
     classes = materialise(met.unionByName(screened.where("not hit").drop("hit")))
 
     several = classes.where("n > 1").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
+    # Ids meet their classes first, without texts; texts then meet ids, whose keys no group of copies makes frequent.
+    wanted = rows.select("doc_id", "digest").distinct().join(several.select("digest", "keep_id", "salts"), "digest")
+    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "keep_id", "salts")
     texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    member = texts.join(several, "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    member = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).drop("_id", "_digest")
+    member = materialise(member.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))
     stays = member.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "salts").agg(F.min("norm").alias("stays"))
     stays = stays.select("digest", "stays", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     checked = member.join(stays, ["digest", "salt"]).select(

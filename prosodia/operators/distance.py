@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosodia.functions.arrow import arrow
+
 _DROPPED, _BLANKS = re.compile(r"[^0-9A-Za-z_ \t\n\r\f]"), re.compile(r"[ \t\n\r\f]+")
 
 
@@ -71,7 +73,7 @@ def wer(reference: str | None, hypothesis: str | None) -> dict:
     return {"wer": rate, "subs": s, "ins": i, "dels": d, "total_ref": len(a), "total_hyp": len(b), "errors": errors}
 
 
-@F.pandas_udf(_WER)
+@arrow(_WER)
 def wer_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in _WER.split(", ")]
     for refs, hyps in batches:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosodia.functions.arrow import arrow
+
 RATE = 24_000
 
 
@@ -237,7 +239,7 @@ def insert_clause_pauses(x: np.ndarray, n_tokens: int, places: list[int], n: int
 def kernel(function: Callable, returns: str) -> Callable[[Column], Column]:
     """A kernel over one array of samples as an Arrow-batched column."""
 
-    @F.pandas_udf(returns)
+    @arrow(returns)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(function)

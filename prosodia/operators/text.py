@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosodia.functions.arrow import arrow
 from prosodia.functions.constants import ABBREVIATIONS, CLOSING, FUNCTION_WORDS, STRIPPED, STRIPPED_FOR_CONTEXT, VOCABULARY
 
 MAX_TOKENS, SPACE = 509, 16
@@ -70,7 +71,7 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in out if s]
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def sentences_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: None if t is None else split_sentences(t))
@@ -225,7 +226,7 @@ def segments(tokens: list[int], most: int = MAX_TOKENS) -> list[list[int]]:
     return out
 
 
-@F.pandas_udf("array<array<long>>")
+@arrow("array<array<long>>")
 def segments_of(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in tokens:
         yield batch.map(lambda t: None if t is None else segments(list(map(int, t))))

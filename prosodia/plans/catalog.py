@@ -1,10 +1,773 @@
-"""The registered queries of the engine and their SQL twins."""
+"""The registered queries of the engine and their SQL twins.
+
+A query takes (spark, sf_dir) and runs over whole tables. Floats are rounded to six decimals on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from prosodia.functions import numbers as say
+from prosodia.functions.constants import CAPITAL_WORDS, LETTERS, SPOKEN_FUNCTION_WORDS, VOCABULARY
+from prosodia.functions.phonology import past_column, possessive_column, syllables, will_column
+from prosodia.operators import alignment as al
+from prosodia.operators import distance, homographs, lexicon, signal, text
+from prosodia.session import table
+from prosodia.streaming import serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return put
+
+
+def _values(rows, columns: str) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"(VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+def _listed(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
+
+
+# --- words and lexicon ----------------------------------------------------------------------------------------------
+
+STRIP_SQL = r"""[.,!?;:"()\[\]{}*'“”—…-]"""
+WORDS_SQL = r"""
+raw AS (SELECT doc_id, lang, regexp_split_to_array(text, '\s+') AS ws FROM documents),
+placed AS (SELECT doc_id, lang, unnest(ws) AS word, unnest(range(len(ws)))::INT AS pos FROM raw),
+words AS (SELECT * FROM placed WHERE word <> '')"""
+CORES_SQL = WORDS_SQL + rf""",
+cores AS (SELECT doc_id, pos, lower(regexp_replace(word, '^{STRIP_SQL}+|{STRIP_SQL}+$', '', 'g')) AS word FROM words WHERE lang = 'en'),
+occurrences AS (SELECT * FROM cores WHERE word <> '')"""
+
+CANDIDATES_SQL = r"""
+tried AS (
+  SELECT word, 0 AS rank, word AS base, '' AS rule FROM distinct_words
+  UNION ALL SELECT word, 1, left(word, length(word) - 2), '''s' FROM distinct_words WHERE ends_with(word, '''s')
+  UNION ALL SELECT word, 2, left(word, length(word) - 3) || 'y', '-ies' FROM distinct_words WHERE ends_with(word, 'ies') AND strlen(word) > 4
+  UNION ALL SELECT word, 3, left(word, length(word) - 1), '-s' FROM distinct_words WHERE ends_with(word, 's') AND strlen(word) > 1
+  UNION ALL SELECT word, 4, left(word, length(word) - 3) || 'e', '-ing' FROM distinct_words WHERE ends_with(word, 'ing') AND strlen(word) > 4
+  UNION ALL SELECT word, 5, left(word, length(word) - 3), '-ing' FROM distinct_words WHERE ends_with(word, 'ing') AND strlen(word) > 4
+  UNION ALL SELECT word, 6, left(word, length(word) - 4) || 'y', '-ing' FROM distinct_words WHERE ends_with(word, 'ying') AND strlen(word) > 5
+  UNION ALL SELECT word, 7, left(word, length(word) - 4), '-ing' FROM distinct_words WHERE ends_with(word, 'ing') AND strlen(word) > 4 AND length(word) >= 5 AND substr(word, length(word) - 3, 1) = substr(word, length(word) - 4, 1)
+  UNION ALL SELECT word, 8, left(word, length(word) - 2), '-es' FROM distinct_words WHERE ends_with(word, 'es') AND strlen(word) > 3
+  UNION ALL SELECT word, 9, left(word, length(word) - 2) || 'e', '-ed' FROM distinct_words WHERE ends_with(word, 'ed') AND strlen(word) > 3
+  UNION ALL SELECT word, 10, left(word, length(word) - 2), '-ed' FROM distinct_words WHERE ends_with(word, 'ed') AND strlen(word) > 3
+  UNION ALL SELECT word, 11, left(word, length(word) - 3), '-ed' FROM distinct_words WHERE ends_with(word, 'ed') AND strlen(word) > 3 AND length(word) >= 4 AND substr(word, length(word) - 2, 1) = substr(word, length(word) - 3, 1)
+  UNION ALL SELECT word, 12, left(word, length(word) - 3) || 'y', '-ed' FROM distinct_words WHERE ends_with(word, 'ied') AND strlen(word) > 4
+),"""
+POSSESSIVE_SQL = "CASE WHEN right({0}, 1) IN ('s', 'z', 'ʃ', 'ʒ', 'ʧ', 'ʤ') THEN 'ɪz' WHEN right({0}, 1) IN ('p', 't', 'k', 'f', 'θ') THEN 's' ELSE 'z' END"
+PAST_SQL = "CASE WHEN right({0}, 1) IN ('t', 'd') THEN 'ᵻd' WHEN right({0}, 1) IN ('p', 'k', 'f', 'θ', 's', 'ʃ', 'ʧ') THEN 't' ELSE 'd' END"
+WILL_SQL = f"CASE WHEN right({{0}}, 1) IN ({_listed('aeiouɑæɛɪʊʌɔəᵊɜɐAIOWY')}) THEN 'l' ELSE 'ᵊl' END"
+LOOKED_UP_SQL = (
+    CANDIDATES_SQL
+    + f"""
+lexicon AS (SELECT * FROM {_values(lexicon.SMALL, 'tier, base, ipa')}),
+ranked AS (SELECT t.word, l.tier, l.ipa, t.rule, row_number() OVER (PARTITION BY t.word, l.tier ORDER BY t.rank) AS k FROM tried t JOIN lexicon l USING (base)),
+found AS (SELECT word, tier, rule, CASE WHEN rule IN ('''s', '-s', '-es') THEN ipa || {POSSESSIVE_SQL.format('ipa')}
+  WHEN rule = '-ies' THEN ipa || 'z' WHEN rule = '-ing' THEN ipa || 'ɪŋ' WHEN rule = '-ed' THEN ipa || {PAST_SQL.format('ipa')} ELSE ipa END AS ipa
+  FROM ranked WHERE k = 1)"""
+)
+DIAGNOSED_SQL = (
+    f"WITH {CORES_SQL}, distinct_words AS (SELECT DISTINCT word FROM occurrences), {LOOKED_UP_SQL}"
+    + """,
+wide AS (SELECT w.word, c.ipa AS c_ipa, c.rule AS c_rule, g.ipa AS g_ipa, g.rule AS g_rule, s.ipa AS s_ipa, s.rule AS s_rule FROM distinct_words w
+  LEFT JOIN found c ON c.word = w.word AND c.tier = 'custom' LEFT JOIN found g ON g.word = w.word AND g.tier = 'gold' LEFT JOIN found s ON s.word = w.word AND s.tier = 'silver'),
+resolved AS (SELECT word,
+  CASE WHEN word IN ('a', 'the') THEN 'builtin' WHEN c_ipa IS NOT NULL THEN 'custom' WHEN g_ipa IS NOT NULL THEN 'gold' WHEN s_ipa IS NOT NULL THEN 'silver' ELSE 'skip' END AS source,
+  CASE WHEN word = 'a' THEN 'ə' WHEN word = 'the' THEN 'ðə' ELSE coalesce(c_ipa, g_ipa, s_ipa, '') END AS ipa,
+  CASE WHEN word IN ('a', 'the') THEN '' WHEN c_ipa IS NOT NULL THEN c_rule WHEN g_ipa IS NOT NULL THEN g_rule WHEN s_ipa IS NOT NULL THEN s_rule ELSE '' END AS rule FROM wide),
+diagnosed AS (SELECT o.doc_id, o.pos, o.word, r.source, r.ipa, r.rule FROM occurrences o JOIN resolved r USING (word))
+"""
+)
+
+
+def _docs(spark: SparkSession, sf_dir: str, english: bool = False) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return docs.where("lang = 'en'") if english else docs
+
+
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = text.words(_docs(spark, sf_dir, english=True))
+    return ws.select("doc_id", "pos", F.lower(text.strip_edges(F.col("word"))).alias("word")).where("word != ''")
+
+
+def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.diagnose(_occurrences(spark, sf_dir), lexicon.small_lexicon(spark))
+
+
+@query(DIAGNOSED_SQL + "SELECT source, count(*) AS n FROM diagnosed GROUP BY source")
+def source_breakdown(spark, sf_dir):
+    counts = _occurrences(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
+    resolved = lexicon.cascade(counts.select("word"), lexicon.small_lexicon(spark))
+    return counts.join(resolved, "word").groupBy("source").agg(F.sum("n").alias("n"))
+
+
+@query(
+    DIAGNOSED_SQL
+    + """SELECT source, word, count(*) AS n, min(struct_pack(doc_id := doc_id, pos := pos)).doc_id AS first_doc_id,
+min(struct_pack(doc_id := doc_id, pos := pos)).pos AS first_pos FROM diagnosed WHERE source IN ('skip', 'silver') GROUP BY source, word"""
+)
+def oov_inventory(spark, sf_dir):
+    rows = _diagnosed(spark, sf_dir).where("source in ('skip', 'silver')")
+    return lexicon.inventory(rows, ["doc_id", "pos"])
+
+
+@query(f"WITH {CORES_SQL}, distinct_words AS (SELECT DISTINCT word FROM occurrences), {LOOKED_UP_SQL} SELECT word, tier, ipa, rule FROM found")
+def suffix_resolution(spark, sf_dir):
+    return lexicon.resolve(_occurrences(spark, sf_dir).select("word").distinct(), lexicon.small_lexicon(spark))
+
+
+@query(
+    f"SELECT tier, base AS word, ipa || {POSSESSIVE_SQL.format('ipa')} AS possessive, ipa || {PAST_SQL.format('ipa')} AS past, ipa || {WILL_SQL.format('ipa')} AS will "
+    f"FROM {_values(lexicon.SMALL, 'tier, base, ipa')}"
+)
+def possessive_phonology(spark, sf_dir):
+    ipa = F.col("ipa")
+    put = lambda column, name: F.concat(ipa, column(ipa)).alias(name)
+    return lexicon.small_lexicon(spark).select("tier", "word", put(possessive_column, "possessive"), put(past_column, "past"), put(will_column, "will"))
+
+
+@query(
+    f"SELECT tier, count(*) AS entries, left(sha256(string_agg(base || chr(0) || ipa || chr(0), '' ORDER BY encode(base || chr(0) || ipa))), 16) AS digest FROM {_values(lexicon.SMALL, 'tier, base, ipa')} GROUP BY tier"
+)
+def lexicon_fingerprint(spark, sf_dir):
+    return lexicon.fingerprint(lexicon.small_lexicon(spark))
+
+
+_VOCAB_SQL = _values(sorted(VOCABULARY.items()), "ch, id")
+
+
+@query(
+    f"""WITH vocab AS (SELECT * FROM {_VOCAB_SQL}), chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents)
+SELECT d.doc_id, coalesce(t.n_tokens, 0) AS n_tokens, coalesce(t.n_lossy, 0) AS n_lossy FROM documents d LEFT JOIN (
+SELECT c.doc_id, count(v.id) AS n_tokens, count(DISTINCT CASE WHEN v.id IS NULL THEN c.ch END) AS n_lossy FROM chars c LEFT JOIN vocab v ON v.ch = c.ch WHERE c.ch <> '' GROUP BY c.doc_id) t USING (doc_id)"""
+)
+def token_counts(spark, sf_dir):
+    rows = _docs(spark, sf_dir)
+    # Ids are needed one at a time here, so removing what the vocabulary has and lacks counts them without an array.
+    known = "[" + "".join("\\" + c if c in "\\[]^-&" else c for c in sorted(VOCABULARY)) + "]"
+    n = F.char_length(F.regexp_replace("text", "[^" + known[1:], ""))
+    rest = F.array_distinct(F.filter(F.split(F.regexp_replace("text", known, ""), ""), lambda c: c != ""))
+    return rows.select("doc_id", n.cast("long").alias("n_tokens"), F.size(rest).cast("long").alias("n_lossy"))
+
+
+@query(
+    f"""WITH {WORDS_SQL} SELECT word, count(*) AS n, CASE WHEN n_groups > 1 AND strlen(letters) > 2 AND regexp_matches(letters, '[^l]e$') THEN n_groups - 1 ELSE greatest(n_groups, 1) END::INT AS syllables
+FROM (SELECT word, regexp_replace(lower(word), '[^\\p{{L}}]', '', 'g') AS letters, len(regexp_extract_all(regexp_replace(lower(word), '[^\\p{{L}}]', '', 'g'), '[aeiouy]+')) AS n_groups FROM words)
+GROUP BY word, syllables"""
+)
+def syllable_counts(spark, sf_dir):
+    counts = text.words(_docs(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"))
+    return counts.select("word", "n", syllables(F.col("word")).alias("syllables"))
+
+
+# --- paragraphs, sentences, normalisation ---------------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents), u AS (SELECT doc_id, unnest(ps) AS paragraph, unnest(range(len(ps)))::INT AS para FROM p)
+SELECT doc_id, para, length(trim(paragraph)) AS n_chars FROM u WHERE trim(paragraph) <> ''"""
+)
+def paragraph_lengths(spark, sf_dir):
+    return text.paragraphs(_docs(spark, sf_dir), pattern="\n").select("doc_id", "para", F.char_length("paragraph").cast("long").alias("n_chars"))
+
+
+_PLAIN_SENTENCE = r"[^.!?]*[.!?]+[\"”’)']*|[^.!?]+$"
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '{_PLAIN_SENTENCE.replace("'", "''")}'), x -> trim(x)), x -> x <> '') AS ss FROM documents)
+SELECT doc_id, len(ss) AS n_sentences, coalesce(list_max(list_transform(ss, x -> length(x))), 0) AS longest FROM s"""
+)
+def sentence_lengths(spark, sf_dir):
+    """The plain splitter, which breaks at every end sign."""
+    flat = F.regexp_replace("text", "\n", " ")
+    found = F.filter(F.transform(F.regexp_extract_all(flat, F.lit(_PLAIN_SENTENCE), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    longest = F.coalesce(F.array_max(F.transform(found, lambda x: F.char_length(x))), F.lit(0))
+    return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_sentences"), longest.cast("long").alias("longest"))
+
+
+@query()
+def sentences_exact(spark, sf_dir):
+    """The guarded splitter: abbreviations, decimals and initials keep their dots."""
+    return text.sentences(text.paragraphs(_docs(spark, sf_dir), pattern="\n")).select("doc_id", "para", "sent", "sentence")
+
+
+_L, _R = "(^|[^0-9A-Za-z_])", "([^0-9A-Za-z_]|$)"
+STATIC_SQL = "text"
+for _pattern, _put in (
+    (r"`+([^`]+)`+", r"\1"),
+    (r"\*{3}([^*]+)\*{3}", r"\1"),
+    (r"\*{2}([^*]+)\*{2}", r"\1"),
+    (r"\*([^*]+)\*", r"\1"),
+    ("[’‘]", "''"),
+    (r"\n[ \t\n\r\f]*\n", ".\n"),
+    (r"[\t\n\f\r]", " "),
+    (r"[ ]*±[ ]*", " plus or minus "),
+    ("[=_]", " "),
+    ("&", " and "),
+    ("≈", " approximately "),
+    ("§", " section "),
+    (" +", " "),
+    ("[—–]", " — "),
+    (r"\.\.\.|…", " … "),
+    (r"\b([A-Z])/([A-Z])\b", r"\1 \2"),
+    ("([0-9])([A-Za-z])", r"\1 \2"),
+    ("([A-Za-z])([0-9])", r"\1 \2"),
+    (r"\.\.", "."),
+    (" +", " "),
+):
+    _options = "'g'"
+    STATIC_SQL = f"regexp_replace({STATIC_SQL}, '{_pattern}', E'{_put}', {_options})" if "\n" in _put else f"regexp_replace({STATIC_SQL}, '{_pattern}', '{_put}', {_options})"
+STATIC_SQL = STATIC_SQL.replace("regexp_replace(text,", r"regexp_replace(regexp_replace(text, '(?m)^#{1,6}[ \t\n\r\f]+', '', 'g'),", 1)
+
+
+@query(f"SELECT doc_id, sha256(trim({STATIC_SQL})) AS text_sha256, length(trim({STATIC_SQL})) AS n_chars FROM documents")
+def static_normalize(spark, sf_dir):
+    from prosodia.functions.normalizer import static_steps
+
+    rows = _docs(spark, sf_dir).select("doc_id", static_steps(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.char_length("t").cast("long").alias("n_chars"))
+
+
+@query()
+def normalize_exact(spark, sf_dir):
+    from prosodia.functions.normalizer import normalized
+
+    words = frozenset(w for _, w, _ in lexicon.SMALL)
+    return _docs(spark, sf_dir).select("doc_id", normalized(F.col("text"), words).alias("spoken"))
+
+
+_LETTERS_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LETTERS.items()) + " END"
+_CAPITALS = r"(?<![0-9A-Za-z_])[A-Z]{2,4}(?![0-9A-Za-z_])"
+
+
+@query(
+    rf"""WITH f AS (SELECT unnest(regexp_extract_all(text, '\b[A-Z]{{2,4}}\b')) AS acronym FROM documents), n AS (SELECT acronym, count(*) AS n FROM f GROUP BY acronym)
+SELECT acronym, n, CASE WHEN acronym IN ({_listed(CAPITAL_WORDS)}) THEN lower(acronym)
+ELSE array_to_string(list_transform(string_split(acronym, ''), c -> {_LETTERS_SQL}), ' ') END AS said FROM n"""
+)
+def acronym_expand(spark, sf_dir):
+    found = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(_CAPITALS), F.lit(0))).alias("acronym"))
+    names = F.create_map(*(F.lit(x) for pair in LETTERS.items() for x in pair))
+    letters = F.filter(F.split("acronym", ""), lambda c: c != "")
+    said = F.when(F.col("acronym").isin(*sorted(CAPITAL_WORDS)), F.lower("acronym")).otherwise(F.array_join(F.transform(letters, lambda c: F.element_at(names, c)), " "))
+    return found.groupBy("acronym").agg(F.count("*").alias("n")).withColumn("said", said)
+
+
+@query(
+    rf"""WITH {WORDS_SQL}, marked AS (SELECT doc_id, pos, word, regexp_matches(word, '^[A-Z]{{2,}}[.!?,;:]*$') AS caps, regexp_matches(word, '[.!?]$') AS stops FROM words),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, caps ORDER BY pos) AS run FROM marked WHERE caps)
+SELECT doc_id, run, count(*) AS n_words, min(pos) AS first_pos FROM (SELECT * FROM runs) GROUP BY doc_id, run"""
+)
+def caps_runs(spark, sf_dir):
+    rows = text.words(_docs(spark, sf_dir)).where(F.col("word").rlike("^[A-Z]{2,}[.!?,;:]*$"))
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    return rows.withColumn("run", run.cast("long")).groupBy("doc_id", "run").agg(F.count("*").alias("n_words"), F.min("pos").alias("first_pos"))
+
+
+_SMALL_SQL = "[" + ", ".join(f"'{say.cardinal(i)}'" for i in range(1000)) + "]"
+
+
+def _cardinal_sql(n: str) -> str:
+    return (
+        f"concat_ws(' ', CASE WHEN {n} >= 1000000 THEN list_extract(small, ({n} // 1000000)::INT + 1) || ' million' END, "
+        f"CASE WHEN ({n} // 1000) % 1000 > 0 THEN list_extract(small, (({n} // 1000) % 1000)::INT + 1) || ' thousand' END, "
+        f"CASE WHEN {n} % 1000 > 0 OR {n} = 0 THEN list_extract(small, ({n} % 1000)::INT + 1) END)"
+    )
+
+
+@query(f"WITH s AS (SELECT {_SMALL_SQL} AS small) SELECT l_orderkey, l_partkey, count(*) AS n, {_cardinal_sql('(l_orderkey * 997 + l_partkey)')} AS said FROM lineitem, s GROUP BY l_orderkey, l_partkey, said")
+def number_words(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"))
+    return rows.withColumn("said", say.cardinal_column(F.col("l_orderkey") * 997 + F.col("l_partkey")))
+
+
+@query(
+    f"""WITH s AS (SELECT {_SMALL_SQL} AS small), y AS (SELECT o_orderkey, (1000 + o_orderkey % 1100)::BIGINT AS y FROM orders)
+SELECT o_orderkey, CASE WHEN y // 100 = 20 AND y % 100 = 0 THEN 'two thousand' WHEN y // 100 = 20 AND y % 100 < 10 THEN 'two thousand ' || list_extract(small, (y % 100)::INT + 1)
+WHEN y % 100 = 0 THEN list_extract(small, (y // 100)::INT + 1) || ' hundred' WHEN y % 100 < 10 THEN list_extract(small, (y // 100)::INT + 1) || ' oh ' || list_extract(small, (y % 100)::INT + 1)
+ELSE list_extract(small, (y // 100)::INT + 1) || ' ' || list_extract(small, (y % 100)::INT + 1) END AS said FROM y, s"""
+)
+def year_words(spark, sf_dir):
+    return table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", say.year_column(1000 + F.col("o_orderkey") % 1100).alias("said"))
+
+
+@query(
+    f"""WITH s AS (SELECT {_SMALL_SQL} AS small), t AS (SELECT event_id, hour(ts) AS h, minute(ts) AS m FROM events)
+SELECT event_id, list_extract(small, h::INT + 1) || CASE WHEN m = 0 THEN ' o''clock' WHEN m < 10 THEN ' oh ' || list_extract(small, m::INT + 1) ELSE ' ' || list_extract(small, m::INT + 1) END AS said FROM t, s"""
+)
+def clock_words(spark, sf_dir):
+    return table(spark, sf_dir, "events", "event_id", "ts").select("event_id", say.clock_column(F.hour("ts"), F.minute("ts")).alias("said"))
+
+
+@query(
+    f"""WITH s AS (SELECT {_SMALL_SQL} AS small), t AS (SELECT p_partkey, floor(p_retailprice)::BIGINT AS d, (round(p_retailprice * 100)::BIGINT) % 100 AS c FROM part)
+SELECT p_partkey, {_cardinal_sql('d')} || ' dollar' || CASE WHEN d = 1 THEN '' ELSE 's' END || CASE WHEN c > 0 THEN ' and ' || list_extract(small, c::INT + 1) || ' cent' || CASE WHEN c = 1 THEN '' ELSE 's' END ELSE '' END AS said FROM t, s"""
+)
+def currency_words(spark, sf_dir):
+    price = F.col("p_retailprice")
+    cents = F.round(price * 100).cast("long") % 100
+    return table(spark, sf_dir, "part", "p_partkey", "p_retailprice").select("p_partkey", say.currency_column(F.floor(price), cents).alias("said"))
+
+
+_ROMAN_SQL = "CASE c WHEN 'M' THEN 1000 WHEN 'D' THEN 500 WHEN 'C' THEN 100 WHEN 'L' THEN 50 WHEN 'X' THEN 10 WHEN 'V' THEN 5 WHEN 'I' THEN 1 ELSE 0 END"
+
+
+@query(
+    f"""WITH f AS (SELECT unnest(regexp_extract_all(upper(text), '\\b[IVXLCDM]{{1,7}}\\b')) AS s FROM documents), n AS (SELECT s, count(*) AS n FROM f GROUP BY s),
+v AS (SELECT s, n, list_transform(string_split(s, ''), c -> {_ROMAN_SQL}) AS vs FROM n)
+SELECT s AS numeral, n, list_sum(list_transform(range(1, len(vs) + 1), i -> CASE WHEN i < len(vs) AND list_extract(vs, i) < list_extract(vs, i + 1) THEN -list_extract(vs, i) ELSE list_extract(vs, i) END))::INT AS value FROM v"""
+)
+def roman_numerals(spark, sf_dir):
+    pattern = F.lit("(?<![0-9A-Z_])[IVXLCDM]{1,7}(?![0-9A-Z_])")
+    found = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.upper("text"), pattern, F.lit(0))).alias("numeral"))
+    return found.groupBy("numeral").agg(F.count("*").alias("n")).withColumn("value", say.roman_column(F.col("numeral")))
+
+
+_SPOKEN = (
+    (1, "She had read the letter.", 2), (2, "Please read it aloud.", 1), (3, "Read the sign now.", 0), (4, "The wind blew hard.", 1),
+    (5, "He will wind up the clock.", 2), (6, "They stood very close to it.", 3), (7, "Please close the door.", 1),
+)
+_SPOKEN_SQL = ", ".join(f"({i}, '{s}')" for i, s, _ in _SPOKEN)
+
+
+@query()
+def homograph_readings(spark, sf_dir):
+    """All sentences of the documents, and some that have homographs, since the prose has none."""
+    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir), pattern="\n")).select("doc_id", "para", "sent", "sentence")
+    more = spark.createDataFrame([(-i, 0, 0, s) for i, s, _ in _SPOKEN], "doc_id long, para int, sent int, sentence string")
+    rows = exact.unionByName(more).withColumn("words", F.filter(F.split("sentence", r"\s+"), lambda w: w != "")).drop("sentence")
+    return homographs.readings(rows, homographs.SMALL)
+
+
+@query(
+    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?]*[.!?]+|[^.!?]+$'), x -> trim(x)), x -> x <> '') AS ss FROM documents),
+u AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss)))::INT AS sent FROM s),
+m AS (SELECT doc_id, sent, regexp_matches(lower(sentence), '(^| )[a-z]{2,}ed( |[.,!?;]|$)') AS past, regexp_matches(lower(sentence), '^read ') AS opens FROM u),
+i AS (SELECT *, sum(CASE WHEN opens THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sent) AS island FROM m),
+h AS (SELECT *, coalesce(bool_or(past) OVER (PARTITION BY doc_id, island ORDER BY sent), false) AS told FROM i)
+SELECT doc_id, sent, coalesce(lag(told) OVER (PARTITION BY doc_id ORDER BY sent), false) AS hint FROM h"""
+)
+def narration_hints(spark, sf_dir):
+    """Whether what precedes a sentence tells of the past: islands of sentences that pass the hint on."""
+    flat = F.regexp_replace("text", "\n", " ")
+    found = F.filter(F.transform(F.regexp_extract_all(flat, F.lit("[^.!?]*[.!?]+|[^.!?]+$"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(found).alias("sent", "sentence"))
+    low = F.lower("sentence")
+    doc = Window.partitionBy("doc_id").orderBy("sent")
+    marked = rows.select("doc_id", "sent", low.rlike("(^| )[a-z]{2,}ed( |[.,!?;]|$)").alias("past"), low.rlike("^read ").alias("opens"))
+    islands = marked.withColumn("island", F.sum((~F.col("opens")).cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("doc_id", "island").orderBy("sent").rowsBetween(Window.unboundedPreceding, 0)
+    told = islands.withColumn("told", F.max("past").over(within))
+    return told.select("doc_id", "sent", F.coalesce(F.lag("told").over(doc), F.lit(False)).alias("hint"))
+
+
+@query()
+def emphasis_beats(spark, sf_dir):
+    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir, english=True), pattern="\n"))
+    ws = F.filter(F.split("sentence", r"\s+"), lambda w: w != "")
+    rows = exact.select("doc_id", "para", "sent", F.explode(text.emphasis_beats(ws)).alias("pos"))
+    return rows
+
+
+@query()
+def token_groups(spark, sf_dir):
+    """Sentences packed greedily into groups of at most 509 tokens."""
+    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir), pattern="\n"))
+    sized = exact.select("doc_id", "para", "sent", F.size(text.token_ids(F.col("sentence"))).alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("sent", "n"))), lambda x: x["n"])
+    groups = sized.groupBy("doc_id", "para").agg(ordered.alias("sizes"))
+    return groups.select("doc_id", "para", F.posexplode(text.group_sizes(F.col("sizes"))).alias("grp", "g")).select("doc_id", "para", "grp", F.col("g.n").alias("n_sentences"), F.col("g.tokens").alias("n_tokens"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, length(text) AS n, CASE right(text, 1) WHEN '!' THEN 0.32::DOUBLE WHEN '?' THEN 0.30::DOUBLE WHEN '…' THEN 0.35::DOUBLE ELSE 0.25::DOUBLE END AS base FROM documents)
+SELECT doc_id, trunc(least(greatest(CASE WHEN n <= 50 THEN base + 0.03::DOUBLE WHEN n >= 200 THEN base - 0.03::DOUBLE ELSE base END, 0.20::DOUBLE), 0.35::DOUBLE) * 24000)::INT AS sentence_samples,
+trunc(CASE WHEN n // 509 + 1 <= 2 THEN 0.85::DOUBLE WHEN n // 509 + 1 = 3 THEN 0.80::DOUBLE ELSE 0.70::DOUBLE END * 24000)::INT AS paragraph_samples FROM t"""
+)
+def silence_plan(spark, sf_dir):
+    n = F.char_length("text")
+    last = F.right("text", F.lit(1))
+    end = F.when(last == "!", 5).when(last == "?", 6).when(last == "…", 10).otherwise(4)
+    groups = F.floor(n / 509) + 1
+    return _docs(spark, sf_dir).select("doc_id", text.sentence_silence(end, n).alias("sentence_samples"), text.paragraph_silence(groups).alias("paragraph_samples"))
+
+
+# --- alignments -----------------------------------------------------------------------------------------------------
+
+ALIGNED_SQL = rf"""WITH {WORDS_SQL},
+timed AS (SELECT doc_id AS clip_id, pos, word, 60 * length(word) + (pos * 37) % 50 AS dur, CASE WHEN pos % 7 = 6 THEN 150 + (pos * 97) % 500 ELSE (pos * 53) % 170 END AS gap FROM words),
+starts AS (SELECT *, coalesce(sum(dur + gap) OVER (PARTITION BY clip_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM timed),
+alignment AS (SELECT clip_id, pos, word, start_ms, (start_ms + dur)::BIGINT AS end_ms, 1 - (pos % 10) / 20.0 AS confidence FROM starts)"""
+CLAUSES_SQL = (
+    ALIGNED_SQL
+    + """,
+gaps AS (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY clip_id ORDER BY pos) AS gap_before FROM alignment),
+marked AS (SELECT *, sum(CASE WHEN gap_before > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY pos)::BIGINT AS clause FROM gaps),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY clip_id, clause ORDER BY pos) AS k FROM marked),
+grouped AS (SELECT clip_id, clause, count(*) AS n_words, min(start_ms) AS start_ms, max_by(end_ms, pos) AS end_ms, avg(CASE WHEN k > 1 THEN gap_before END) AS mean_gap,
+  stddev_pop(CASE WHEN k > 1 THEN gap_before END::DOUBLE) AS sd_gap, string_agg(CASE WHEN k <= 10 THEN word END, ' ' ORDER BY pos) AS said FROM numbered GROUP BY clip_id, clause),
+clauses AS (SELECT clip_id, clause, n_words, start_ms, end_ms, CASE WHEN n_words >= 2 AND end_ms > start_ms THEN n_words / ((end_ms - start_ms) / 1000.0::DOUBLE) ELSE 0 END AS rate,
+  CASE WHEN n_words >= 3 AND mean_gap > 0 THEN sd_gap / mean_gap ELSE 0 END AS cv, said || CASE WHEN n_words > 10 THEN '...' ELSE '' END AS context FROM grouped)"""
+)
+_SEVERE = "CASE WHEN {0} > {2} THEN 'high' WHEN {0} > {1} THEN 'medium' ELSE 'low' END"
+RATES_SQL = (
+    CLAUSES_SQL
+    + f""",
+rated AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS n_clauses FROM clauses), kept AS (SELECT * FROM rated WHERE n_words >= 3 AND rate > 0),
+stats AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS n_rated, avg(rate) OVER (PARTITION BY clip_id) AS mean, stddev_pop(rate) OVER (PARTITION BY clip_id) AS sd FROM kept),
+z AS (SELECT *, (rate - mean) / sd AS z FROM stats WHERE n_clauses >= 3 AND n_rated >= 3 AND sd >= mean * 0.05 AND sd > 0),
+rates AS (SELECT clip_id, CASE WHEN z > 0 THEN 'rushed_segment' ELSE 'slow_segment' END AS type, clause, start_ms, end_ms, rate, mean AS avg_rate, {_SEVERE.format('abs(z)', 2.5, 3.0)} AS severity, context FROM z WHERE abs(z) > 1.8)"""
+)
+PAUSES_SQL = f"""
+near AS (SELECT *, lead(start_ms) OVER w AS next_ms, lead(start_ms) OVER w - end_ms AS gap_ms, count(*) OVER (PARTITION BY clip_id) AS n, row_number() OVER w AS k,
+  lag(word, 2) OVER w AS b2, lag(word) OVER w AS b1, lead(word) OVER w AS a1, lead(word, 2) OVER w AS a2, lead(word, 3) OVER w AS a3 FROM alignment WINDOW w AS (PARTITION BY clip_id ORDER BY pos)),
+unexpected AS (SELECT clip_id, pos, word, end_ms AS start_ms, next_ms AS end_ms, gap_ms, {_SEVERE.format('gap_ms', 300, 500)} AS severity,
+  CASE WHEN k > 3 THEN '...' ELSE '' END || concat_ws(' ', b2, b1, word || ' [' || gap_ms || 'ms]', a1, a2, a3) || CASE WHEN k + 3 < n THEN '...' ELSE '' END AS context
+  FROM near WHERE gap_ms >= 150 AND lower(word) IN ({_listed(SPOKEN_FUNCTION_WORDS)}))"""
+ERRATIC_SQL = f"""
+vary AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS all_clauses FROM clauses), varied AS (SELECT * FROM vary WHERE cv > 0 AND n_words >= 4),
+cvs AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS n_kept, avg(cv) OVER (PARTITION BY clip_id) AS mean, stddev_pop(cv) OVER (PARTITION BY clip_id) AS sd FROM varied),
+cz AS (SELECT *, (cv - mean) / sd AS z FROM cvs WHERE all_clauses >= 3 AND n_kept >= 3 AND sd >= 0.01),
+erratic AS (SELECT clip_id, clause, start_ms, end_ms, cv AS variance, {_SEVERE.format('z', 2.5, 3.0)} AS severity, context FROM cz WHERE z > 1.8)"""
+ISSUES_SQL = f"""{RATES_SQL}, {PAUSES_SQL}, {ERRATIC_SQL},
+issues AS (SELECT clip_id, 'pacing' AS category, type, start_ms, end_ms, severity, context FROM rates
+  UNION ALL SELECT clip_id, 'pacing', 'unexpected_pause', start_ms, end_ms, severity, context FROM unexpected
+  UNION ALL SELECT clip_id, 'pacing', 'erratic_pacing', start_ms, end_ms, severity, context FROM erratic)"""
+
+
+def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return al.of_words(text.words(_docs(spark, sf_dir)))
+
+
+def _rounded(frame: DataFrame, *names: str) -> DataFrame:
+    return frame.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(CLAUSES_SQL + " SELECT clip_id, clause, n_words, start_ms, end_ms, round(rate, 6) AS rate, round(cv, 6) AS cv, context FROM clauses")
+def clause_rates(spark, sf_dir):
+    return _rounded(al.clause_table(_alignment(spark, sf_dir)), "rate", "cv")
+
+
+@query(RATES_SQL + " SELECT clip_id, type, clause, start_ms, end_ms, round(rate, 6) AS rate, round(avg_rate, 6) AS avg_rate, severity, context FROM rates")
+def rate_anomalies(spark, sf_dir):
+    return _rounded(al.rate_anomalies(_alignment(spark, sf_dir)), "rate", "avg_rate")
+
+
+@query(f"{ALIGNED_SQL}, {PAUSES_SQL} SELECT * FROM unexpected")
+def unexpected_pauses(spark, sf_dir):
+    return al.unexpected_pauses(_alignment(spark, sf_dir))
+
+
+@query(f"{CLAUSES_SQL}, {ERRATIC_SQL} SELECT clip_id, clause, start_ms, end_ms, round(variance, 6) AS variance, severity, context FROM erratic")
+def erratic_pacing(spark, sf_dir):
+    return _rounded(al.erratic_pacing(_alignment(spark, sf_dir)), "variance")
+
+
+@query(
+    CLAUSES_SQL
+    + """ SELECT clip_id, count(*) AS n_words, max(clause) + 1 AS n_clauses, round(CASE WHEN max_by(end_ms, pos) > min_by(start_ms, pos)
+THEN count(*) / ((max_by(end_ms, pos) - min_by(start_ms, pos)) / 1000.0::DOUBLE) ELSE 0 END, 6) AS overall_rate FROM marked GROUP BY clip_id HAVING count(*) >= 3"""
+)
+def pacing_summary(spark, sf_dir):
+    return _rounded(al.pacing_summary(_alignment(spark, sf_dir)), "overall_rate")
+
+
+@query(
+    ALIGNED_SQL
+    + """, n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY clip_id) AS n, lag(word, 4) OVER w AS b4, lag(word, 3) OVER w AS b3, lag(word, 2) OVER w AS b2, lag(word) OVER w AS b1,
+lead(word) OVER w AS a1, lead(word, 2) OVER w AS a2, lead(word, 3) OVER w AS a3, lead(word, 4) OVER w AS a4 FROM alignment WINDOW w AS (PARTITION BY clip_id ORDER BY pos))
+SELECT clip_id, pos, CASE WHEN k > 5 THEN '...' ELSE '' END || concat_ws(' ', b4, b3, b2, b1, upper(word), a1, a2, a3, a4) || CASE WHEN k + 4 < n THEN '...' ELSE '' END AS context FROM n WHERE pos % 50 = 7"""
+)
+def context_snippets(spark, sf_dir):
+    return al.context(_alignment(spark, sf_dir)).where("pos % 50 = 7").select("clip_id", "pos", "context")
+
+
+def _prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and pitches made up from places and lengths of words."""
+    a = _alignment(spark, sf_dir)
+    level = (1 + (F.col("pos") * 31) % 17 + F.when(F.col("pos") % 29 == 3, 60).otherwise(0)) / F.lit(100.0)
+    f0 = F.when(F.col("pos") % 11 == 5, F.lit(0.0)).otherwise(100.0 + (F.col("pos") * 13) % 41 + F.when(F.col("pos") % 29 == 3, 90).otherwise(0))
+    return a.select("clip_id", "pos", "word", level.alias("rms"), f0.cast("double").alias("f0"), ((F.col("end_ms") - F.col("start_ms")) / F.lit(1000.0)).alias("duration"))
+
+
+@query(
+    ALIGNED_SQL
+    + f""", p AS (SELECT clip_id, pos, word, (1 + (pos * 31) % 17 + CASE WHEN pos % 29 = 3 THEN 60 ELSE 0 END) / 100.0::DOUBLE AS rms,
+CASE WHEN pos % 11 = 5 THEN 0.0 ELSE 100.0 + (pos * 13) % 41 + CASE WHEN pos % 29 = 3 THEN 90 ELSE 0 END END::DOUBLE AS f0, (end_ms - start_ms) / 1000.0::DOUBLE AS duration,
+CASE WHEN lower(word) IN ({_listed(SPOKEN_FUNCTION_WORDS)}) THEN 0 ELSE 1 END AS content FROM alignment),
+c AS (SELECT *, sum(content) OVER (PARTITION BY clip_id ORDER BY pos) AS c FROM p),
+pairs AS (SELECT c.*, s.rms AS r, CASE WHEN s.f0 > 0 THEN s.f0 END AS f, s.duration AS d FROM c LEFT JOIN c s ON s.clip_id = c.clip_id AND s.content = 1 AND s.pos <> c.pos AND s.c BETWEEN c.c - CASE WHEN c.content = 1 THEN 7 ELSE 6 END AND c.c + 7),
+l AS (SELECT clip_id, pos, word, content, rms, f0, duration, CASE WHEN count(r) >= 2 THEN avg(r) ELSE 0 END AS rm, CASE WHEN count(r) >= 2 THEN stddev_pop(r) ELSE 0 END AS rs, CASE WHEN count(f) >= 2 THEN avg(f) ELSE 0 END AS fm,
+CASE WHEN count(f) >= 2 THEN stddev_pop(f) ELSE 0 END AS fs, CASE WHEN count(d) >= 2 THEN avg(d) ELSE 0 END AS dm, CASE WHEN count(d) >= 2 THEN stddev_pop(d) ELSE 0 END AS ds FROM pairs GROUP BY ALL),
+z AS (SELECT *, 0.4::DOUBLE * coalesce((rms - rm) / nullif(greatest(rs, rm * 0.05::DOUBLE), 0), 0) + 0.4::DOUBLE * CASE WHEN f0 > 0 AND fm > 0 THEN coalesce((f0 - fm) / nullif(greatest(fs, fm * 0.05::DOUBLE), 0), 0) ELSE 0 END
++ 0.2::DOUBLE * CASE WHEN greatest(ds, dm * 0.05::DOUBLE) > 1e-9 THEN (duration - dm) / greatest(ds, dm * 0.05::DOUBLE) ELSE 0 END AS z, CASE WHEN content = 0 THEN 1.5 ELSE 2.0 END AS least FROM l WHERE NOT (rs < 1e-9 AND fs < 1e-9))
+SELECT clip_id, pos, word, CASE WHEN content = 0 THEN 'function_word_stress' ELSE 'content_word_stress' END AS type, round(z, 6) AS z, CASE WHEN z >= least + 1.0 THEN 'high' WHEN z >= least + 0.5 THEN 'medium' ELSE 'low' END AS severity FROM z WHERE z >= least"""
+)
+def emphasis_anomalies(spark, sf_dir):
+    return _rounded(al.emphasis_anomalies(_prominence(spark, sf_dir)), "z")
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return al.pacing(_alignment(spark, sf_dir)).withColumn("category", F.lit("pacing"))
+
+
+@query(
+    ISSUES_SQL
+    + """, d AS (SELECT clip_id, max(end_ms) / 1000.0::DOUBLE AS seconds FROM alignment GROUP BY clip_id),
+per AS (SELECT clip_id, list_reduce(list_prepend(10.0::DOUBLE, list(CASE severity WHEN 'high' THEN 0.3::DOUBLE WHEN 'medium' THEN 0.1::DOUBLE ELSE 0.03::DOUBLE END ORDER BY start_ms, CASE severity WHEN 'high' THEN 0.3 WHEN 'medium' THEN 0.1 ELSE 0.03 END)), (a, x) -> a - x) AS taken,
+count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS pacing FROM issues GROUP BY clip_id)
+SELECT d.clip_id, floor(greatest(CASE WHEN seconds > 60 THEN 10 + (coalesce(taken, 10) - 10) * (60 / seconds) ELSE coalesce(taken, 10) END, 0) * 10) / 10 AS score, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(pacing, 0) AS pacing FROM d LEFT JOIN per USING (clip_id)"""
+)
+def quality_score(spark, sf_dir):
+    durations = _alignment(spark, sf_dir).groupBy("clip_id").agg((F.max("end_ms") / F.lit(1000.0)).alias("seconds"))
+    return al.quality(_issues(spark, sf_dir), durations).select("clip_id", "score", "high", "medium", "low", "pacing")
+
+
+@query(
+    ISSUES_SQL
+    + """ SELECT clip_id, category, type, start_ms, end_ms, severity, context, CASE severity WHEN 'high' THEN 3.0 WHEN 'medium' THEN 2.0 ELSE 1.0 END::DOUBLE AS score FROM issues
+ORDER BY score DESC, start_ms, clip_id, category, encode(context) LIMIT 30"""
+)
+def issues_top30(spark, sf_dir):
+    return al.top_issues(_issues(spark, sf_dir)).select("clip_id", "category", "type", "start_ms", "end_ms", "severity", "context", "score")
+
+
+@query(ISSUES_SQL + " SELECT category, severity, count(*) AS n FROM issues GROUP BY GROUPING SETS ((category), (severity), ())")
+def issue_groupings(spark, sf_dir):
+    _issues(spark, sf_dir).createOrReplaceTempView("prosodia_issues")
+    return spark.sql("SELECT category, severity, count(*) AS n FROM prosodia_issues GROUP BY GROUPING SETS ((category), (severity), ())")
+
+
+# --- signals --------------------------------------------------------------------------------------------------------
+
+FRAMES_SQL = """WITH f AS (SELECT vec_id AS clip_id, embedding, unnest(range(0, {n}))::INT AS frame FROM embeddings),
+levels AS (SELECT clip_id, frame, len(embedding) AS n, sqrt(list_sum(list_transform(embedding[frame * 8 + 1:frame * 8 + 16], s -> s::DOUBLE * s::DOUBLE)) / 16) AS rms FROM f)"""
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("samples"), "label")
+
+
+@query("SELECT vec_id AS clip_id, round(sqrt(list_sum(list_transform(embedding, s -> s::DOUBLE * s::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings")
+def rms_profile(spark, sf_dir):
+    return _clips(spark, sf_dir).select("clip_id", F.round(signal.rms(F.col("samples")), 6).alias("rms"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id, value FROM events)
+SELECT user_id, event_id, round(sqrt(avg(value * value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)), 6) AS rms FROM s"""
+)
+def rms_envelope(spark, sf_dir):
+    """A centred window from prefix sums: linear in the samples whatever the window."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value").withColumns({"i": F.row_number().over(order), "s": F.sum(F.col("value") * F.col("value")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count("*").over(Window.partitionBy("user_id"))})
+    high = F.coalesce(F.lead("s", 4).over(order), F.max("s").over(Window.partitionBy("user_id")))
+    low = F.coalesce(F.lag("s", 5).over(order), F.lit(0.0))
+    width = F.least(F.col("i") + 4, F.col("n")) - F.greatest(F.col("i") - 5, F.lit(0))
+    return rows.select("user_id", "event_id", F.round(F.sqrt(F.greatest(high - low, F.lit(0.0)) / width), 6).alias("rms"))
+
+
+_ISLANDS_SQL = (
+    FRAMES_SQL.format(n="1 + (len(embedding) - 16) // 8")
+    + """, q AS (SELECT *, (rms = 0 OR 20 * log10(rms / max(rms) OVER (PARTITION BY clip_id)) <= -3.0) AS silent, max(frame) OVER (PARTITION BY clip_id) AS last FROM levels),
+c AS (SELECT *, CASE WHEN lag(silent) OVER w IS DISTINCT FROM silent THEN 1 ELSE 0 END AS changed FROM q WINDOW w AS (PARTITION BY clip_id ORDER BY frame)),
+i AS (SELECT *, sum(changed) OVER (PARTITION BY clip_id ORDER BY frame) AS island FROM c),
+p AS (SELECT clip_id, round(min(frame) * 8 / 100.0, 6) AS start_s, round(CASE WHEN max(frame) = max(last) THEN max(n) ELSE (max(frame) + 1) * 8 END / 100.0, 6) AS end_s FROM i WHERE silent GROUP BY clip_id, island),
+pauses AS (SELECT clip_id, start_s::DOUBLE AS start_s, end_s::DOUBLE AS end_s FROM p WHERE end_s - start_s >= 0.1)"""
+)
+
+
+def _pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = signal.frames(_clips(spark, sf_dir), 16, 8)
+    return _rounded(signal.pause_islands(levels, 100, -3.0, 0.1, 8), "start_s", "end_s")
+
+
+@query(_ISLANDS_SQL + " SELECT * FROM pauses")
+def pause_islands(spark, sf_dir):
+    return _pauses(spark, sf_dir)
+
+
+@query(
+    _ISLANDS_SQL
+    + """ SELECT clip_id, count(*) FILTER (end_s - start_s < 0.2) AS under_200, count(*) FILTER (end_s - start_s >= 0.2 AND end_s - start_s < 0.5) AS under_500,
+count(*) FILTER (end_s - start_s >= 0.5 AND end_s - start_s < 1) AS under_1000, count(*) FILTER (end_s - start_s >= 1) AS longer FROM pauses GROUP BY clip_id"""
+)
+def pause_histogram(spark, sf_dir):
+    d = F.col("end_s") - F.col("start_s")
+    return _pauses(spark, sf_dir).groupBy("clip_id").agg(
+        F.count_if(d < 0.2).alias("under_200"), F.count_if((d >= 0.2) & (d < 0.5)).alias("under_500"), F.count_if((d >= 0.5) & (d < 1)).alias("under_1000"), F.count_if(d >= 1).alias("longer")
+    )
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_id, value, lag(value) OVER w AS before, lead(value) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, CASE WHEN value / before > 4 THEN 'spike' ELSE 'dropout' END AS type, round(CASE WHEN value / before > 4 THEN value / before ELSE -20 * log10(value / before) END, 6) AS severity
+FROM s WHERE before > 0.005 AND value > 1e-6 AND (value / before > 4 OR (20 * log10(value / before) < -20 AND after > 2 * value))"""
+)
+def glitch_spikes(spark, sf_dir):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value").withColumns({"before": F.lag("value").over(order), "after": F.lead("value").over(order)})
+    rows = rows.where("before > 0.005 and value > 1e-6").withColumn("ratio", F.col("value") / F.col("before")).withColumn("db", 20 * F.log10("ratio"))
+    spike = F.col("ratio") > 4
+    hit = spike | ((F.col("db") < -20) & (F.col("after") > 2 * F.col("value")))
+    return rows.where(hit).select("user_id", "event_id", F.when(spike, "spike").otherwise("dropout").alias("type"), F.round(F.when(spike, F.col("ratio")).otherwise(-F.col("db")), 6).alias("severity"))
+
+
+@query(
+    """WITH l AS (SELECT vec_id, list_transform(range(0, 4), i -> sqrt(list_sum(list_transform(embedding[i * 16 + 1:(i + 1) * 16], s -> s::DOUBLE * s::DOUBLE)) / 16)) AS ls FROM embeddings)
+SELECT vec_id AS clip_id, (list_position(ls, list_max(ls)) - 0.5::DOUBLE) / 4 AS peak FROM l"""
+)
+def stress_peak(spark, sf_dir):
+    return _clips(spark, sf_dir).select("clip_id", signal.stress_peak(F.col("samples"), F.lit(4)).alias("peak"))
+
+
+@query(
+    """WITH a AS (SELECT label, min(vec_id) AS a, max(vec_id) AS b FROM embeddings GROUP BY label),
+v AS (SELECT a.label, x.embedding AS x, y.embedding AS y FROM a JOIN embeddings x ON x.vec_id = a.a JOIN embeddings y ON y.vec_id = a.b)
+SELECT label, round(list_sum(list_transform(range(1, len(x) + 1), i -> (x[i] * 0.8 + y[i] * 0.2)::DOUBLE)), 4) AS total FROM v"""
+)
+def voice_blend(spark, sf_dir):
+    clips = _clips(spark, sf_dir)
+    pair = clips.groupBy("label").agg(F.min_by("samples", "clip_id").alias("a"), F.max_by("samples", "clip_id").alias("b"))
+    mixed = pair.withColumn("m", signal.blend(F.col("a"), F.col("b"), F.lit(0.2)))
+    return mixed.select("label", F.round(F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 4).alias("total"))
+
+
+@query()
+def trim_bounds(spark, sf_dir):
+    kernel = signal.kernel(lambda s: dict(zip(("first", "last"), signal.trim_bounds(s, 3.0, 16, 8), strict=True)), "struct<first:int,last:int>")
+    return _clips(spark, sf_dir).select("clip_id", kernel(F.col("samples")).alias("b")).select("clip_id", "b.*")
+
+
+@query()
+def pitch_stats(spark, sf_dir):
+    """Vectors tiled to a second of signal at 24 kHz."""
+    tiled = _clips(spark, sf_dir).withColumn("samples", F.flatten(F.array_repeat("samples", 40)))
+    frames = tiled.select("clip_id", F.explode(signal.pitch_frames(F.col("samples"))).alias("f")).select("clip_id", "f.t", "f.f0")
+    return _rounded(signal.pitch_stats(frames), "voiced_pct", "mean_f0", "median_f0", "sd_f0", "min_f0", "max_f0")
+
+
+@query()
+def spectrogram_stats(spark, sf_dir):
+    made = signal.kernel(lambda s: signal.spectrogram(s, 16, 8, 100, 50).tolist(), "array<array<double>>")
+    return _clips(spark, sf_dir).select("clip_id", made(F.col("samples")).alias("m")).select("clip_id", F.size("m").alias("n_frames"), F.round(F.array_min(F.flatten("m")), 6).alias("floor"), F.round(F.array_max(F.flatten("m")), 6).alias("peak"))
+
+
+# --- distances ------------------------------------------------------------------------------------------------------
+
+TURNS_SQL = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^0-9a-z_ \t\n\r\f]', '', 'g') AS said FROM conversations),
+pairs AS (SELECT conv_id, turn, said AS hyp, lag(said) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM t)"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.regexp_replace(F.lower("text"), r"[^0-9a-z_ \t\n\r\f]", "")
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", said.alias("hyp"))
+    return rows.withColumn("ref", F.lag("hyp").over(Window.partitionBy("conv_id").orderBy("turn"))).where("ref is not null")
+
+
+@query(TURNS_SQL + " SELECT conv_id, turn, levenshtein(ref, hyp)::INT AS distance FROM pairs WHERE ref IS NOT NULL")
+def char_distance(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.levenshtein("ref", "hyp").alias("distance"))
+
+
+@query(
+    TURNS_SQL
+    + r""", w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(ref, '\s+'), x -> x <> '')[1:40] AS a, list_filter(regexp_split_to_array(hyp, '\s+'), x -> x <> '')[1:40] AS b FROM pairs WHERE ref IS NOT NULL),
+u AS (SELECT *, list_distinct(list_concat(a, b)) AS both FROM w)
+SELECT conv_id, turn, levenshtein(array_to_string(list_transform(a, x -> chr(32 + list_position(both, x)::INT)), ''), array_to_string(list_transform(b, x -> chr(32 + list_position(both, x)::INT)), ''))::INT AS distance FROM u"""
+)
+def word_distance(spark, sf_dir):
+    """Of the first forty words of two turns: a length at which the SQL twin's codes stay ASCII."""
+    first = lambda c: F.slice(F.filter(F.split(F.col(c), r"\s+"), lambda x: x != ""), 1, 40)
+    return _turns(spark, sf_dir).select("conv_id", "turn", distance.word_distance(first("ref"), first("hyp")).alias("distance"))
+
+
+@query()
+def wer_rows(spark, sf_dir):
+    rows = _turns(spark, sf_dir).withColumn("r", distance.wer_of("ref", "hyp"))
+    return rows.select("conv_id", "turn", "r.wer", "r.subs", "r.ins", "r.dels", "r.total_ref", "r.total_hyp")
+
+
+@query()
+def pronunciation_errors(spark, sf_dir):
+    """A turn as what was written, the next one as what was heard."""
+    turns = _turns(spark, sf_dir).withColumn("clip_id", F.col("conv_id") * 1000 + F.col("turn"))
+    heard = al.of_words(text.words(turns.select(F.col("clip_id").alias("doc_id"), F.col("hyp").alias("text"))))
+    return distance.pronunciation(heard, turns.select("clip_id", F.col("ref").alias("text")))
+
+
+# --- serving --------------------------------------------------------------------------------------------------------
+
+OBSERVED_SQL = "WITH o AS (SELECT event_type AS voice, CASE WHEN value > 150 THEN 'error' ELSE 'ok' END AS status, props AS text, value / 20 AS generation_s, value / 5 AS audio_s FROM events)"
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events", "event_type", "value", "props", "ts")
+    return e.select(F.col("event_type").alias("voice"), F.when(F.col("value") > 150, "error").otherwise("ok").alias("status"), F.col("props").alias("text"), (F.col("value") / 20).alias("generation_s"), (F.col("value") / 5).alias("audio_s"), "ts")
+
+
+@query(OBSERVED_SQL + " SELECT voice, status, count(*) AS requests, sum(length(text))::BIGINT AS characters FROM o GROUP BY voice, status")
+def metrics_counters(spark, sf_dir):
+    return serving.counters(_observed(spark, sf_dir))
+
+
+_BOUNDS_SQL = _values([(b,) for b in serving.GENERATION_BOUNDS], "le")
+
+
+@query(
+    OBSERVED_SQL
+    + f""", b AS (SELECT le::DOUBLE AS le FROM {_BOUNDS_SQL}), t AS (SELECT voice, count(*) AS total, sum(generation_s) AS s FROM o WHERE status = 'ok' GROUP BY voice)
+SELECT o.voice, b.le, count(*) FILTER (o.generation_s <= b.le) AS n, any_value(t.total) AS total, round(any_value(t.s), 4) AS sum FROM o JOIN b ON true JOIN t ON t.voice = o.voice WHERE o.status = 'ok' GROUP BY o.voice, b.le"""
+)
+def metrics_histogram(spark, sf_dir):
+    return serving.histogram(_observed(spark, sf_dir), "generation_s", serving.GENERATION_BOUNDS).withColumn("sum", F.round("sum", 4))
+
+
+@query()
+def metrics_exposition(spark, sf_dir):
+    seen = _observed(spark, sf_dir)
+    return serving.exposition(serving.counters(seen), serving.histogram(seen, "generation_s", serving.GENERATION_BOUNDS), "tts_generation_seconds")
+
+
+@query(
+    """SELECT event_id, event_type AS voice, CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE round(0.5 + value / 200, 6) END::DOUBLE AS speed, coalesce(f, 'wav') AS format,
+CASE WHEN coalesce(props, '') = '' THEN 'text is required' WHEN coalesce(f, 'wav') NOT IN ('wav', 'mp3') THEN 'unsupported format: "' || f || '" (must be "wav" or "mp3")' END AS error
+FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'wav' WHEN 1 THEN 'mp3' WHEN 2 THEN NULL ELSE 'ogg' END AS f FROM events)"""
+)
+def request_validation(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "event_id", "event_type", "value", "props")
+    form = F.when(F.col("event_id") % 4 == 0, "wav").when(F.col("event_id") % 4 == 1, "mp3").when(F.col("event_id") % 4 == 3, "ogg")
+    speed = F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(F.round(0.5 + F.col("value") / 200, 6))
+    requests = e.select("event_id", F.col("props").alias("text"), F.col("event_type").alias("voice"), speed.alias("speed"), form.alias("format"))
+    return serving.validated(requests).select("event_id", "voice", "speed", "format", "error")
+
+
+@query(
+    """SELECT event_type AS voice, time_bucket(INTERVAL 5 MINUTE, ts) AS since, count(*) AS requests, sum(length(props))::BIGINT AS characters FROM events GROUP BY ALL"""
+)
+def metrics_windows(spark, sf_dir):
+    rows = _observed(spark, sf_dir)
+    return rows.groupBy("voice", F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("requests"), F.sum(F.char_length("text")).alias("characters")).select("voice", F.col("w.start").alias("since"), "requests", "characters")
+
+
+@query("SELECT event_id, len(list_filter(string_split(props, ' '), w -> w <> '')) * 0.08::DOUBLE / (0.5 + value / 200) AS seconds FROM events")
+def stub_seconds(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "event_id", "value", "props")
+    return e.select("event_id", serving.stub_seconds(F.col("props"), 0.5 + F.col("value") / 200).alias("seconds"))
+
+
