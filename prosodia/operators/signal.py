@@ -237,12 +237,20 @@ def insert_clause_pauses(x: np.ndarray, n_tokens: int, places: list[int], n: int
 
 
 def kernel(function: Callable, returns: str) -> Callable[[Column], Column]:
-    """A kernel over one array of samples as an Arrow-batched column."""
+    """A kernel over one array of samples as an Arrow-batched column; for a struct it gives a dictionary."""
+    if returns.startswith("struct"):
 
-    @arrow(returns)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(function)
+        @arrow(returns)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame(batch.map(function).tolist())
+
+    else:
+
+        @arrow(returns)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield batch.map(function)
 
     return run
 

@@ -43,7 +43,7 @@ def _listed(words) -> str:
 
 # --- words and lexicon ----------------------------------------------------------------------------------------------
 
-STRIP_SQL = r"""[.,!?;:"()\[\]{}*'“”—…-]"""
+STRIP_SQL = r"""[.,!?;:"()\[\]{}*''“”—…-]"""
 WORDS_SQL = r"""
 raw AS (SELECT doc_id, lang, regexp_split_to_array(text, '\s+') AS ws FROM documents),
 placed AS (SELECT doc_id, lang, unnest(ws) AS word, unnest(range(len(ws)))::INT AS pos FROM raw),
@@ -189,8 +189,8 @@ _PLAIN_SENTENCE = r"[^.!?]*[.!?]+[\"”’)']*|[^.!?]+$"
 
 
 @query(
-    rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '{_PLAIN_SENTENCE.replace("'", "''")}'), x -> trim(x)), x -> x <> '') AS ss FROM documents)
-SELECT doc_id, len(ss) AS n_sentences, coalesce(list_max(list_transform(ss, x -> length(x))), 0) AS longest FROM s"""
+    rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '{_PLAIN_SENTENCE.replace("'", "''")}'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents)
+SELECT doc_id, len(ss) AS n_sentences, coalesce(list_max(list_transform(ss, lambda x: length(x))), 0) AS longest FROM s"""
 )
 def sentence_lengths(spark, sf_dir):
     """The plain splitter, which breaks at every end sign."""
@@ -258,7 +258,7 @@ _CAPITALS = r"(?<![0-9A-Za-z_])[A-Z]{2,4}(?![0-9A-Za-z_])"
 @query(
     rf"""WITH f AS (SELECT unnest(regexp_extract_all(text, '\b[A-Z]{{2,4}}\b')) AS acronym FROM documents), n AS (SELECT acronym, count(*) AS n FROM f GROUP BY acronym)
 SELECT acronym, n, CASE WHEN acronym IN ({_listed(CAPITAL_WORDS)}) THEN lower(acronym)
-ELSE array_to_string(list_transform(string_split(acronym, ''), c -> {_LETTERS_SQL}), ' ') END AS said FROM n"""
+ELSE array_to_string(list_transform(string_split(acronym, ''), lambda c: {_LETTERS_SQL}), ' ') END AS said FROM n"""
 )
 def acronym_expand(spark, sf_dir):
     found = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(_CAPITALS), F.lit(0))).alias("acronym"))
@@ -329,8 +329,8 @@ _ROMAN_SQL = "CASE c WHEN 'M' THEN 1000 WHEN 'D' THEN 500 WHEN 'C' THEN 100 WHEN
 
 @query(
     f"""WITH f AS (SELECT unnest(regexp_extract_all(upper(text), '\\b[IVXLCDM]{{1,7}}\\b')) AS s FROM documents), n AS (SELECT s, count(*) AS n FROM f GROUP BY s),
-v AS (SELECT s, n, list_transform(string_split(s, ''), c -> {_ROMAN_SQL}) AS vs FROM n)
-SELECT s AS numeral, n, list_sum(list_transform(range(1, len(vs) + 1), i -> CASE WHEN i < len(vs) AND list_extract(vs, i) < list_extract(vs, i + 1) THEN -list_extract(vs, i) ELSE list_extract(vs, i) END))::INT AS value FROM v"""
+v AS (SELECT s, n, list_transform(string_split(s, ''), lambda c: {_ROMAN_SQL}) AS vs FROM n)
+SELECT s AS numeral, n, list_sum(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN i < len(vs) AND list_extract(vs, i) < list_extract(vs, i + 1) THEN -list_extract(vs, i) ELSE list_extract(vs, i) END))::INT AS value FROM v"""
 )
 def roman_numerals(spark, sf_dir):
     pattern = F.lit("(?<![0-9A-Z_])[IVXLCDM]{1,7}(?![0-9A-Z_])")
@@ -355,7 +355,7 @@ def homograph_readings(spark, sf_dir):
 
 
 @query(
-    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?]*[.!?]+|[^.!?]+$'), x -> trim(x)), x -> x <> '') AS ss FROM documents),
+    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?]*[.!?]+|[^.!?]+$'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents),
 u AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss)))::INT AS sent FROM s),
 m AS (SELECT doc_id, sent, regexp_matches(lower(sentence), '(^| )[a-z]{2,}ed( |[.,!?;]|$)') AS past, regexp_matches(lower(sentence), '^read ') AS opens FROM u),
 i AS (SELECT *, sum(CASE WHEN opens THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sent) AS island FROM m),
@@ -491,7 +491,7 @@ def pacing_summary(spark, sf_dir):
     ALIGNED_SQL
     + """, n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY clip_id) AS n, lag(word, 4) OVER w AS b4, lag(word, 3) OVER w AS b3, lag(word, 2) OVER w AS b2, lag(word) OVER w AS b1,
 lead(word) OVER w AS a1, lead(word, 2) OVER w AS a2, lead(word, 3) OVER w AS a3, lead(word, 4) OVER w AS a4 FROM alignment WINDOW w AS (PARTITION BY clip_id ORDER BY pos))
-SELECT clip_id, pos, CASE WHEN k > 5 THEN '...' ELSE '' END || concat_ws(' ', b4, b3, b2, b1, upper(word), a1, a2, a3, a4) || CASE WHEN k + 4 < n THEN '...' ELSE '' END AS context FROM n WHERE pos % 50 = 7"""
+SELECT clip_id, pos, CASE WHEN k > 5 THEN '...' ELSE '' END || concat_ws(' ', b4, b3, b2, b1, upper(replace(word, 'ß', 'ss')), a1, a2, a3, a4) || CASE WHEN k + 4 < n THEN '...' ELSE '' END AS context FROM n WHERE pos % 50 = 7"""
 )
 def context_snippets(spark, sf_dir):
     return al.context(_alignment(spark, sf_dir)).where("pos % 50 = 7").select("clip_id", "pos", "context")
@@ -529,7 +529,7 @@ def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ISSUES_SQL
     + """, d AS (SELECT clip_id, max(end_ms) / 1000.0::DOUBLE AS seconds FROM alignment GROUP BY clip_id),
-per AS (SELECT clip_id, list_reduce(list_prepend(10.0::DOUBLE, list(CASE severity WHEN 'high' THEN 0.3::DOUBLE WHEN 'medium' THEN 0.1::DOUBLE ELSE 0.03::DOUBLE END ORDER BY start_ms, CASE severity WHEN 'high' THEN 0.3 WHEN 'medium' THEN 0.1 ELSE 0.03 END)), (a, x) -> a - x) AS taken,
+per AS (SELECT clip_id, list_reduce(list_prepend(10.0::DOUBLE, list(CASE severity WHEN 'high' THEN 0.3::DOUBLE WHEN 'medium' THEN 0.1::DOUBLE ELSE 0.03::DOUBLE END ORDER BY start_ms, CASE severity WHEN 'high' THEN 0.3 WHEN 'medium' THEN 0.1 ELSE 0.03 END)), lambda a, x: a - x) AS taken,
 count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS pacing FROM issues GROUP BY clip_id)
 SELECT d.clip_id, floor(greatest(CASE WHEN seconds > 60 THEN 10 + (coalesce(taken, 10) - 10) * (60 / seconds) ELSE coalesce(taken, 10) END, 0) * 10) / 10 AS score, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(pacing, 0) AS pacing FROM d LEFT JOIN per USING (clip_id)"""
 )
@@ -556,14 +556,14 @@ def issue_groupings(spark, sf_dir):
 # --- signals --------------------------------------------------------------------------------------------------------
 
 FRAMES_SQL = """WITH f AS (SELECT vec_id AS clip_id, embedding, unnest(range(0, {n}))::INT AS frame FROM embeddings),
-levels AS (SELECT clip_id, frame, len(embedding) AS n, sqrt(list_sum(list_transform(embedding[frame * 8 + 1:frame * 8 + 16], s -> s::DOUBLE * s::DOUBLE)) / 16) AS rms FROM f)"""
+levels AS (SELECT clip_id, frame, len(embedding) AS n, sqrt(list_sum(list_transform(embedding[frame * 8 + 1:frame * 8 + 16], lambda s: s::DOUBLE * s::DOUBLE)) / 16) AS rms FROM f)"""
 
 
 def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("samples"), "label")
 
 
-@query("SELECT vec_id AS clip_id, round(sqrt(list_sum(list_transform(embedding, s -> s::DOUBLE * s::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings")
+@query("SELECT vec_id AS clip_id, round(sqrt(list_sum(list_transform(embedding, lambda s: s::DOUBLE * s::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings")
 def rms_profile(spark, sf_dir):
     return _clips(spark, sf_dir).select("clip_id", F.round(signal.rms(F.col("samples")), 6).alias("rms"))
 
@@ -629,7 +629,7 @@ def glitch_spikes(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT vec_id, list_transform(range(0, 4), i -> sqrt(list_sum(list_transform(embedding[i * 16 + 1:(i + 1) * 16], s -> s::DOUBLE * s::DOUBLE)) / 16)) AS ls FROM embeddings)
+    """WITH l AS (SELECT vec_id, list_transform(range(0, 4), lambda i: sqrt(list_sum(list_transform(embedding[i * 16 + 1:(i + 1) * 16], lambda s: s::DOUBLE * s::DOUBLE)) / 16)) AS ls FROM embeddings)
 SELECT vec_id AS clip_id, (list_position(ls, list_max(ls)) - 0.5::DOUBLE) / 4 AS peak FROM l"""
 )
 def stress_peak(spark, sf_dir):
@@ -639,7 +639,7 @@ def stress_peak(spark, sf_dir):
 @query(
     """WITH a AS (SELECT label, min(vec_id) AS a, max(vec_id) AS b FROM embeddings GROUP BY label),
 v AS (SELECT a.label, x.embedding AS x, y.embedding AS y FROM a JOIN embeddings x ON x.vec_id = a.a JOIN embeddings y ON y.vec_id = a.b)
-SELECT label, round(list_sum(list_transform(range(1, len(x) + 1), i -> (x[i] * 0.8 + y[i] * 0.2)::DOUBLE)), 4) AS total FROM v"""
+SELECT label, round(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] * 0.8 + y[i] * 0.2)::DOUBLE)), 4) AS total FROM v"""
 )
 def voice_blend(spark, sf_dir):
     clips = _clips(spark, sf_dir)
@@ -687,9 +687,9 @@ def char_distance(spark, sf_dir):
 
 @query(
     TURNS_SQL
-    + r""", w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(ref, '\s+'), x -> x <> '')[1:40] AS a, list_filter(regexp_split_to_array(hyp, '\s+'), x -> x <> '')[1:40] AS b FROM pairs WHERE ref IS NOT NULL),
-u AS (SELECT *, list_distinct(list_concat(a, b)) AS both FROM w)
-SELECT conv_id, turn, levenshtein(array_to_string(list_transform(a, x -> chr(32 + list_position(both, x)::INT)), ''), array_to_string(list_transform(b, x -> chr(32 + list_position(both, x)::INT)), ''))::INT AS distance FROM u"""
+    + r""", w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(ref, '\s+'), lambda x: x <> '')[1:40] AS a, list_filter(regexp_split_to_array(hyp, '\s+'), lambda x: x <> '')[1:40] AS b FROM pairs WHERE ref IS NOT NULL),
+u AS (SELECT *, list_distinct(list_concat(a, b)) AS joint FROM w)
+SELECT conv_id, turn, levenshtein(array_to_string(list_transform(a, lambda x: chr(32 + list_position(joint, x)::INT)), ''), array_to_string(list_transform(b, lambda x: chr(32 + list_position(joint, x)::INT)), ''))::INT AS distance FROM u"""
 )
 def word_distance(spark, sf_dir):
     """Of the first forty words of two turns: a length at which the SQL twin's codes stay ASCII."""
@@ -765,7 +765,7 @@ def metrics_windows(spark, sf_dir):
     return rows.groupBy("voice", F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("requests"), F.sum(F.char_length("text")).alias("characters")).select("voice", F.col("w.start").alias("since"), "requests", "characters")
 
 
-@query("SELECT event_id, len(list_filter(string_split(props, ' '), w -> w <> '')) * 0.08::DOUBLE / (0.5 + value / 200) AS seconds FROM events")
+@query("SELECT event_id, len(list_filter(string_split(props, ' '), lambda w: w <> '')) * 0.08::DOUBLE / (0.5 + value / 200) AS seconds FROM events")
 def stub_seconds(spark, sf_dir):
     e = table(spark, sf_dir, "events", "event_id", "value", "props")
     return e.select("event_id", serving.stub_seconds(F.col("props"), 0.5 + F.col("value") / 200).alias("seconds"))
