@@ -76,7 +76,7 @@ def read_wavs(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     rows.append({"path": name, **decode_wav(bytes(content)), "error": None})
                 except (ValueError, struct.error) as e:
-                    rows.append({"path": name, "error": str(e)})
+                    rows.append({"path": name, "sample_rate": None, "channels": None, "samples": None, "duration": None, "error": str(e)})
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _WAV.split(", ")]).astype({"sample_rate": "Int32", "channels": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _WAV)

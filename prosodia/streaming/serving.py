@@ -117,9 +117,11 @@ def exposition(counted: DataFrame, hist: DataFrame, name: str) -> DataFrame:
 
 
 def windowed(stream: DataFrame, event_time: str = "ts", width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Counters by window, voice and status with a watermark: state is dropped once no late row can reach it."""
+    """Counters by window, voice and status with a watermark: state is dropped once no late row can reach it. Times
+    without a zone are in the session's."""
     return (
-        stream.withWatermark(event_time, late)
+        stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
+        .withWatermark(event_time, late)
         .groupBy(F.window(event_time, width), "voice", "status")
         .agg(F.count("*").alias("requests"), F.sum(F.char_length("text")).alias("characters"))
         .select(F.col("window.start").alias("since"), "voice", "status", "requests", "characters")
