@@ -61,7 +61,8 @@ def fit(docs: DataFrame, max_rows: int = 20_000, text_col: str = "text", id_col:
     """Log-likelihood ratios of character pairs, random strings against ordinary identifiers.
 
     Labelled samples come from the documents themselves: values of assignments, access keys and hex strings are random,
-    words of letters joined by nothing, ``_`` or ``-`` are ordinary. Learns from about ``max_rows`` documents chosen by a
+    words of letters joined by nothing, ``_`` or ``-`` are ordinary; tokens longer than 200 characters, which are never
+    judged either, are neither. Learns from about ``max_rows`` documents chosen by a
     hash of the id; counts of character pairs, 41 x 41 for each class, are all that reaches the driver.
     """
     k = len(ALPHABET) + 1
@@ -76,7 +77,7 @@ def fit(docs: DataFrame, max_rows: int = 20_000, text_col: str = "text", id_col:
     )
     plain = F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9])[A-Za-z]{3,}(?:[_-][A-Za-z]{2,})*(?![A-Za-z0-9])"), F.lit(0))
     both = rows.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), random.alias("tokens")), F.struct(F.lit(0).alias("random"), plain.alias("tokens")))).alias("c"))
-    tokens = both.select("c.random", F.explode("c.tokens").alias("token")).where(F.length("token") > 1)
+    tokens = both.select("c.random", F.explode("c.tokens").alias("token")).where(F.length("token").between(2, 200))
     tokens = tokens.groupBy("random", "token").agg(F.count("*").alias("times"))
     pairs = tokens.select("random", "times", F.explode(_pairs(F.col("token"))).alias("pair"))
     counts = pairs.groupBy("random", "pair").agg(F.sum("times").alias("n")).collect()

@@ -1,0 +1,65 @@
+import hashlib
+import random
+import re
+
+from prosodia.llm import secret_scan as ss
+
+SCHEMA = "spans string, doc_id long, text string, base int"
+KINDS = ("assign", "access", "hex", "random")
+
+
+def brute(text):
+    out = []
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out += [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def texts():
+    draw = random.Random(9)
+    word = lambda a, n: "".join(draw.choices(a, k=n))
+    parts = ["password=", "Token : ", "api_key='", "APIKEY\":\"", "secret", "passwd", "=", "\u017fecret=abcdefghij", "\u212aey", "AKIA", "AKIAAKIA", "🙂", "é ", " ", "\n", "'", '"', ":"]
+    values = [lambda: word("abcdefghij0123456789+/_.=-", draw.randint(1, 20)), lambda: word("0123456789abcdef", draw.choice([31, 32, 40])), lambda: word("ABCDEFGHIJ0123456789", draw.choice([11, 12, 16])), lambda: "plain words here"]
+    made = ["".join(x() if callable(x) else x for x in draw.choices(parts + values * 3, k=draw.randint(1, 14))) for _ in range(500)]
+    return [None, "", "a" * 100_000, "password=" * 2000, "0" * 31, "token=abcdefgh" * 3, *made]
+
+
+def test_base_as_brute_force_and_kept(spark):
+    rows = [("", i, t, 0) for i, t in enumerate(texts())] + [("", None, "token=abcdefgh", 0), ("", 3, "token=abcdefgh", 0)]
+    got = ss.digest(ss.scan(spark.createDataFrame(rows, SCHEMA).repartition(3))).collect()
+    assert len(got) == len(rows)
+    by_key = {(r["doc_id"], r["base_sha256"]): r for r in got}
+    for _, i, t, _ in rows:
+        base = brute(t or "")
+        written = [f"{KINDS[k]}:{s}:{e}" for s, k, e in base]
+        row = by_key[i, hashlib.sha256(",".join(written).encode()).hexdigest()]
+        assert (row["n_assign"], row["n_access"], row["n_hex"]) == tuple(sum(b[1] == k for b in base) for k in range(3))
+        spans = row["spans"].split(",") if row["spans"] else []
+        assert set(written) <= set(spans)
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), KINDS.index(s.split(":")[0])))
+
+
+def test_models_tell_random_strings_from_names(spark):
+    draw = random.Random(10)
+    names = "get user account by name load default settings from file merge all sorted values into table".split()
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(draw.choices(alphabet, k=n))
+    training = [("", i, f"{' '.join(draw.choices(names, k=30))} token={key(30)} {'_'.join(draw.choices(names, k=3))}", 0) for i in range(300)]
+    llr = ss.fit(spark.createDataFrame(training, SCHEMA))
+    random_keys = [key(32) + "7" for _ in range(50)]
+    ordinary = ["_".join(draw.choices(names, k=5)) + "_2" for _ in range(50)]
+    rows = [("", i, f"see {t} here", 0) for i, t in enumerate(random_keys + ordinary)]
+    hits = {r["doc_id"] for r in ss.digest(ss.scan(spark.createDataFrame(rows, SCHEMA), llr)).collect() if "random" in r["spans"]}
+    assert len(hits & set(range(50))) >= 47 and len(hits & set(range(50, 100))) <= 2
+
+
+def test_no_python_on_the_main_path(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = ss.digest(ss.scan(docs, [0.0] * 41 * 41))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_empty_table(spark):
+    assert ss.digest(ss.scan(spark.createDataFrame([], SCHEMA))).collect() == []
