@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosodia.llm import bpe, decontam, exact_dedup, lang_id, simhash
-from prosodia.llm.shared import ascii_lower, materialise
+from prosodia.llm.shared import ascii_lower, materialise, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,22 +18,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of rows that repeat id and text, one."""
     classes = exact_dedup.exact_classes(docs, exact_dedup.older_half())
     classes = materialise(classes.select("doc_id", "kept", "text_sha256"))
-    gone = classes.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    one, other = unused("gone_id", docs), unused("gone_sha", docs)
+    gone = classes.where("not kept").select(F.col("doc_id").alias(one), F.col("text_sha256").alias(other)).distinct()
     sha = exact_dedup.sha256(ascii_lower(F.col("text")))
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(one)) & (sha == F.col(other)), "left_anti")
     repeated = classes.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies stays.
-
-    Fingerprints are of five-word shingles. Two independent ones are compared within four bits: documents with a
-    shingle similarity of 0.8 differ in about ten bits and less similar ones in more, so that what goes is similar.
-    """
-    found = simhash.near_duplicates(docs, radius=4, width=5, blocks=7, tables=2)
-    gone = materialise(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")))
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The document with the smallest doc_id of each group of near copies stays: texts whose five-word shingles are about
+    0.8 alike or more, by their fingerprints."""
+    gone, name = simhash.near_copies(docs), unused("gone_id", docs)
+    gone = gone.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(materialise(gone), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

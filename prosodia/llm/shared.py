@@ -33,6 +33,14 @@ def materialise(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def unused(name: str, frame: DataFrame) -> str:
+    """A column name that a frame doesn't have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only, as the contracts ask; lower() would fold other letters too."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

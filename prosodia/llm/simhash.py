@@ -39,16 +39,20 @@ def fingerprint_tables(text: bytes | None, width: int = 3, tables: int = 1) -> l
     Words are runs of bytes other than space and \\t-\\r after lower-casing A-Z; repeated shingles count each time. Fewer
     words than ``width`` make one shingle, no word (or a null) makes zero.
     """
+    return _bundled(shingle_hashes(text, width), tables)
+
+
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
     words = (text or b"").lower().split()
-    if not words:
-        return [0] * tables
     if len(words) <= width:
-        shingles = iter([b" ".join(words)])
-        n = 1
+        shingles, n = iter([b" ".join(words)]), min(len(words), 1)
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-        n = len(words) - width + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+        shingles, n = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)), len(words) - width + 1
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+
+
+def _bundled(hashes: np.ndarray, tables: int) -> list[int]:
+    n = len(hashes)
     ones = np.zeros((tables, 64), np.int64)
     for at in range(0, n, 1 << 16):
         for table in range(tables):
@@ -143,3 +147,90 @@ def near_duplicates(
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = member.join(lowest, "root").select("fp", "component_id")
     return printed.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity --------------------------------------------------------------------------------------
+
+
+def split_fingerprint(hashes: np.ndarray, blocks: int = 16, least: int = 5) -> np.ndarray:
+    """A SimHash for each of ``blocks`` parts of a text's distinct shingles, of the ``least`` smallest hashes in the part.
+
+    A shingle's part is the head of its hash, so that fewer than ``blocks`` edits leave a part as it was, and texts of any
+    length that are similar share some. A part without shingles is zero.
+    """
+    distinct = np.unique(hashes)
+    shift = np.uint64(64 - int(blocks).bit_length() + 1)
+    start = np.searchsorted(distinct, np.arange(blocks, dtype=np.uint64) << shift)
+    size = np.minimum(np.diff(np.append(start, len(distinct))), least)
+    out = np.zeros(blocks, np.int64)
+    full = np.nonzero(size)[0]
+    if len(full):
+        first = np.cumsum(size[full]) - size[full]
+        taken = np.repeat(start[full] - first, size[full]) + np.arange(size.sum())
+        bits = np.unpackbits(distinct[taken].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        out[full] = np.packbits(2 * ones > size[full][:, None], axis=1, bitorder="little").view("<i8").ravel()
+    return out
+
+
+def sketches(docs: DataFrame, width: int, tables: int, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fps, parts): the fingerprints of ``tables`` times 64 bits and the split fingerprint, null if it has no word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, parts = [], []
+            for text in utf8(batch.column(1)):
+                hashes = shingle_hashes(text, width)
+                fps.append(np.array(_bundled(hashes, tables), np.uint64).view(np.int64) if len(hashes) else None)
+                parts.append(split_fingerprint(hashes, blocks) if len(hashes) else None)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, longs), pa.array(parts, longs)], ["doc_id", "fps", "parts"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("fps", "parts"))])
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def near_copies(
+    docs: DataFrame, radius: int = 42, width: int = 5, tables: int = 4, blocks: int = 16, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, component_id): the documents that are near copies of others, and the smallest id of their group.
+
+    Two texts are linked when they share a block of their split fingerprints and their whole fingerprints of ``tables``
+    times 64 bits differ in at most ``radius`` bits: 42 of 256 is where five-word shingles are about 0.8 alike. One radius of a
+    single 64-bit fingerprint can't tell that similarity from less, and no few blocks of it are sure to agree.
+
+    Equal fingerprints are one class from the start. Up to ``crowd`` classes with a block in common are all compared.
+    Larger buckets are compared with their smallest member; members unlike it go on to buckets of that and the next block,
+    and so on through all blocks. Documents without words and null ids are near copies of none. Rows that
+    repeat an id are one document.
+    """
+    seen = materialise(sketches(docs.where(F.col(id_col).isNotNull()), width, tables, blocks, id_col, text_col).where("fps is not null"))
+    classes = materialise(seen.groupBy("fps").agg(F.min("doc_id").alias("rep"), F.min_by("parts", "doc_id").alias("parts")))
+    prints = classes.select("rep", "fps")
+    apart = F.expr("aggregate(zip_with(x.fps, y.fps, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = prints.alias("x"), prints.alias("y")
+        joined = pairs.distinct().join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
+        return materialise(joined.where(apart <= radius).select("a", "b"))
+
+    rows = classes.select("rep", F.posexplode("parts").alias("i", "key")).where("key != 0")
+    edges = None
+    for level in range(blocks):
+        sizes = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1")
+        met = materialise(rows.join(sizes, ["i", "key"]))
+        few = met.where(F.col("n") <= crowd).select("i", "key", "rep")
+        pairs = few.select("i", "key", F.col("rep").alias("a")).join(few.select("i", "key", F.col("rep").alias("b")), ["i", "key"]).where("a < b").select("a", "b")
+        many = met.where((F.col("n") > crowd) & (F.col("rep") != F.col("head")))
+        found = verified(pairs.unionAll(many.select(F.col("head").alias("a"), F.col("rep").alias("b"))))
+        edges = found if edges is None else edges.unionAll(found)
+        rest = materialise(many.join(found, (F.col("head") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("rep", "i", "key"))
+        if rest.isEmpty():
+            break
+        following = F.element_at("parts", (F.col("i") + level + 1) % blocks + 1)
+        rows = rest.join(classes.select("rep", "parts"), "rep").select("rep", "i", F.xxhash64("key", following).alias("key"))
+    roots = connected_components(edges)
+    least = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fps", F.coalesce("root", "rep").alias("component_id"))
+    grouped = seen.join(least, "fps").select("doc_id", "component_id")
+    crowds = grouped.groupBy("component_id").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").select("component_id")
+    return grouped.join(crowds, "component_id").select("doc_id", "component_id").distinct()
