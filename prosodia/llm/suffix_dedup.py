@@ -2,9 +2,13 @@
 
 Every string of ``length`` bytes has one minimizer, the least hash of the ``ANCHOR``-byte strings in it, so equal strings
 lie in pieces around equal minimizers. Pieces (maximal runs of strings with one minimizer) are dealt by minimizer: what a
-task merges is bounded, and what it never sees can hold no repeat of what it has. Pieces that repeat whole are settled by
-their hashes; where different pieces share a minimizer, their bytes are fetched, and the transforms of shards of them are
-merged to find the repeated intervals.
+task never sees can hold no repeat of what it has. Pieces that repeat whole are settled by their hashes; where different
+pieces share a minimizer, their bytes are fetched, and the transforms of shards of them are merged to find the repeated
+intervals.
+
+Two kinds of minimizers have too many pieces for that and are taken string by string, which is exact as well and spreads
+over all tasks. Those of one document in a thousand or more are known beforehand from a look at some documents, which
+decides where rows go and nothing else; those of more than ``CROWD`` different pieces are seen when pieces are settled.
 """
 
 from __future__ import annotations
@@ -20,25 +24,24 @@ from pyspark.sql import types as T
 
 from prosodia.llm.shared import materialise, utf8
 
-LENGTH, ANCHOR, CHUNK, SHARD = 50, 16, 1 << 22, 1 << 16
+LENGTH, ANCHOR, CHUNK, SHARD, CROWD, LOOKED_AT = 50, 24, 1 << 22, 1 << 16, 2_000, 20_000
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xBF58476D1CE4E5B9)
 _POS = _U((1 << 24) - 1)
 
 
 def _anchor_hashes(buffer: np.ndarray, anchor: int) -> np.ndarray:
-    """A hash of the ``anchor`` bytes (at most 16) at each place; places near the end see zeros."""
-    padded = np.zeros(len(buffer) + 24, np.uint8)
-    padded[: len(buffer)] = buffer
-    words = np.ndarray((len(buffer) + 16,), "<u8", padded, strides=(1,))
+    """A hash of the ``anchor`` bytes at each place; places near the end see zeros."""
+    n = len(buffer)
+    padded = np.zeros(n + anchor + 8, np.uint8)
+    padded[:n] = buffer
+    words = np.ndarray((n + anchor + 1,), "<u8", padded, strides=(1,))
     with np.errstate(over="ignore"):
-        low = words[: len(buffer)]
-        if anchor < 8:
-            low = low & _U((1 << (8 * anchor)) - 1)
-        h = low * _C1
-        if anchor > 8:
-            high = words[8 : 8 + len(buffer)]
-            h = h + (high & _U((1 << (8 * (anchor - 8))) - 1) if anchor < 16 else high) * _C2
+        h = np.zeros(n, np.uint64)
+        for i in range(0, anchor, 8):
+            at = min(i, max(anchor - 8, 0))
+            word = words[at : at + n]
+            h = (h + (word & _U((1 << (8 * anchor)) - 1) if anchor < 8 else h + word)) * _C1
         h ^= h >> _U(29)
         h *= _C3
         return h ^ (h >> _U(32))
@@ -72,8 +75,9 @@ def _string_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
         return h ^ (h >> _U(32))
 
 
-def pieces(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, start, end, minimizer, hash) of the pieces of some texts, starts and ends in bytes of their text."""
+def pieces(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR, crowded: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, start, end, minimizer, hash) of the pieces of some texts, starts and ends in bytes of their text. Pieces of
+    ``crowded`` minimizers come as their strings, each for itself."""
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.cumsum(sizes) - sizes
     buffer = np.frombuffer(b"".join(texts), np.uint8)
@@ -90,9 +94,17 @@ def pieces(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tu
     closes = whole.copy()
     closes[:-1] &= ~whole[1:] | (least[1:] != least[:-1])
     starts, ends = np.nonzero(opens)[0], np.nonzero(closes)[0] + length
+    minimizers = least[starts] >> _U(24)
+    if crowded is not None and len(crowded):
+        many = np.where(np.isin(minimizers, crowded), ends - starts - length, 0)
+        last = np.cumsum(many + 1)
+        within = np.arange(last[-1] if len(last) else 0) - np.repeat(last - many - 1, many + 1)
+        apart = np.repeat(many > 0, many + 1)
+        starts, ends, minimizers = np.repeat(starts, many + 1) + within, np.repeat(ends, many + 1), np.repeat(minimizers, many + 1)
+        ends = np.where(apart, starts + length, ends)
     text = owner[starts]
     hashes = _string_hashes(buffer, starts, ends)
-    return text, starts - offsets[text], ends - offsets[text], least[starts] >> _U(24), hashes
+    return text, starts - offsets[text], ends - offsets[text], minimizers, hashes
 
 
 def _cut(rows: Iterator[tuple[int, int, bytes]], size: int, length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -108,30 +120,43 @@ def _cut(rows: Iterator[tuple[int, int, bytes]], size: int, length: int) -> Iter
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bwt, suffixes) of some strings, each followed by an end sign that sorts before all bytes, ends in order.
 
-    Symbols are bytes plus one, 0 is the end sign. Suffixes are places in the strings joined with their end signs.
+    Symbols are bytes plus one, 0 is the end sign. Suffixes are places in the strings joined with their end signs. They
+    are sorted by their first seven symbols, then by prefix doubling among those that are still alike.
     """
     flat = np.zeros(sum(map(len, strings)) + len(strings), np.int64)
     at = 0
     for s in strings:
         flat[at : at + len(s)] = np.frombuffer(s, np.uint8).astype(np.int64) + 1
         at += len(s) + 1
-    ends = np.nonzero(flat == 0)[0]
-    rank = flat + len(ends)
-    rank[ends] = np.arange(len(ends))
-    step = 1
-    n = len(flat)
-    while True:  # prefix doubling; ends differ, so all suffixes do in the end
-        after = np.full(n, -1, np.int64)
-        after[:-step] = rank[step:]
-        order = np.lexsort((after, rank))
-        a, b = rank[order], after[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        rank, step = new, step * 2
-        if rank.max() == n - 1 or step >= n:
+    n, step = len(flat), 7
+    padded = np.concatenate([flat, np.zeros(step, np.int64)])
+    key, runs = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(step):
+        symbol = padded[i : i + n] * runs
+        key = key << 9 | symbol
+        runs &= symbol > 0
+    order = np.argsort(key, kind="stable")  # of suffixes that end alike the earlier string's comes first
+    opens = np.ones(n, bool)
+    opens[1:] = (key[order][1:] != key[order][:-1]) | ~runs[order][1:]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    while True:
+        alike = ~opens
+        alike[:-1] |= ~opens[1:]
+        places = np.nonzero(alike)[0]
+        if not len(places):
             break
-    suffixes = np.argsort(rank)
-    return flat[suffixes - 1].astype(np.uint16), suffixes
+        some = order[places]
+        key = rank[some] * (n + 1) + rank[some + step]
+        again = np.argsort(key, kind="stable")
+        some, key = some[again], key[again]
+        order[places] = some
+        new = np.ones(len(places), bool)
+        new[1:] = key[1:] != key[:-1]
+        opens[places] = new
+        rank[some] = np.maximum.accumulate(np.where(new, places, 0))
+        step *= 2
+    return flat[order - 1].astype(np.uint16), order
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,24 +165,33 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     Interleave refinement: an interleave that is right for the first k symbols of the suffixes becomes right for k + 1
     when each suffix goes, in order, to the next free place of the symbol before it. Two neighbours share k + 1 symbols
     when they got the same symbol and their sources shared k, which gives the common prefixes along the way. Suffixes
-    themselves are never sorted again.
+    themselves are never sorted again: the stable sorts here are counting sorts of small numbers.
     """
     sizes = [len(t) for t in transforms]
     symbols = np.concatenate(transforms)
-    place = np.repeat(np.arange(len(transforms), dtype=np.uint32), sizes)
-    ends = np.concatenate([np.full(int((t == 0).sum()), i, np.uint32) for i, t in enumerate(transforms)])
-    blocks = np.zeros(len(symbols), np.int64)
-    spread = np.empty(len(symbols), np.uint16)
+    used = np.unique(symbols)
+    if len(used) <= 256:
+        symbols = np.searchsorted(used, symbols).astype(np.uint8)
+    small = np.uint8 if len(transforms) <= 256 else np.uint16 if len(transforms) <= 1 << 16 else np.uint32
+    place = np.repeat(np.arange(len(transforms), dtype=small), sizes)
+    ends = np.concatenate([np.full(int((t == 0).sum()), i, small) for i, t in enumerate(transforms)])
+    blocks = np.zeros(len(symbols), np.int32)
+    spread = np.empty_like(symbols)
+    first = np.ones(len(symbols), bool)
+    sorted_symbols = np.sort(symbols, kind="stable")
+    first[1:] = sorted_symbols[1:] != sorted_symbols[:-1]
+    first[: len(ends)] = True
+    opens = np.empty_like(first)
     for _ in range(depth):
         spread[np.argsort(place, kind="stable")] = symbols
         order = np.argsort(spread, kind="stable")
-        got, source = spread[order], blocks[order]
+        source = blocks[order]
         place = place[order]
         place[: len(ends)] = ends  # suffixes that start with an end sign keep the order of the ends
-        opens = np.ones(len(symbols), bool)
-        opens[1:] = (got[1:] != got[:-1]) | (source[1:] != source[:-1])
-        opens[: len(ends)] = True
-        blocks = np.cumsum(opens) - 1
+        opens[:] = first
+        opens[1:] |= source[1:] != source[:-1]
+        np.cumsum(opens, dtype=np.int32, out=blocks)
+        blocks -= 1
     return place, blocks
 
 
@@ -194,8 +228,10 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, length: int = LENGT
     which, where = which[hit], where[hit]
     order = np.lexsort((where, which))
     which, where = which[order], where[order]
-    for i in np.unique(which):
-        out[i] = where[np.searchsorted(which, i) : np.searchsorted(which, i, side="right")]
+    cuts = np.nonzero(np.diff(which))[0] + 1
+    if len(which):
+        for i, found in zip(which[np.concatenate(([0], cuts))].tolist(), np.split(where, cuts), strict=True):
+            out[i] = found
     return out
 
 
@@ -221,8 +257,9 @@ def settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[rows["doc"] > first], rows[rows["doc"] == first]
 
 
-def _deal(length: int, anchor: int, buckets: int, chunk: int):
-    """Pieces by bucket of minimizers, packed; whole repeats within a chunk are settled where they are."""
+def _deal(length: int, anchor: int, buckets: int, chunk: int, crowded: np.ndarray):
+    """Pieces by bucket of minimizers, packed, and the strings of crowded ones by their hash, in as many buckets again;
+    whole repeats within a chunk are settled where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut() -> Iterator[tuple[int, int, bytes]]:
@@ -242,7 +279,7 @@ def _deal(length: int, anchor: int, buckets: int, chunk: int):
                 yield part
 
         for part in held():
-            text, start, end, minimizer, h = pieces([t for _, _, t in part], length, anchor)
+            text, start, end, minimizer, h = pieces([t for _, _, t in part], length, anchor, crowded)
             rows = np.empty(len(text), _ROW)
             rows["m"], rows["h"] = minimizer, h
             rows["doc"] = np.array([d for d, _, _ in part], np.int64)[text]
@@ -250,6 +287,8 @@ def _deal(length: int, anchor: int, buckets: int, chunk: int):
             rows["size"] = end - start
             again, rows = settle(rows)
             bucket = (rows["m"] % _U(buckets)).astype(np.int64)
+            alone = np.isin(rows["m"], crowded)
+            bucket[alone] = buckets + (rows["h"][alone] % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, rows = bucket[order], rows[order]
             cuts = np.nonzero(np.diff(bucket))[0] + 1
@@ -257,7 +296,7 @@ def _deal(length: int, anchor: int, buckets: int, chunk: int):
             keys = bucket[np.concatenate(([0], cuts))].tolist() if len(rows) else []
             for at in range(0, len(again), 1 << 16):
                 blobs.append(again[at : at + (1 << 16)].tobytes())
-                keys.append(int(again["m"][at] % _U(buckets)))
+                keys.append(int(again["h"][at] % _U(buckets)))
             whole = [False] * (len(blobs) - -(-len(again) // (1 << 16))) + [True] * -(-len(again) // (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(whole, pa.bool_()), pa.array([_pack(b) for b in blobs], pa.binary())], ["bucket", "settled", "rows"])
 
@@ -286,51 +325,88 @@ def _unpack(blob: bytes) -> np.ndarray:
     return rows
 
 
-def _settle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole repeats of each bucket as spans, and a question for each first piece whose minimizer other pieces have."""
+def _settle_buckets(buckets: int, crowd: int):
+    """Whole repeats of each bucket as spans, and a question for each first piece whose minimizer other pieces have.
+
+    A question is the minimizer, or less than -1 if more than ``crowd`` pieces have it. Strings of crowded minimizers are
+    settled when they are met.
+    """
 
-    def answer(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def answer(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         again, rows = settle(np.concatenate([_unpack(b) for b in blobs]))
         if len(again):
             yield _spans(again["doc"], again["start"], again["start"] + again["size"], np.full(len(again), -1))
+        if bucket >= buckets:
+            return
         opens = np.ones(len(rows), bool)
         opens[1:] = rows["m"][1:] != rows["m"][:-1]
         group = np.cumsum(opens) - 1
         other = np.concatenate(([False], (rows["h"][1:] != rows["h"][:-1]) & ~opens[1:]))
-        several = np.bincount(group, weights=other) > 0
-        asked = rows[several[group]]
+        others = np.bincount(group, weights=other)[group]
+        asked = rows[others > 0]
         if len(asked):
-            yield _spans(asked["doc"], asked["start"], asked["start"] + asked["size"], asked["m"].astype(np.int64))
+            ask = asked["m"].astype(np.int64)
+            ask = np.where(others[others > 0] >= crowd, -2 - ask, ask)
+            yield _spans(asked["doc"], asked["start"], asked["start"] + asked["size"], ask)
 
-    now, blobs = None, []
-    for batch in batches:
-        for bucket, settled, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if settled:
-                rows = _unpack(blob)
-                yield _spans(rows["doc"], rows["start"], rows["start"] + rows["size"], np.full(len(rows), -1))
-                continue
-            if bucket != now and blobs:
-                yield from answer(blobs)
-                blobs = []
-            now = bucket
-            blobs.append(blob)
-    if blobs:
-        yield from answer(blobs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for batch in batches:
+            for bucket, settled, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if settled:
+                    rows = _unpack(blob)
+                    yield _spans(rows["doc"], rows["start"], rows["start"] + rows["size"], np.full(len(rows), -1))
+                    continue
+                if bucket != now and blobs:
+                    yield from answer(now, blobs)
+                    blobs = []
+                now = bucket
+                blobs.append(blob)
+        if blobs:
+            yield from answer(now, blobs)
+
+    return run
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the pieces asked for."""
-    for batch in batches:
-        out: list[tuple] = []
-        for doc_id, text, asked in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            out += [(x["ask"], doc_id, x["start"], text[x["start"] : x["end"]]) for x in asked]
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["m", "doc_id", "start", "piece"])
+def _lists(column: pa.Array) -> list[tuple[np.ndarray, ...]]:
+    """(start, end, ask) arrays of each row of a column of lists of spans."""
+    offsets, flat = column.offsets.to_numpy(), column.values
+    arrays = [flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end", "ask")]
+    return [tuple(x[a:z] for x in arrays) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _fetch(length: int):
+    """The bytes of the pieces asked for; for a crowded minimizer their strings, each a group of its own by its hash."""
+    import xxhash
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, docs, starts, found = [], [], [], []
+            for doc_id, text, asked in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), _lists(batch.column(2)), strict=True):
+                for start, end, ask in zip(*(x.tolist() for x in asked), strict=True):
+                    if ask < -1:
+                        strings = [text[i : i + length] for i in range(start, end - length + 1)]
+                        m += [1 << 62 | xxhash.xxh64_intdigest(x, -2 - ask) >> 2 for x in strings]
+                        starts += range(start, end - length + 1)
+                        found += strings
+                        docs += [doc_id] * len(strings)
+                    else:
+                        m.append(ask)
+                        starts.append(start)
+                        found.append(text[start:end])
+                        docs.append(doc_id)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((m, docs, starts, found), kinds, strict=True)], ["m", "doc_id", "start", "piece"])
+
+    return run
 
 
 def _merge_groups(length: int, least_bytes: int = 1 << 19):
-    """Repeated intervals among pieces that share minimizers: some groups of pieces at a time, each group whole."""
+    """Repeated intervals among pieces that share minimizers: some groups of pieces at a time, each group whole.
+
+    Rows come by group, then document. Groups of single strings have their first document first and are never held.
+    """
 
     def settle_group(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, int] = {}
@@ -341,9 +417,12 @@ def _merge_groups(length: int, least_bytes: int = 1 << 19):
         windows = dict(zip(strings, repeated_windows(strings, np.array([first[s] for s in strings], np.int64), length), strict=True))
         doc_ids, starts, ends = [], [], []
         for _, doc, start, piece in rows:
-            at = windows[piece]
             if doc > first[piece]:
-                at = np.arange(len(piece) - length + 1)
+                doc_ids.append(doc)
+                starts.append(start)
+                ends.append(start + len(piece))
+                continue
+            at = windows[piece]
             if len(at):
                 cuts = np.nonzero(np.diff(at) > 1)[0]
                 lows, highs = at[np.concatenate(([0], cuts + 1))], at[np.concatenate((cuts, [len(at) - 1]))] + length
@@ -353,15 +432,25 @@ def _merge_groups(length: int, least_bytes: int = 1 << 19):
         yield _spans(doc_ids, starts, ends, [-1] * len(doc_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, now = [], 0, None
+        held, size, now, first = [], 0, None, {}
         for batch in batches:
+            single: list[tuple[int, int]] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if row[0] >> 62:
+                    if row[0] != now:
+                        now, first = row[0], {}
+                    if row[1] > first.setdefault(row[3], row[1]):
+                        single.append((row[1], row[2]))
+                    continue
                 if size >= least_bytes and row[0] != now:
                     yield from settle_group(held)
                     held, size = [], 0
                 now = row[0]
                 held.append(row)
                 size += len(row[3])
+            if single:
+                doc, start = (np.array(x) for x in zip(*single, strict=True))
+                yield _spans(doc, start, start + length, np.full(len(doc), -1))
         if held:
             yield from settle_group(held)
 
@@ -371,14 +460,14 @@ def _merge_groups(length: int, least_bytes: int = 1 << 19):
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, found in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for text, (start, end, _) in zip(utf8(batch.column(1)), _lists(batch.column(2)), strict=True):
             text = text or b""
-            runs: list[list[int]] = []
-            for x in sorted((x["start"], x["end"]) for x in found or ()):
-                if runs and x[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], x[1])
-                else:
-                    runs.append(list(x))
+            runs: list[tuple[int, int]] = []
+            if len(start):
+                order = np.argsort(start)
+                start, reach = start[order], np.maximum.accumulate(end[order])
+                cuts = np.nonzero(start[1:] > reach[:-1])[0]
+                runs = list(zip(start[np.concatenate(([0], cuts + 1))].tolist(), reach[np.concatenate((cuts, [len(start) - 1]))].tolist(), strict=True))
             kept, at = hashlib.sha256(), 0
             for a, z in runs:
                 kept.update(text[at:a])
@@ -393,8 +482,40 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
 
 
+def crowded_minimizers(slim: DataFrame, length: int, anchor: int, looked_at: int = LOOKED_AT, least: int = 64) -> np.ndarray:
+    """Minimizers that one in a thousand or more of about ``looked_at`` documents have, chosen by a hash of the id.
+
+    Their number is at most a thousand times the pieces of a mean document, whatever the size of the table. What is found
+    decides where rows go and never what is removed.
+    """
+    n = slim.count()
+    share = min(1_000_000, max(1, round(1_000_000 * looked_at / max(n, 1))))
+    some = slim.where(F.pmod(F.xxhash64("doc_id", F.lit("minimizers")), F.lit(1_000_000)) < share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in utf8(batch.column(0)) if t and len(t) >= length]
+            for at in range(0, len(texts), 256):
+                text, _, _, minimizer, _ = pieces(texts[at : at + 256], length, anchor)
+                each = np.unique(minimizer.astype(np.int64) << 8 | text) >> 8
+                m, docs = np.unique(each, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(docs.astype(np.int64))], ["m", "docs"])
+
+    counts = some.where("doc_id is not null").select("text").mapInArrow(run, "m long, docs long").groupBy("m").agg(F.sum("docs").alias("docs"))
+    bound = max(least, min(n, looked_at) // 1000)
+    return np.array(sorted(r["m"] for r in counts.where(F.col("docs") >= bound).collect()), np.uint64)
+
+
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket_bytes: int = 1 << 24, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    length: int = LENGTH,
+    anchor: int = ANCHOR,
+    bucket_bytes: int = 1 << 24,
+    chunk: int = CHUNK,
+    crowd: int = CROWD,
+    least_crowded: int = 64,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): one row per input row.
 
@@ -408,16 +529,17 @@ def remove_repeats(
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 26)))
-    dealt = slim.mapInArrow(_deal(length, anchor, buckets, chunk), "bucket long, settled boolean, rows binary")
-    dealt = dealt.repartition(min(tasks, buckets), "bucket").sortWithinPartitions("bucket")
-    found = materialise(dealt.mapInArrow(_settle_buckets, _SPAN_SCHEMA))
+    crowded = crowded_minimizers(slim, length, anchor, least=least_crowded)
+    dealt = slim.mapInArrow(_deal(length, anchor, buckets, chunk, crowded), "bucket long, settled boolean, rows binary")
+    dealt = dealt.repartition(min(tasks, 2 * buckets), "bucket").sortWithinPartitions("bucket")
+    found = materialise(dealt.mapInArrow(_settle_buckets(buckets, crowd), _SPAN_SCHEMA))
 
     texts = slim.repartition(tasks, "doc_id")
     each = lambda frame: frame.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "ask")).alias("found"))
-    asked = each(found.where("ask >= 0"))
-    fetched = texts.join(asked, "doc_id").select("doc_id", "text", "found").mapInArrow(_fetch, "m long, doc_id long, start int, piece binary")
-    fetched = fetched.repartition(tasks, "m").sortWithinPartitions("m")
+    asked = each(found.where("ask != -1"))
+    fetched = texts.join(asked, "doc_id").select("doc_id", "text", "found").mapInArrow(_fetch(length), "m long, doc_id long, start int, piece binary")
+    fetched = fetched.repartition(tasks, "m").sortWithinPartitions("m", "doc_id")
     merged = fetched.mapInArrow(_merge_groups(length), _SPAN_SCHEMA)
-    spans = each(found.where("ask < 0").unionByName(merged))
+    spans = each(found.where("ask = -1").unionByName(merged))
     schema = T.StructType([T.StructField(n, T.StringType() if n in ("kept_sha256", "spans") else T.LongType()) for n in _OUT])
     return texts.join(spans, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_remove, schema)
