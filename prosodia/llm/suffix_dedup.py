@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from prosodia.llm.shared import materialise, utf8
 
-LENGTH, ANCHOR, CHUNK, SHARD, CROWD, LOOKED_AT = 50, 24, 1 << 22, 1 << 16, 2_000, 20_000
+LENGTH, ANCHOR, CHUNK, SHARD, CROWD, LOOKED_AT = 50, 24, 1 << 21, 1 << 16, 2_000, 20_000
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xBF58476D1CE4E5B9)
 _POS = _U((1 << 24) - 1)
@@ -257,6 +257,21 @@ def settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[rows["doc"] > first], rows[rows["doc"] == first]
 
 
+def joined(rows: np.ndarray) -> np.ndarray:
+    """Spans of one document that touch or overlap as one; minimizers and hashes no longer mean anything."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows["start"], rows["doc"]))]
+    step = np.int64(1) << 33  # documents far apart, so that one running maximum serves all
+    other = np.cumsum(np.concatenate(([False], rows["doc"][1:] != rows["doc"][:-1])))
+    start = other * step + rows["start"]
+    reach = np.maximum.accumulate(start + rows["size"])
+    opens = np.concatenate(([True], start[1:] > reach[:-1]))
+    out = rows[opens]
+    out["size"] = reach[np.append(np.nonzero(opens)[0][1:] - 1, len(rows) - 1)] - start[opens]
+    return out
+
+
 def _deal(length: int, anchor: int, buckets: int, chunk: int, crowded: np.ndarray):
     """Pieces by bucket of minimizers, packed, and the strings of crowded ones by their hash, in as many buckets again;
     whole repeats within a chunk are settled where they are."""
@@ -286,6 +301,7 @@ def _deal(length: int, anchor: int, buckets: int, chunk: int, crowded: np.ndarra
             rows["start"] = np.array([b for _, b, _ in part], np.int64)[text] + start
             rows["size"] = end - start
             again, rows = settle(rows)
+            again = joined(again)
             bucket = (rows["m"] % _U(buckets)).astype(np.int64)
             alone = np.isin(rows["m"], crowded)
             bucket[alone] = buckets + (rows["h"][alone] % _U(buckets)).astype(np.int64)
