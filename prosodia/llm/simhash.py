@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosodia.llm.components import connected_components
-from prosodia.llm.shared import materialise, utf8
+from prosodia.llm.shared import materialise, unused, utf8
 
 SEED = 42
 
@@ -152,7 +152,7 @@ def near_duplicates(
 # --- near copies by similarity --------------------------------------------------------------------------------------
 
 
-def split_fingerprint(hashes: np.ndarray, blocks: int = 16, least: int = 5) -> np.ndarray:
+def split_fingerprint(hashes: np.ndarray, blocks: int = 16, least: int = 4) -> np.ndarray:
     """A SimHash for each of ``blocks`` parts of a text's distinct shingles, of the ``least`` smallest hashes in the part.
 
     A shingle's part is the head of its hash, so that fewer than ``blocks`` edits leave a part as it was, and texts of any
@@ -174,13 +174,14 @@ def split_fingerprint(hashes: np.ndarray, blocks: int = 16, least: int = 5) -> n
 
 
 def sketches(docs: DataFrame, width: int, tables: int, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fps, parts): the fingerprints of ``tables`` times 64 bits and the split fingerprint, null if it has no word."""
+    """(doc_id, fps, parts): the fingerprints of ``tables`` times 64 bits of the distinct shingles and the split
+    fingerprint, null if it has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, parts = [], []
             for text in utf8(batch.column(1)):
-                hashes = shingle_hashes(text, width)
+                hashes = np.unique(shingle_hashes(text, width))
                 fps.append(np.array(_bundled(hashes, tables), np.uint64).view(np.int64) if len(hashes) else None)
                 parts.append(split_fingerprint(hashes, blocks) if len(hashes) else None)
             longs = pa.list_(pa.int64())
@@ -190,21 +191,64 @@ def sketches(docs: DataFrame, width: int, tables: int, blocks: int, id_col: str
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
+def shingle_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rep, shingles): the sorted distinct shingle hashes of each row, eight bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text, width)).astype("<u8").tobytes() for text in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+    schema = T.StructType([T.StructField("rep", docs.schema[id_col].dataType), T.StructField("shingles", T.BinaryType())])
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def alike(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets of shingle hashes is ``similarity`` or more."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def within(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the rows of (a, b, x, y) whose shingle sets x and y are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [alike(x.as_buffer(), y.as_buffer(), similarity) for x, y in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
+
+
 def near_copies(
-    docs: DataFrame, radius: int = 42, width: int = 5, tables: int = 4, blocks: int = 16, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    radius: int = 64,
+    width: int = 5,
+    tables: int = 4,
+    blocks: int = 16,
+    crowd: int = 32,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float = 0.8,
 ) -> DataFrame:
     """(doc_id, component_id): the documents that are near copies of others, and the smallest id of their group.
 
-    Two texts are linked when they share a block of their split fingerprints and their whole fingerprints of ``tables``
-    times 64 bits differ in at most ``radius`` bits: 42 of 256 is where five-word shingles are about 0.8 alike. One radius of a
-    single 64-bit fingerprint can't tell that similarity from less, and no few blocks of it are sure to agree.
+    Two texts are linked when the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more.
+    Those are compared that share a block of their split fingerprints and whose whole fingerprints of ``tables`` times 64
+    bits differ in at most ``radius`` bits: 0.8 alike are about 39 of 256 bits, and 48 for the shortest texts, give or
+    take 6.
 
     Equal fingerprints are one class from the start. Up to ``crowd`` classes with a block in common are all compared.
     Larger buckets are compared with their smallest member; members unlike it go on to buckets of that and the next block,
-    and so on through all blocks. Documents without words and null ids are near copies of none. Rows that
-    repeat an id are one document.
+    and so on through all blocks. Documents without words and null ids are near copies of none. Rows that repeat an id
+    are one document.
     """
-    seen = materialise(sketches(docs.where(F.col(id_col).isNotNull()), width, tables, blocks, id_col, text_col).where("fps is not null"))
+    docs = docs.where(F.col(id_col).isNotNull())
+    seen = materialise(sketches(docs, width, tables, blocks, id_col, text_col).where("fps is not null"))
     classes = materialise(seen.groupBy("fps").agg(F.min("doc_id").alias("rep"), F.min_by("parts", "doc_id").alias("parts")))
     prints = classes.select("rep", "fps")
     apart = F.expr("aggregate(zip_with(x.fps, y.fps, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
@@ -212,7 +256,14 @@ def near_copies(
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = prints.alias("x"), prints.alias("y")
         joined = pairs.distinct().join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
-        return materialise(joined.where(apart <= radius).select("a", "b"))
+        close = materialise(joined.where(apart <= radius).select("a", "b").distinct())
+        name = unused("rep", docs)
+        wanted = close.select(F.col("a").alias(name)).unionAll(close.select(F.col("b").alias(name))).distinct()
+        texts = docs.join(wanted, F.col(id_col) == F.col(name), "left_semi").select(id_col, text_col).distinct()
+        sets = materialise(shingle_sets(texts, width, id_col, text_col))
+        left = close.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+        both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+        return materialise(within(both, similarity).distinct())
 
     rows = classes.select("rep", F.posexplode("parts").alias("i", "key")).where("key != 0")
     edges = None

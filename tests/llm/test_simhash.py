@@ -124,3 +124,24 @@ def test_near_copies_by_similarity(spark, crowd):
         least.setdefault(f, i)
     want = {i: least[f] for i, f in family.items() if list(family.values()).count(f) > 1}
     assert got == want
+
+
+def test_near_copies_are_those_of_similarity_080(spark):
+    draw = random.Random(5)
+    rows, want = [], set()
+    for i in range(150):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(204)]
+        copy, changed = list(words), 0
+        while True:
+            a, b = shingles(" ".join(words)), shingles(" ".join(copy))
+            if len(a & b) / len(a | b) < (0.83, 0.79)[i % 2]:
+                break
+            copy[changed * 5 + 4], changed = f"new{i}", changed + 1
+        if len(a & b) / len(a | b) >= 0.8:
+            want |= {(2 * i, 2 * i), (2 * i + 1, 2 * i)}
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    assert len(want) == 150
+    rows += [(900, "a b c d e f g h i j " * 40), (901, "a b c d e f g h i j " * 40 + "a b c d e f g h i k")]  # as sets 10 of 11
+    want |= {(900, 900), (901, 900)}
+    docs = spark.createDataFrame([("", i, t, 0) for i, t in rows], SCHEMA).repartition(4)
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs).collect()} == want
