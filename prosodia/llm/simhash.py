@@ -16,6 +16,8 @@ from prosodia.llm.components import connected_components
 from prosodia.llm.shared import materialise, unused, utf8
 
 SEED = 42
+#: Members of a crowded bucket that one task compares with as many others.
+SIDE = 1024
 
 
 def _again(hashes: np.ndarray, table: int) -> np.ndarray:
@@ -224,6 +226,71 @@ def within(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _distances(fps: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bits that differ, for each of some fingerprints and each of others."""
+    out = np.zeros((len(fps), len(others)), np.uint16)
+    for table in range(fps.shape[1]):
+        out += np.bitwise_count(fps[:, None, table] ^ others[None, :, table])
+    return out
+
+
+def centres(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """(centre, member): each member within the radius of a member of another group, and the best centre near it.
+
+    The best centre is the one closest to all that are not yet near another, so that an original comes before its copies
+    wherever their ids lie.
+    """
+    near = np.zeros((len(fps), len(fps)), np.uint16)
+    for at in range(0, len(fps), 256):
+        d = _distances(fps[at : at + 256], fps)
+        near[at : at + 256] = np.where(group[at : at + 256, None] != group[None, :], np.maximum(0, radius + 1 - d.astype(np.int32)), 0)
+    open_ = np.ones(len(fps), bool)
+    score = near.sum(axis=1, dtype=np.int64)
+    while True:
+        best = int(np.argmax(score))
+        if score[best] <= 0:
+            return
+        covered = np.nonzero(open_ & (near[best] > 0))[0]
+        for member in covered:
+            yield best, int(member)
+        open_[covered] = False
+        score -= near[:, covered].sum(axis=1, dtype=np.int64)
+
+
+def apart_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """All pairs of members of different groups within the radius."""
+    for at in range(0, len(fps), 256):
+        d = _distances(fps[at : at + 256], fps)
+        x, y = np.nonzero((d <= radius) & (group[at : at + 256, None] != group[None, :]))
+        for a, b in zip((x + at).tolist(), y.tolist(), strict=True):
+            if a < b:
+                yield a, b
+
+
+def crowded_pairs(members: DataFrame, radius: int, find) -> DataFrame:
+    """(a, b), a < b: what ``find`` gives for the members (i, key, n, rep, fps, root) of each bucket.
+
+    Members are dealt to sides of about SIDE by a hash, and each two sides of a bucket meet in a group of their own.
+    """
+    sides = F.ceil(F.col("n") / F.lit(SIDE)).cast("int")
+    side = F.pmod(F.xxhash64("rep"), sides).cast("int")
+    other = F.filter(F.sequence(F.lit(0), sides - 1), lambda t: (sides == 1) | (t != F.col("side")))
+    dealt = members.withColumn("side", side).withColumn("other", F.explode(other))
+    dealt = dealt.select("i", "key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "rep", "fps", "root")
+    kind = members.schema["rep"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        reps = table["rep"].combine_chunks()
+        fps = np.stack(table["fps"].to_pylist()).astype(np.int64).view(np.uint64)
+        _, group = np.unique(np.array(table["root"].to_pylist()), return_inverse=True)
+        found = np.array(list(find(fps, group, radius)), np.int64).reshape(-1, 2)
+        return pa.table({"a": reps.take(pa.array(found[:, 0])), "b": reps.take(pa.array(found[:, 1]))})
+
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    met = dealt.groupBy("i", "key", "p", "q").applyInArrow(run, schema)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_copies(
     docs: DataFrame,
     radius: int = 64,
@@ -243,9 +310,10 @@ def near_copies(
     take 6.
 
     Equal fingerprints are one class from the start. Up to ``crowd`` classes with a block in common are all compared.
-    Larger buckets are compared with their smallest member; members unlike it go on to buckets of that and the next block,
-    and so on through all blocks. Documents without words and null ids are near copies of none. Rows that repeat an id
-    are one document.
+    Members of larger buckets are compared with the smallest, then with the centres among those that no link has joined
+    yet, and at last all that are in different components are compared with each other; pairs that links already join
+    need no comparison, so a crowd of copies takes no pair of them all. Documents without words and null ids are near
+    copies of none. Rows that repeat an id are one document.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     seen = materialise(sketches(docs, width, tables, blocks, id_col, text_col).where("fps is not null"))
@@ -265,22 +333,23 @@ def near_copies(
         both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
         return materialise(within(both, similarity).distinct())
 
-    rows = classes.select("rep", F.posexplode("parts").alias("i", "key")).where("key != 0")
-    edges = None
-    for level in range(blocks):
-        sizes = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1")
-        met = materialise(rows.join(sizes, ["i", "key"]))
-        few = met.where(F.col("n") <= crowd).select("i", "key", "rep")
-        pairs = few.select("i", "key", F.col("rep").alias("a")).join(few.select("i", "key", F.col("rep").alias("b")), ["i", "key"]).where("a < b").select("a", "b")
-        many = met.where((F.col("n") > crowd) & (F.col("rep") != F.col("head")))
-        found = verified(pairs.unionAll(many.select(F.col("head").alias("a"), F.col("rep").alias("b"))))
-        edges = found if edges is None else edges.unionAll(found)
-        rest = materialise(many.join(found, (F.col("head") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("rep", "i", "key"))
-        if rest.isEmpty():
+    rows = classes.select("rep", "fps", F.posexplode("parts").alias("i", "key")).where("key != 0")
+    sizes = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1")
+    met = materialise(rows.join(sizes, ["i", "key"]))
+    few = met.where(F.col("n") <= crowd).select("i", "key", "rep")
+    pairs = few.select("i", "key", F.col("rep").alias("a")).join(few.select("i", "key", F.col("rep").alias("b")), ["i", "key"]).where("a < b").select("a", "b")
+    many = met.where((F.col("n") > crowd) & (F.col("rep") != F.col("head")))
+    edges = verified(pairs.unionAll(many.select(F.col("head").alias("a"), F.col("rep").alias("b"))))
+    roots = materialise(connected_components(edges))
+    crowded = met.where(F.col("n") > crowd).select("i", "key", "rep", "fps")
+    for find in (centres, apart_pairs):
+        now = crowded.join(roots, F.col("rep") == F.col("node"), "left").select("i", "key", "rep", "fps", F.coalesce("root", "rep").alias("root"))
+        split = now.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        left = materialise(now.join(split.select("i", "key", "n"), ["i", "key"]))
+        if left.isEmpty():
             break
-        following = F.element_at("parts", (F.col("i") + level + 1) % blocks + 1)
-        rows = rest.join(classes.select("rep", "parts"), "rep").select("rep", "i", F.xxhash64("key", following).alias("key"))
-    roots = connected_components(edges)
+        edges = edges.unionAll(verified(crowded_pairs(left, radius, find)))
+        roots = materialise(connected_components(edges))
     least = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fps", F.coalesce("root", "rep").alias("component_id"))
     grouped = seen.join(least, "fps").select("doc_id", "component_id")
     crowds = grouped.groupBy("component_id").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").select("component_id")

@@ -126,6 +126,23 @@ def test_near_copies_by_similarity(spark, crowd):
     assert got == want
 
 
+def test_copies_of_an_original_that_is_not_the_smallest_id(spark):
+    draw = random.Random(4)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(600):
+        copy = list(words)
+        for at in range(6):
+            copy[10 + 48 * at + draw.randrange(30)] = f"new{draw.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    rows.append((600, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(s & sets[600]) / len(s | sets[600]) > 0.8 for s in sets)
+    assert sum(len(s & sets[0]) / len(s | sets[0]) >= 0.8 for s in sets) < 30
+    docs = spark.createDataFrame([("", i, t, 0) for i, t in rows], SCHEMA).repartition(4)
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs).collect()} == {(i, 0) for i in range(601)}
+
+
 def test_near_copies_are_those_of_similarity_080(spark):
     draw = random.Random(5)
     rows, want = [], set()
