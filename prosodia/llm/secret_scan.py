@@ -14,8 +14,8 @@ VALUE = "[A-Za-z0-9+/_.=-]+"
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 #: The tails of the other two are at least as long as asked for, which drops the same matches: a shorter run has none.
 ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
-#: What the models judge: 20 to 200 characters of a token alphabet that hold a digit, not part of a longer run.
-CANDIDATE = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])"
+#: What the models judge: whole runs of 20 characters or more of a token alphabet that hold a digit.
+CANDIDATE = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _RANDOM_IN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})"""
 
@@ -50,19 +50,19 @@ def base_spans(text: Column) -> Column:
 
 
 def _pairs(token: Column) -> Column:
-    """Codes of the character pairs of a token."""
-    low = F.translate(token, UPPER, LOWER)
+    """Codes of the character pairs of a token, in one pass."""
     k = len(ALPHABET) + 1
-    spot = lambda i: F.instr(F.lit(ALPHABET), F.substring(low, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: spot(i) * k + spot(i + 1))
+    spots = F.transform(F.split(F.translate(token, UPPER, LOWER), ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    n = F.length(token) - 1
+    return F.zip_with(F.slice(spots, F.lit(1), n), F.slice(spots, F.lit(2), n), lambda a, b: a * k + b)
 
 
 def fit(docs: DataFrame, max_rows: int = 20_000, text_col: str = "text", id_col: str = "doc_id") -> list[float]:
     """Log-likelihood ratios of character pairs, random strings against ordinary identifiers.
 
     Labelled samples come from the documents themselves: values of assignments, access keys and hex strings are random,
-    words of letters joined by nothing, ``_`` or ``-`` are ordinary; tokens longer than 200 characters, which are never
-    judged either, are neither. Learns from about ``max_rows`` documents chosen by a
+    words of letters joined by nothing, ``_`` or ``-`` are ordinary; tokens longer than 200 characters, which are
+    judged all the same, are neither. Learns from about ``max_rows`` documents chosen by a
     hash of the id; counts of character pairs, 41 x 41 for each class, are all that reaches the driver.
     """
     k = len(ALPHABET) + 1

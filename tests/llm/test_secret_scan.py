@@ -63,3 +63,15 @@ def test_no_python_on_the_main_path(spark):
 
 def test_empty_table(spark):
     assert ss.digest(ss.scan(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_runs_of_any_length_are_judged(spark):
+    draw = random.Random(3)
+    token = lambda n: "7" + "".join(draw.choices(ss.LOWER + ss.UPPER + "0123456789", k=n - 1))
+    plain = " ".join("ordinary words and other_names of the corpus".split() * 20)
+    learn = spark.createDataFrame([(i, f"{plain} password={token(40)}") for i in range(100)], "doc_id long, text string")
+    llr = ss.fit(learn)
+    rows = [(n, f"see {token(n)} here") for n in (19, 20, 200, 201, 1000, 100_000)] + [(5, "other_names_of_the_corpus_" * 20 + "1")]
+    got = ss.scan(spark.createDataFrame(rows, "doc_id long, text string"), llr).collect()
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got}
+    assert spans == {n: [(4, 3, 4 + n)] if n >= 20 else [] for n, _ in rows}
