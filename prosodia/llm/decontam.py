@@ -109,10 +109,31 @@ class Index:
             if not hit.any():
                 continue  # no window shares a shingle with any item
             for n, group in self.groups.items():
-                if min(n, self.shingle) == width and n <= len(codes):
+                if min(n, self.shingle) != width:
+                    continue
+                if n <= len(codes):
                     self._windows(hashes, hit, n, width, group, out)
+                else:
+                    self._whole(hashes, hit, len(codes), group, out)
         return out
 
+    def _whole(self, hashes: np.ndarray, hit: np.ndarray, n_words: int, group: dict, out: dict) -> None:
+        """A text with fewer words than the items, as one window: exact for each item that shares a shingle."""
+        m, here = group["m"], len(hashes)
+        if here < self.similarity * m - 1e-9 or hit.sum() < self.similarity * (m + here) / (1 + self.similarity) - 1e-9:
+            return
+        if "holders" not in group:
+            group["holders"] = {}
+            for k, counts in enumerate(group["counts"]):
+                for h in counts:
+                    group["holders"].setdefault(h, []).append(k)
+        window = Counter(hashes.tolist())
+        for k in sorted({k for h in window for k in group["holders"].get(h, ())}):
+            common = sum((window & group["counts"][k]).values())
+            score = common / (m + here - common)
+            if score >= self.similarity:
+                out[group["items"][k]] = (score, 0, n_words)
+
     def _windows(self, hashes: np.ndarray, hit: np.ndarray, n: int, width: int, group: dict, out: dict) -> None:
         m = group["m"]
         need = self.similarity * 2 / (1 + self.similarity) * m - 1e-9
@@ -165,7 +186,7 @@ def contaminated(
 
     An item is contained when some window of the document with as many words has a weighted Jaccard similarity of
     ``shingle``-word shingles (repeats count) of ``similarity`` or more; the row has the best window, the first of equal
-    ones. Items with fewer words are one shingle. Null and wordless texts and items match nothing; items with the same
+    ones. A document with fewer words than the item is one window as a whole. Items with fewer words are one shingle. Null and wordless texts and items match nothing; items with the same
     text each get their rows, repeated documents too. Items are indexed in chunks of ``chunk``, so that what each task
     holds is bounded whatever the size of the benchmark; each chunk is one pass over the documents. Further columns are
     ignored.

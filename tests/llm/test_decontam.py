@@ -67,3 +67,25 @@ def test_empty_tables_and_repeated_rows(spark):
     assert decontam.contaminated(docs, item).collect() == [] and decontam.contaminated(one, items).collect() == []
     assert decontam.clean(one, items).count() == 3 and decontam.clean(one, item).count() == 0
     assert len(decontam.contaminated(one, item).collect()) == 6
+
+
+def test_documents_shorter_than_an_item(spark):
+    draw = random.Random(8)
+    items = [(i, [f"w{draw.randrange(300)}" for _ in range(n)]) for i, n in enumerate([6, 20, 50, 50, 90])]
+    docs, want = [], set()
+    for item, words in items:
+        for first in range(0, 6):
+            for last in range(0, 16, 3):
+                part = words[first : len(words) - last]
+                docs.append((len(docs), " ".join(part)))
+                cut = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+                a, b = cut(part), cut(words)
+                score = sum((a & b).values()) / sum((a | b).values())
+                if score >= 0.8:
+                    want.add((docs[-1][0], item, round(score, 9), 0, len(part)))
+    frame = spark.createDataFrame([("", i, t, 0) for i, t in docs], DOCS).repartition(3)
+    benchmark = spark.createDataFrame([(i, " ".join(w), 0) for i, w in items], ITEMS)
+    got = decontam.contaminated(frame, benchmark).collect()
+    assert len(want) > 30
+    assert {(r["doc_id"], r["item_id"], round(r["similarity"], 9), r["start_word"], r["n_words"]) for r in got} == want
+    assert {r["doc_id"] for r in decontam.clean(frame, benchmark).collect()} == {i for i, _ in docs} - {w[0] for w in want}
