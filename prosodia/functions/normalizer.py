@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosodia.functions import numbers as say
-from prosodia.functions.constants import ABBREVIATIONS, CAPITAL_WORDS, LETTERS, MIXED_CASE, NAME_ENDINGS
+from prosodia.functions.constants import ABBREVIATIONS, BEFORE_ROMAN, BEFORE_YEAR, CAPITAL_WORDS, LETTERS, MIXED_CASE, NAME_ENDINGS
 
 IsWord = Callable[[str], bool]
 _A = re.ASCII
@@ -30,13 +30,11 @@ _DOTTED = re.compile(r"\b(?:[A-Z]\.){2,}", _A)
 _SLASH = re.compile(r"\b([A-Z])/([A-Z])\b", _A)
 _MIXED = re.compile(r"\b(?:" + "|".join(sorted(MIXED_CASE, key=len, reverse=True)) + r")\b", _A)
 _PLURAL_CAPS = re.compile(r"\b([A-Z]{2,4})s\b", _A)
-_NUMBERED = "act appendix article book chapter class figure grade level mark paragraph part phase round section stage table tier title type volume war"
-_ROMAN = re.compile(rf"(?i:\b({'|'.join(_NUMBERED.split())})\s+([IVXLCDM]{{2,}})\b)", _A)
+_ROMAN = re.compile(rf"(?i:\b({'|'.join(BEFORE_ROMAN)})\s+([IVXLCDM]{{2,}})\b)", _A)
 _CAPS = re.compile(r"\b[A-Z]{2,4}\b", _A)
 _CAPS_RUN = re.compile(r"\b[A-Z]{2,}\b", _A)
 _DECADE = re.compile(r"\b([0-9]{4})s\b", _A)
-_YEAR_AFTER = "after around before by circa during early from in late mid of since until year"
-_YEAR = re.compile(rf"(?i:\b({'|'.join(_YEAR_AFTER.split())})\s+(1[1-9][0-9]{{2}}|20[0-9]{{2}})\b)", _A)
+_YEAR = re.compile(rf"(?i:\b({'|'.join(BEFORE_YEAR)})\s+(1[1-9][0-9]{{2}}|20[0-9]{{2}})\b)", _A)
 _STAMP = re.compile(r"\b([0-9]{1,2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]+))?\b", _A)
 _CLOCK = re.compile(r"\b([0-9]{1,2}):([0-9]{2})\b", _A)
 _ORDINAL = re.compile(r"\b([0-9]+)(?:st|nd|rd|th)\b", _A)

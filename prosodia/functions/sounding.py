@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from prosodia.functions.constants import ARPABET
+from prosodia.functions.constants import ARPABET, NUCLEI
 
 _FOLD = {"þ": "th", "æ": "ae", "œ": "oe", "ß": "ss", "ð": "d", "ø": "o", "ł": "l", "đ": "d", "ı": "i"}
 
@@ -103,7 +103,6 @@ def stem_and_ending(word: str, sound: Callable[[str], str]) -> tuple[str, str]:
     return stem(word), ""
 
 
-_NUCLEI = "AIOQSTWY" + "aeiou" + "æœø" + "ɐɑɒɔəɚɛɜɤɨɪɯʊʌ" + "ᵊᵻ"
 _STRESS = re.compile("[ˈˌː]")
 
 
@@ -113,11 +112,11 @@ def structural_flags(ipa: str) -> list[str]:
     ɹ may close a run, as a vowel does, but is none by itself.
     """
     out = []
-    if len(_STRESS.sub("", ipa)) >= 2 and not any(c in _NUCLEI for c in ipa):
+    if len(_STRESS.sub("", ipa)) >= 2 and not any(c in NUCLEI for c in ipa):
         out.append("NO-NUCLEUS")
     if ipa.count("ˈ") >= 2:
         out.append("DOUBLE-STRESS")
-    tail = _STRESS.sub("", re.search(f"[^{_NUCLEI}ɹ]*$", ipa)[0])
+    tail = _STRESS.sub("", re.search(f"[^{NUCLEI}ɹ]*$", ipa)[0])
     if re.search("(?<!l)[mnŋ]$|l$", tail) and len(tail) >= 2 and not (len(tail) == 2 and tail[0] == "ʔ"):
         out.append(f"NO-VOWEL-TAIL({tail})")
     return out
