@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosodia.llm.pretokens import Once, parts, splitter
-from prosodia.llm.shared import process_store, utf8
+from prosodia.llm.shared import lean, process_store, utf8
 
 
 def byte_letters() -> list[str]:
@@ -101,10 +101,7 @@ class Codec:
 
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each vocabulary and Python worker."""
-    store = process_store()
-    if ("codec", path, pattern) not in store:
-        store["codec", path, pattern] = Codec(path, pattern)
-    return store["codec", path, pattern]
+    return process_store(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def round_trips(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,4 +135,4 @@ def round_trips(docs: DataFrame, path: str, pattern: str, with_ids: bool = False
         T.StructField("exact", T.BooleanType()),
         *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []),
     ]
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(run), T.StructType(fields))

@@ -222,7 +222,7 @@ def contaminated(
                 rest = [pa.array(columns[2], pa.float64()), *(pa.array(c, k) for c, k in zip(columns[3:], kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], type=arrow_item), *rest], [f.name for f in schema.fields])
 
-        found = slim.mapInArrow(run, schema)
+        found = slim.mapInArrow(lean(run), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -247,5 +247,5 @@ def clean(
             for batch in batches:
                 yield batch.filter(pa.array([not index.matches(t) for t in batch.column(column).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prosodia.llm.shared import process_store
+from prosodia.llm.shared import lean, process_store
 
 UNKNOWN, KEPT_GRAMS = "und", 40_000
 
@@ -82,10 +82,7 @@ class Space:
 
 
 def space(dimensions: int, seed: int) -> Space:
-    store = process_store()
-    if ("space", dimensions, seed) not in store:
-        store["space", dimensions, seed] = Space(dimensions, seed)
-    return store["space", dimensions, seed]
+    return process_store(("space", dimensions, seed), lambda: Space(dimensions, seed))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -118,7 +115,7 @@ def learn(
             lists = pa.array([v.astype(np.float64).tolist() for v in sums.values()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), lists], ["lang", "sums"])
 
-    partial = rows.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(run, "lang string, sums array<double>")
+    partial = rows.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(lean(run), "lang string, sums array<double>")
     summed = partial.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("s")).collect()
     langs = sorted({r["lang"] for r in summed})
     out = np.zeros((len(langs), dimensions), np.float32)
@@ -167,7 +164,7 @@ def predict(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    return docs.select(F.col(id_col), held_out(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), held_out(id_col), F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
 
 
 def recognised(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = 0.1, seed: int = 20, text_col: str = "text") -> DataFrame:
@@ -185,4 +182,4 @@ def recognised(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least:
                 keep = [any(map(str.isalpha, t or "")) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

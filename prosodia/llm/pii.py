@@ -192,7 +192,7 @@ def fit(docs: DataFrame, max_rows: int = 20_000, max_shapes: int = 5_000, id_col
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "shape", "a", "b", "n"])
 
-    counted = rows.mapInArrow(run, "piece string, shape string, a int, b int, n long").groupBy("piece", "shape", "a", "b").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lean(run), "piece string, shape string, a int, b int, n long").groupBy("piece", "shape", "a", "b").agg(F.sum("n").alias("n"))
     top = counted.where("piece = 'node'").groupBy("shape").agg(F.sum("n").alias("all"), F.collect_list(F.struct("a", "n")).alias("by"))
     seen = top.orderBy(F.desc("all"), "shape").limit(max_shapes).collect()
     size = len(KINDS) + 1
@@ -261,4 +261,4 @@ def scan(docs: DataFrame, field: Field | None = None, threshold: float = 0.9, id
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
     types = [docs.schema[id_col].dataType, *[T.LongType()] * 4, T.StringType(), T.StringType(), T.LongType()]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(run), schema)

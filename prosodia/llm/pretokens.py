@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import regex
 
-KEPT_CHARS, KEPT, PART = 64, 400_000, 1 << 18
+KEPT_CHARS, KEPT, PART = 64, 120_000, 1 << 17
 
 
 class Once:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,11 +28,39 @@ def shared_folder(spark) -> str:
 
 def materialise(frame: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, each row is computed once, and a lost
-    executor costs no recomputation of what lies before."""
+    executor costs no recomputation of what lies before. discard() deletes it; clear_scratch() deletes what is left."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/prosodia/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    made = spark.read.schema(frame.schema).parquet(path)
+    made.prosodia_path = path
+    return made
+
+
+def _files(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing will read any more."""
+    for frame in frames:
+        files, where = _files(frame.sparkSession, frame.prosodia_path)
+        files.delete(where, True)
+
+
+def clear_scratch(spark, older_than: float = 86_400.0) -> int:
+    """Deletes the tables of materialise() in the shared folder that were written more than ``older_than`` seconds ago, and
+    says how many. Tables that a result is still to be read from must be younger."""
+    import time
+
+    files, where = _files(spark, f"{shared_folder(spark)}/prosodia")
+    if not files.exists(where):
+        return 0
+    old = [f.getPath() for f in files.listStatus(where) if f.getModificationTime() < (time.time() - older_than) * 1000]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
 
 
 def unused(name: str, frame: DataFrame) -> str:
@@ -53,6 +83,45 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def process_store() -> dict:
-    """What a Python worker keeps from task to task: vocabularies and the like, by key."""
-    return sys.__dict__.setdefault("_prosodia_process_store", {})
+def process_store(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task, such as a vocabulary: ``make()`` once, until another key is asked for.
+    One thing is kept at a time, so that a worker that serves stage after stage holds no earlier stage's."""
+    store = sys.__dict__.setdefault("_prosodia_process_store", {})
+    if key not in store:
+        store.clear()
+        give_back()
+        store[key] = make()
+    return store[key]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which the allocators would keep for as long as the worker lives."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most: int = 1 << 22) -> Callable:
+    """The function for mapInArrow() with batches of at most ``most`` bytes or one row, and with freed memory given back at
+    the end: Python objects of a batch of long texts stay small, and results leave in small batches as well."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stack = [batch]
+            while stack:
+                part = stack.pop()
+                if part.num_rows > 1 and part.nbytes > most:
+                    half = part.num_rows // 2
+                    stack += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(small(batches))
+        give_back()
+
+    return lean_run

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosodia.llm.components import connected_components
-from prosodia.llm.shared import materialise, unused, utf8
+from prosodia.llm.shared import lean, materialise, unused, utf8
 
 SEED = 42
 #: Members of a crowded bucket that one task compares with as many others.
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, t])) for t in range(tables))], ["doc_id", *names])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
 
 
 def _masks(blocks: int, equal: int) -> list[int]:
@@ -190,7 +190,7 @@ def sketches(docs: DataFrame, width: int, tables: int, blocks: int, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, longs), pa.array(parts, longs)], ["doc_id", "fps", "parts"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("fps", "parts"))])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
 
 
 def shingle_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +202,7 @@ def shingle_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     schema = T.StructType([T.StructField("rep", docs.schema[id_col].dataType), T.StructField("shingles", T.BinaryType())])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
 
 
 def alike(x: bytes, y: bytes, similarity: float) -> bool:
@@ -223,7 +223,7 @@ def within(pairs: DataFrame, similarity: float) -> DataFrame:
             keep = [alike(x.as_buffer(), y.as_buffer(), similarity) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
+    return pairs.select("a", "b", "x", "y").mapInArrow(lean(run), pairs.select("a", "b").schema)
 
 
 def _distances(fps: np.ndarray, others: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prosodia.llm.shared import materialise, utf8
+from prosodia.llm.shared import lean, materialise, utf8
 
 LENGTH, ANCHOR, CHUNK, SHARD, CROWD, LOOKED_AT = 50, 24, 1 << 21, 1 << 16, 2_000, 20_000
 _U = np.uint64
@@ -517,7 +517,7 @@ def crowded_minimizers(slim: DataFrame, length: int, anchor: int, looked_at: int
                 m, docs = np.unique(each, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(docs.astype(np.int64))], ["m", "docs"])
 
-    counts = some.where("doc_id is not null").select("text").mapInArrow(run, "m long, docs long").groupBy("m").agg(F.sum("docs").alias("docs"))
+    counts = some.where("doc_id is not null").select("text").mapInArrow(lean(run), "m long, docs long").groupBy("m").agg(F.sum("docs").alias("docs"))
     bound = max(least, min(n, looked_at) // 1000)
     return np.array(sorted(r["m"] for r in counts.where(F.col("docs") >= bound).collect()), np.uint64)
 

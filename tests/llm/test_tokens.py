@@ -27,10 +27,11 @@ def frame(spark):
     return spark.createDataFrame(rows + [("", 4, "twice", 0), ("", None, "no id", 0)], SCHEMA).repartition(3)
 
 
-def test_counts_as_the_library(spark):
+@pytest.mark.parametrize("head", [{}, {"head_terms": 3}, {"head_docs": 1, "head_terms": 1}])
+def test_counts_as_the_library(spark, head):
     library = Tokenizer.from_file(JSON)
     library.no_truncation()
-    got = sorted(map(tuple, token_count.token_counts(frame(spark), JSON, tokens.PATTERN).collect()), key=str)
+    got = sorted(map(tuple, token_count.token_counts(frame(spark), JSON, tokens.PATTERN, **head).collect()), key=str)
     want = []
     for i, t in [*enumerate(texts()), (4, "twice"), (None, "no id")]:
         n = len(library.encode(t or "", add_special_tokens=False).ids)
