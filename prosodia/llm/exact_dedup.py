@@ -13,7 +13,10 @@ from prosodia.llm import fuse
 from prosodia.llm.shared import ascii_lower, materialise
 
 BUCKET_KEYS = 400_000
+#: Rows of a group of copies that one task takes.
 SALT_ROWS = 512
+#: Groups with more than one in so many of all rows are fewer than this, so they may be sent to every task.
+HOT_GROUPS = 100_000
 
 
 def sha256(norm: Column) -> Column:
@@ -65,7 +68,12 @@ def exact_classes(
     stays; texts that only share the digest (``digest`` may be any function) are told apart by their bytes.
 
     Of equal texts the largest id stays. Rows that repeat both id and text are all marked as kept, and count in
-    group_size; null ids stay only where a group has no other (then keep_id is null). Further columns are ignored.
+    group_size; null ids stay only where a group has no other (then keep_id is null). Very long texts are compared whole.
+    Further columns are ignored. An empty table gives no rows.
+
+    A group of copies may hold any share of the rows. Groups above ``SALT_ROWS`` rows and one in ``HOT_GROUPS`` of all rows
+    are fewer than ``HOT_GROUPS``, meet their rows where these are and never in one task; texts are compared, and results
+    given back, in parts of about ``SALT_ROWS`` rows of a group.
     """
     norm = ascii_lower(F.col(text_col))
     rows = materialise(
@@ -80,9 +88,13 @@ def exact_classes(
     met = old.unionByName(screened.where("hit").drop("hit")).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     classes = materialise(met.unionByName(screened.where("not hit").drop("hit")))
 
-    several = classes.where("n > 1").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
+    several = classes.where("n > 1").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).select("digest", "keep_id", "salts", "n")
+    least = max(SALT_ROWS, (classes.agg(F.sum("n")).first()[0] or 0) // HOT_GROUPS)
+    hot = several.where(F.col("n") > least)
     # Ids meet their classes first, without texts; texts then meet ids, whose keys no group of copies makes frequent.
-    wanted = rows.select("doc_id", "digest").distinct().join(several.select("digest", "keep_id", "salts"), "digest")
+    ids = rows.select("doc_id", "digest").distinct()
+    cold = ids.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(several.where(F.col("n") <= least), "digest")
+    wanted = ids.join(F.broadcast(hot), "digest").unionByName(cold)
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "keep_id", "salts")
     texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
     member = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).drop("_id", "_digest")
@@ -90,12 +102,13 @@ def exact_classes(
     stays = member.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "salts").agg(F.min("norm").alias("stays"))
     stays = stays.select("digest", "stays", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     checked = member.join(stays, ["digest", "salt"]).select(
-        "doc_id", "digest", F.when(F.col("norm") == F.col("stays"), "").otherwise(F.concat(F.lit("="), "norm")).alias("apart"), "norm"
+        "doc_id", "digest", "salt", "salts", F.when(F.col("norm") == F.col("stays"), "").otherwise(F.concat(F.lit("="), "norm")).alias("apart"), "norm"
     )
     # Only texts that differ from the one that stays keep their bytes from here on; with SHA-256 there are none.
-    checked = materialise(checked.select("doc_id", "digest", "apart", sha256(F.col("norm")).alias("text_sha256")))
-    equal = checked.groupBy("digest", "apart").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    shared = checked.join(equal, ["digest", "apart"]).select("doc_id", "keep_id", "group_size", "text_sha256")
+    checked = materialise(checked.select("doc_id", "digest", "salt", "salts", "apart", sha256(F.col("norm")).alias("text_sha256")))
+    equal = checked.groupBy("digest", "apart").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max("salts").alias("salts"))
+    equal = equal.select("digest", "apart", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    shared = checked.drop("salts").join(equal, ["digest", "apart", "salt"]).select("doc_id", "keep_id", "group_size", "text_sha256")
     single = rows.join(classes.where("n = 1").select("digest"), "digest", "left_semi")
     if digest is not sha256:
         single = texts.join(classes.where("n = 1").select("digest"), "digest", "left_semi").withColumn("digest", sha256(F.col("norm")))

@@ -37,6 +37,15 @@ def test_as_brute_force(spark, snapshot):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("rows_a_task, groups", [(4, 1), (4, 10**9)])
+def test_hot_groups(spark, monkeypatch, rows_a_task, groups):
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", rows_a_task)
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", groups)
+    rows = corpus()
+    docs = spark.createDataFrame([("", i, t, 0, 0) for i, t in rows], SCHEMA).repartition(4)
+    assert sorted(map(tuple, exact_dedup.exact_classes(docs, exact_dedup.older_half()).collect()), key=str) == brute(rows)
+
+
 def test_colliding_digests_are_told_apart_by_bytes(spark):
     rows = [(i, t) for i, (_, t) in enumerate(corpus()[:120])]
     docs = spark.createDataFrame([("", i, t, 0, 0) for i, t in rows], SCHEMA)
