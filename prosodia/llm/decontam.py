@@ -8,12 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-SHINGLE, SIMILARITY, CHUNK = 5, 0.8, 5_000
+from prosodia.llm import fuse
+from prosodia.llm.shared import lean, materialise
+
+#: Items that one task holds with their index, and items whose shingles one screening pass holds.
+SHINGLE, SIMILARITY, CHUNK, SCREENED = 5, 0.8, 5_000, 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 words_of = re.compile(r"[^\W_]+").findall
 
@@ -160,23 +165,59 @@ class Index:
                             out[item] = (score, start, n)
 
 
+class Screen:
+    """A binary-fuse filter of all shingles of some items: what no shingle of a text passes holds none of the items."""
+
+    def __init__(self, texts: list[str | None], shingle: int):
+        split = [ws for ws in map(tokens, texts) if ws]
+        self.widths = sorted({min(len(ws), shingle) for ws in split})
+        found = [np.zeros(0, np.uint64), *(_hash(self.codes(ws), min(len(ws), shingle)) for ws in split)]
+        self.held = fuse.build(np.unique(np.concatenate(found)))
+
+    @staticmethod
+    def codes(ws: list[str]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+
+    def passes(self, text: str | None) -> bool:
+        codes = self.codes(tokens(text))
+        return any(len(codes) >= w and bool(fuse.contains(self.held, _hash(codes, w)).any()) for w in self.widths)
+
+
 def _chunks(benchmark: DataFrame, chunk: int, item_col: str, item_text_col: str) -> Iterator[list[tuple]]:
     """The items in order, ``chunk`` at a time; one empty list for an empty benchmark."""
     held: list[tuple] = []
-    for row in benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).orderBy("item", "text").toLocalIterator():
-        held.append((row["item"], row["text"]))
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    for row in rows.orderBy("item", "text").toLocalIterator():
         if len(held) == chunk:
             yield held
             held = []
+        held.append((row["item"], row["text"]))
     yield held
 
 
+def _screened(docs: DataFrame, benchmark: DataFrame, shingle: int, screened: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The rows of ``docs`` that have a shingle of some item in common, and a few more."""
+    column, kept = docs.columns.index(text_col), None
+    for part in _chunks(benchmark, screened, item_col, item_text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(Screen([t for _, t in part], shingle))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(list(map(sent.value.passes, batch.column(column).to_pylist())), pa.bool_()))
+
+        some = materialise(docs.mapInArrow(lean(run), docs.schema))
+        sent.unpersist()
+        kept = some if kept is None else kept.unionByName(some)
+    return kept
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     similarity: float = SIMILARITY,
     shingle: int = SHINGLE,
     chunk: int = CHUNK,
+    screened: int = SCREENED,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -186,10 +227,15 @@ def contaminated(
 
     An item is contained when some window of the document with as many words has a weighted Jaccard similarity of
     ``shingle``-word shingles (repeats count) of ``similarity`` or more; the row has the best window, the first of equal
-    ones. A document with fewer words than the item is one window as a whole. Items with fewer words are one shingle. Null and wordless texts and items match nothing; items with the same
-    text each get their rows, repeated documents too. Items are indexed in chunks of ``chunk``, so that what each task
-    holds is bounded whatever the size of the benchmark; each chunk is one pass over the documents. Further columns are
-    ignored.
+    ones. A document with fewer words than the item is one window as a whole. Items with fewer words are one shingle.
+
+    Null and wordless texts and items match nothing, and so does all with an empty table on either side; items with the
+    same text each get their rows, repeated documents too. Very long texts are read whole; their windows are taken some
+    hundred at a time. Further columns are ignored.
+
+    Items are indexed in chunks of ``chunk``, so that what each task holds is bounded whatever the size of the benchmark.
+    With more items than one chunk, documents are first screened by filters of the shingles of ``screened`` items each, so
+    that all documents are read once for so many items, and only those with a shingle in common once for each chunk.
     """
     item_kind = benchmark.schema[item_col].dataType
     schema = T.StructType(
@@ -201,12 +247,17 @@ def contaminated(
             T.StructField("n_words", T.LongType()),
         ]
     )
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    spark = docs.sparkSession
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    several = benchmark.limit(chunk + 1).count() > chunk
+    if several:
+        # A document comes out of each screen that it passes, and is looked at once.
+        slim = slim.withColumn("row", F.monotonically_increasing_id())
+        slim = materialise(slim)
+        slim = materialise(_screened(slim, benchmark, shingle, screened, "text", item_col, item_text_col).dropDuplicates(["row"]).drop("row"))
     arrow_item = to_arrow_type(item_kind)
     out = None
     for part in _chunks(benchmark, chunk, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(part)
+        sent = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names = [item for item, _ in sent.value]
@@ -223,6 +274,9 @@ def contaminated(
                 yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], type=arrow_item), *rest], [f.name for f in schema.fields])
 
         found = slim.mapInArrow(lean(run), schema)
+        if several:
+            found = materialise(found)
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -237,15 +291,22 @@ def clean(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item in the sense of contaminated(). Nothing is shuffled."""
+    """The rows of ``docs``, all columns, that contain no item in the sense of contaminated(). Nothing is shuffled; each
+    chunk of items is one pass over the documents that are left."""
     column = docs.columns.index(text_col)
+    several = benchmark.limit(chunk + 1).count() > chunk
     for part in _chunks(benchmark, chunk, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(list(enumerate(text for _, text in sent.value)), shingle, similarity)
+            screen = Screen([t for _, t in sent.value], shingle) if several else None
             for batch in batches:
-                yield batch.filter(pa.array([not index.matches(t) for t in batch.column(column).to_pylist()], pa.bool_()))
+                texts = batch.column(column).to_pylist()
+                yield batch.filter(pa.array([(screen is not None and not screen.passes(t)) or not index.matches(t) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(lean(run), docs.schema)
+        if several:
+            docs = materialise(docs)
+            sent.unpersist()
     return docs

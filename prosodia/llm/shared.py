@@ -63,6 +63,24 @@ def clear_scratch(spark, older_than: float = 86_400.0) -> int:
     return len(old)
 
 
+#: Keys with more than one in so many of all rows are fewer than this, so a row for each may be sent to every task.
+HOT_KEYS, HOT_ROWS = 100_000, 512
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each key and in ``rows`` how often ``left`` has it.
+
+    Keys of more than HOT_ROWS rows and one in HOT_KEYS of ``total``, all rows of ``left``, are fewer than HOT_KEYS: they
+    are sent to the rows, which are not moved. All others are joined by a shuffle in which no key is frequent. ``left`` is
+    read twice, so it should be a table.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = right.where(F.col(rows) > least), right.where(F.col(rows) <= least)
+    here = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return here.unionByName(rest)
+
+
 def unused(name: str, frame: DataFrame) -> str:
     """A column name that a frame doesn't have."""
     taken = {c.lower() for c in frame.columns}
