@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosodia.llm.shared import materialise
+from prosodia.llm.shared import discard, materialise, spread_join
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,8 +17,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, root) for every node that has an edge; root is the smallest node of its component.
 
     Large-star hangs the larger neighbours of each node on its smallest one, small-star the smaller neighbours, until
-    the edges are stars. Each round aggregates by node before it joins, so a hub's edges never meet in one task unless
-    adaptive execution finds them small; rounds are logarithmic in the longest path. Nulls have no edges.
+    the edges are stars. Each round aggregates by node before it joins, and a hub's neighbour is sent to its edges instead
+    of the edges to one task; rounds are logarithmic in the longest path. Nulls have no edges.
     """
     edges = materialise(
         edges.where(F.col(a) != F.col(b))
@@ -28,17 +28,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = _mark(edges)
     while before[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
-        edges = materialise(
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = spread_join(both, least, ["u"], "n", 2 * before[0]).where("v > u")
+        large = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hung = spread_join(large, least, ["u"], "n", 2 * before[0])
+        small = materialise(
             hung.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(least.select("u", F.col("m").alias("v")))
             .where("u != v")
             .distinct()
         )
+        discard(edges, large)
+        edges = small
         after = _mark(edges)
         if after == before:
             break

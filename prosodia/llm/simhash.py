@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosodia.llm.components import connected_components
-from prosodia.llm.shared import lean, materialise, unused, utf8
+from prosodia.llm.shared import HOT_KEYS, HOT_ROWS, lean, materialise, spread_join, unused, utf8
 
 SEED = 42
-#: Members of a crowded bucket that one task compares with as many others.
-SIDE = 1024
+#: Members of a bucket, and bytes of their shingle sets, that one task compares with as many others.
+SIDE, SIDE_BYTES = 1024, 1 << 24
 
 
 def _again(hashes: np.ndarray, table: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 4, crowd: int = 32) ->
     keys = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.i", "k.key")
     sizes = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    near = materialise(keyed.join(sizes, ["i", "key"]))
+    near = materialise(spread_join(keyed, sizes, ["i", "key"], "n", len(masks) * fps.count()))
     small = near.where(F.col("n") <= crowd)
     pairs = (
         small.alias("x")
@@ -117,6 +117,7 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 4, crowd: int = 32) ->
     )
     crowded = near.where(F.col("n") > crowd).select("fp").distinct()
     around = crowded.select("fp", F.explode(_flips(radius // 2)).alias("flip")).select("fp", F.expr("fp ^ flip").alias("mid"))
+    # A midpoint has at most as many fingerprints around it as it has flips, so no key is frequent here.
     heads = around.groupBy("mid").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
     hung = around.join(heads, "mid").where("fp != head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
     return pairs.unionAll(hung)
@@ -134,7 +135,7 @@ def near_duplicates(
     Repeated rows come out as often as they came in; further columns of ``docs`` are ignored. An empty table gives none.
     """
     printed = materialise(fingerprints(docs, width, tables, id_col, text_col))
-    prints = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     edges = links(prints.select("fp"), radius, blocks, crowd)
     for table in range(1, tables):
         here = printed.select("fp", F.col(f"fp{table}").alias("other")).distinct()
@@ -145,10 +146,10 @@ def near_duplicates(
             met = met.join(heads.select(F.col("other").alias(side), F.col("head").alias(f"head_{side}")), side)
         edges = edges.unionAll(hung).unionAll(met.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
     roots = connected_components(edges)
-    member = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = member.join(lowest, "root").select("fp", "component_id")
-    return printed.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = materialise(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    lowest = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    classes = spread_join(member, lowest, ["root"], "members", member.count()).select("fp", "component_id", "n")
+    return spread_join(printed, classes, ["fp"], "n", printed.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # --- near copies by similarity --------------------------------------------------------------------------------------
@@ -234,61 +235,67 @@ def _distances(fps: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
-def centres(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """(centre, member): each member within the radius of a member of another group, and the best centre near it.
+def spanning(fps: np.ndarray, parts: np.ndarray, block: int, roots: np.ndarray, sets: list, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links among the members of a bucket that join all that are linked with each other: two members are compared if
+    nothing has joined them yet, their fingerprints are within ``radius`` and ``block`` is the first that they share.
 
-    The best centre is the one closest to all that are not yet near another, so that an original comes before its copies
-    wherever their ids lie.
+    ``roots`` are the components that the members are in already. Close pairs come first, so that copies of one text are
+    joined by as many links as there are copies, and only members that are alike but not enough are compared in pairs.
     """
-    near = np.zeros((len(fps), len(fps)), np.uint16)
-    for at in range(0, len(fps), 256):
-        d = _distances(fps[at : at + 256], fps)
-        near[at : at + 256] = np.where(group[at : at + 256, None] != group[None, :], np.maximum(0, radius + 1 - d.astype(np.int32)), 0)
-    open_ = np.ones(len(fps), bool)
-    score = near.sum(axis=1, dtype=np.int64)
-    while True:
-        best = int(np.argmax(score))
-        if score[best] <= 0:
-            return
-        covered = np.nonzero(open_ & (near[best] > 0))[0]
-        for member in covered:
-            yield best, int(member)
-        open_[covered] = False
-        score -= near[:, covered].sum(axis=1, dtype=np.int64)
-
-
-def apart_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """All pairs of members of different groups within the radius."""
-    for at in range(0, len(fps), 256):
-        d = _distances(fps[at : at + 256], fps)
-        x, y = np.nonzero((d <= radius) & (group[at : at + 256, None] != group[None, :]))
-        for a, b in zip((x + at).tolist(), y.tolist(), strict=True):
-            if a < b:
-                yield a, b
-
-
-def crowded_pairs(members: DataFrame, radius: int, find) -> DataFrame:
-    """(a, b), a < b: what ``find`` gives for the members (i, key, n, rep, fps, root) of each bucket.
-
-    Members are dealt to sides of about SIDE by a hash, and each two sides of a bucket meet in a group of their own.
+    _, group = np.unique(roots, return_inverse=True)
+    least = list(range(int(group.max()) + 1)) if len(group) else []
+
+    def find(x: int) -> int:
+        while least[x] != x:
+            least[x] = least[least[x]]
+            x = least[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+    for low, high in ((0, radius // 2), (radius // 2, radius)):
+        for at in range(0, len(fps), 128):
+            here = np.array([find(g) for g in group], np.int64)
+            d = _distances(fps[at : at + 128], fps)
+            near = (d <= high) & ((d > low) | (low == 0)) & (here[at : at + 128, None] != here[None, :])
+            x, y = np.nonzero(near)
+            x += at
+            later = x < y
+            x, y = x[later], y[later]
+            earlier = (parts[x, :block] == parts[y, :block]) & (parts[x, :block] != 0)
+            first = ~earlier.any(axis=1)
+            x, y = x[first], y[first]
+            order = np.argsort(d[x - at, y], kind="stable")
+            for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                one, two = find(int(group[a])), find(int(group[b]))
+                if one != two and alike(sets[a], sets[b], similarity):
+                    least[max(one, two)] = min(one, two)
+                    found.append((a, b))
+    return found
+
+
+def bucket_links(members: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): spanning links of the members (i, key, n, size, rep, fps, parts, root, shingles) of each bucket.
+
+    Members are dealt to sides by a hash, of about SIDE members and SIDE_BYTES of shingles, and each two sides of a bucket
+    meet in a group of their own, so no task holds a bucket that grows with the table.
     """
-    sides = F.ceil(F.col("n") / F.lit(SIDE)).cast("int")
-    side = F.pmod(F.xxhash64("rep"), sides).cast("int")
-    other = F.filter(F.sequence(F.lit(0), sides - 1), lambda t: (sides == 1) | (t != F.col("side")))
-    dealt = members.withColumn("side", side).withColumn("other", F.explode(other))
-    dealt = dealt.select("i", "key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "rep", "fps", "root")
+    sides = F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("size") / SIDE_BYTES)).cast("int")
+    dealt = members.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int"))
+    other = F.filter(F.sequence(F.lit(0), F.col("sides") - 1), lambda t: (F.col("sides") == 1) | (t != F.col("side")))
+    dealt = dealt.withColumn("other", F.explode(other))
+    dealt = dealt.select("i", "key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "rep", "fps", "parts", "root", "shingles")
     kind = members.schema["rep"].dataType
 
     def run(table: pa.Table) -> pa.Table:
-        reps = table["rep"].combine_chunks()
-        fps = np.stack(table["fps"].to_pylist()).astype(np.int64).view(np.uint64)
-        _, group = np.unique(np.array(table["root"].to_pylist()), return_inverse=True)
-        found = np.array(list(find(fps, group, radius)), np.int64).reshape(-1, 2)
+        reps, sets = table["rep"].combine_chunks(), [x.as_buffer() for x in table["shingles"]]
+        matrix = lambda name: np.array(table[name].combine_chunks().flatten()).reshape(len(sets), -1)
+        roots = np.array(table["root"].to_pylist())
+        found = spanning(matrix("fps").view(np.uint64), matrix("parts"), table["i"][0].as_py(), roots, sets, radius, similarity)
+        found = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": reps.take(pa.array(found[:, 0])), "b": reps.take(pa.array(found[:, 1]))})
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    met = dealt.groupBy("i", "key", "p", "q").applyInArrow(run, schema)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return dealt.groupBy("i", "key", "p", "q").applyInArrow(run, schema)
 
 
 def near_copies(
@@ -297,7 +304,6 @@ def near_copies(
     width: int = 5,
     tables: int = 4,
     blocks: int = 16,
-    crowd: int = 32,
     id_col: str = "doc_id",
     text_col: str = "text",
     similarity: float = 0.8,
@@ -307,50 +313,55 @@ def near_copies(
     Two texts are linked when the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more.
     Those are compared that share a block of their split fingerprints and whose whole fingerprints of ``tables`` times 64
     bits differ in at most ``radius`` bits: 0.8 alike are about 39 of 256 bits, and 48 for the shortest texts, give or
-    take 6.
+    take 6. Documents without words and null ids are near copies of none. Rows that repeat an id are one document. Very
+    long texts are read whole. An empty table gives no rows; further columns are ignored.
 
-    Equal fingerprints are one class from the start. Up to ``crowd`` classes with a block in common are all compared.
-    Members of larger buckets are compared with the smallest, then with the centres among those that no link has joined
-    yet, and at last all that are in different components are compared with each other; pairs that links already join
-    need no comparison, so a crowd of copies takes no pair of them all. Documents without words and null ids are near
-    copies of none. Rows that repeat an id are one document.
+    Equal fingerprints are one class from the start. Each member of a bucket is first compared with the smallest one,
+    which joins most copies by one link each. Buckets whose members are not all joined then compare all that are in
+    different components, in parts of bounded size; what comes out of a part is a spanning forest, never all its pairs.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     seen = materialise(sketches(docs, width, tables, blocks, id_col, text_col).where("fps is not null"))
-    classes = materialise(seen.groupBy("fps").agg(F.min("doc_id").alias("rep"), F.min_by("parts", "doc_id").alias("parts")))
-    prints = classes.select("rep", "fps")
-    apart = F.expr("aggregate(zip_with(x.fps, y.fps, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x, y = prints.alias("x"), prints.alias("y")
-        joined = pairs.distinct().join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
-        close = materialise(joined.where(apart <= radius).select("a", "b").distinct())
-        name = unused("rep", docs)
-        wanted = close.select(F.col("a").alias(name)).unionAll(close.select(F.col("b").alias(name))).distinct()
-        texts = docs.join(wanted, F.col(id_col) == F.col(name), "left_semi").select(id_col, text_col).distinct()
-        sets = materialise(shingle_sets(texts, width, id_col, text_col))
-        left = close.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-        both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        return materialise(within(both, similarity).distinct())
-
-    rows = classes.select("rep", "fps", F.posexplode("parts").alias("i", "key")).where("key != 0")
-    sizes = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("rep").alias("head")).where("n > 1")
-    met = materialise(rows.join(sizes, ["i", "key"]))
-    few = met.where(F.col("n") <= crowd).select("i", "key", "rep")
-    pairs = few.select("i", "key", F.col("rep").alias("a")).join(few.select("i", "key", F.col("rep").alias("b")), ["i", "key"]).where("a < b").select("a", "b")
-    many = met.where((F.col("n") > crowd) & (F.col("rep") != F.col("head")))
-    edges = verified(pairs.unionAll(many.select(F.col("head").alias("a"), F.col("rep").alias("b"))))
+    classes = seen.groupBy("fps").agg(F.min("doc_id").alias("rep"), F.min_by("parts", "doc_id").alias("parts"), F.count("*").alias("rows"))
+    classes = materialise(classes)
+    keyed = classes.select("rep", "fps", F.posexplode("parts").alias("i", "key")).where("key != 0")
+    sizes = keyed.groupBy("i", "key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "fps")).alias("head")).where("n > 1")
+    total = classes.count()
+    met = materialise(spread_join(keyed, sizes, ["i", "key"], "n", blocks * total))
+
+    name = unused("rep", docs)
+    wanted = met.select(F.col("rep").alias(name)).distinct()
+    texts = docs.join(wanted, F.col(id_col) == F.col(name), "left_semi").select(id_col, text_col)
+    sets = materialise(shingle_sets(texts, width, id_col, text_col).dropDuplicates(["rep"]))
+
+    apart = F.expr("aggregate(zip_with(fps, head.fps, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
+    pairs = met.where((F.col("rep") != F.col("head.rep")) & (apart <= radius)).select(F.col("head.rep").alias("a"), F.col("rep").alias("b"))
+    pairs = materialise(pairs.distinct())
+    left = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    counted = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    heads = counted.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+    # A head of very many members is met in parts: its set is repeated for each, and the members' sets are dealt to them.
+    parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+    split = counted.where(F.col("n") > HOT_ROWS).select("a", parts.alias("parts"))
+    few = split.limit(HOT_KEYS + 1).count() <= HOT_KEYS
+    left = left.join(F.broadcast(split) if few else split, "a", "left")
+    left = left.withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    heads = heads.select("a", "x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    edges = materialise(within(left.join(heads, ["a", "part"]), similarity))
+
     roots = materialise(connected_components(edges))
-    crowded = met.where(F.col("n") > crowd).select("i", "key", "rep", "fps")
-    for find in (centres, apart_pairs):
-        now = crowded.join(roots, F.col("rep") == F.col("node"), "left").select("i", "key", "rep", "fps", F.coalesce("root", "rep").alias("root"))
-        split = now.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        left = materialise(now.join(split.select("i", "key", "n"), ["i", "key"]))
-        if left.isEmpty():
-            break
-        edges = edges.unionAll(verified(crowded_pairs(left, radius, find)))
-        roots = materialise(connected_components(edges))
-    least = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fps", F.coalesce("root", "rep").alias("component_id"))
-    grouped = seen.join(least, "fps").select("doc_id", "component_id")
-    crowds = grouped.groupBy("component_id").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").select("component_id")
-    return grouped.join(crowds, "component_id").select("doc_id", "component_id").distinct()
+    now = met.join(roots, F.col("rep") == F.col("node"), "left").select("i", "key", "rep", "fps", F.coalesce("root", "rep").alias("root"))
+    now = materialise(now)
+    open_ = now.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_ = materialise(spread_join(now, open_.select("i", "key", "n"), ["i", "key"], "n", blocks * total))
+    if not open_.isEmpty():
+        held = sets.join(classes.select("rep", "parts"), "rep")
+        members = materialise(open_.drop("n").join(held, "rep"))
+        measured = members.groupBy("i", "key").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("size"))
+        members = spread_join(members, measured, ["i", "key"], "n", blocks * total)
+        more = materialise(bucket_links(members, radius, similarity))
+        roots = materialise(connected_components(edges.unionAll(more)))
+    least = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fps", "rows", F.coalesce("root", "rep").alias("component_id"))
+    grouped = materialise(spread_join(seen, least, ["fps"], "rows", total).select("doc_id", "component_id"))
+    crowds = grouped.groupBy("component_id").agg(F.count_distinct("doc_id").alias("n"), F.count("*").alias("rows")).where("n > 1")
+    return spread_join(grouped, crowds, ["component_id"], "rows", grouped.count()).select("doc_id", "component_id").distinct()

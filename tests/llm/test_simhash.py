@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from prosodia.llm import simhash
+from prosodia.llm import shared, simhash
 
 SCHEMA = "fp string, doc_id long, text string, component_id int"
 
@@ -94,8 +94,11 @@ def shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-@pytest.mark.parametrize("crowd", [32, 3])
-def test_near_copies_by_similarity(spark, crowd):
+@pytest.mark.parametrize("side, hot", [(1024, 512), (4, 2)])
+def test_near_copies_by_similarity(spark, monkeypatch, side, hot):
+    monkeypatch.setattr(simhash, "SIDE", side)
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
     draw = random.Random(9)
     rows, family = [], {}
     for i in range(60):
@@ -118,7 +121,7 @@ def test_near_copies_by_similarity(spark, crowd):
         assert alike > 0.8 if family[a] == family[b] else alike < 0.62
     rows += [(5000, None), (5001, ""), (5002, " ")]
     docs = spark.createDataFrame([("", i, t, 0) for i, t in rows], SCHEMA).repartition(4)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, crowd=crowd).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
     least = {}
     for i, f in family.items():
         least.setdefault(f, i)
