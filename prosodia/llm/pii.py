@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prosodia.llm.shared import lean
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -24,6 +26,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_SIGNS = re.compile(r"[\W_]+")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
+#: Outlines are counted by a hash in so many slots, which bounds the model and drops none of them.
+SLOTS = 1 << 16
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 
 
@@ -87,11 +93,12 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
 
 def shape(token: str) -> str:
     """The token's outline: letters a, digits by how many, other characters themselves."""
-    if len(token) > 80:
-        return "long"
-    found = re.sub(r"[^\W\d_]+", "a", token)
-    found = re.sub(r"[0-9]+", lambda m: f"<{min(len(m[0]), 20)}>", found)
-    return found[:60]
+    return _DIGITS.sub(lambda m: f"<{len(m[0])}>", _LETTERS.sub("a", token))
+
+
+def slot(token: str) -> int:
+    """Where the field keeps what it knows of the token's outline; outlines of any length and number fit."""
+    return zlib.crc32(shape(token).encode()) % SLOTS
 
 
 def labels(found: list[tuple[int, int, str]], spans: list[Span]) -> np.ndarray:
@@ -118,7 +125,7 @@ def edges(found: list[tuple[int, int, str]], near: int = 40) -> tuple[np.ndarray
     skip, last = set(), {}
     for i, (_, _, token) in enumerate(found):
         low = token.lower()
-        for key in (("=", re.sub(r"[\W_]+", "", low)), ("^", low[:6])):
+        for key in (("=", _SIGNS.sub("", low)), ("^", low[:6])):
             if len(key[1]) >= 6:
                 if key in last:
                     skip.add((last[key], i))
@@ -127,38 +134,46 @@ def edges(found: list[tuple[int, int, str]], near: int = 40) -> tuple[np.ndarray
 
 
 class Field:
-    """Log potentials: of shapes, of neighbours and of distant repeated or similar tokens."""
+    """Log potentials: of outlines by slot, of neighbours and of distant repeated or similar tokens."""
+
+    def __init__(self, slots: np.ndarray, chain: np.ndarray, skip: np.ndarray):
+        self.slots, self.chain, self.skip = slots.astype(np.float32), chain, skip
 
-    def __init__(self, shapes: dict[str, list[float]], other: list[float], chain: np.ndarray, skip: np.ndarray):
-        self.shapes, self.other, self.chain, self.skip = shapes, other, chain, skip
+    def marginals(self, found: list[tuple[int, int, str]], known: np.ndarray, rounds: int = 6, damping: float = 0.3, part: int = 1 << 15) -> np.ndarray:
+        """Beliefs after loopy sum-product message passing; tokens that base spans cover are clamped to their kind.
 
-    def marginals(self, found: list[tuple[int, int, str]], known: np.ndarray, rounds: int = 6, damping: float = 0.3) -> np.ndarray:
-        """Beliefs after loopy sum-product message passing; tokens that base spans cover are clamped to their kind."""
-        node = np.array([self.shapes.get(shape(t), self.other) for _, _, t in found])
+        Messages are renewed ``part`` edges at a time from the beliefs of the round before, so what a very long document
+        needs beyond its messages, ten numbers an edge, does not grow with it.
+        """
+        node = self.slots[np.fromiter((slot(t) for _, _, t in found), np.int64, len(found))].astype(np.float64)
         clamped = np.nonzero(known)[0]
         node[clamped] = -20.0
         node[clamped, known[clamped]] = 0.0
-        chain, skip = edges(found)
-        pairs = np.concatenate([chain, skip])
-        if not len(pairs):
+        kinds = [(pairs, table) for pairs, table in zip(edges(found), (self.chain, self.skip), strict=True) if len(pairs)]
+        if not kinds:
             return _normal(node)
-        tables = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
-        source = np.concatenate([pairs[:, 0], pairs[:, 1]])
-        target = np.concatenate([pairs[:, 1], pairs[:, 0]])
-        tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
-        n = len(pairs)
-        reverse = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
-        messages = np.zeros((2 * n, node.shape[1]))
-        for _ in range(rounds):
+        size = node.shape[1]
+        messages = [np.zeros((2, len(pairs), size), np.float32) for pairs, _ in kinds]  # to the later token, to the earlier one
+
+        def beliefs() -> np.ndarray:
             belief = node.copy()
-            np.add.at(belief, target, messages)
-            inward = belief[source] - messages[reverse]
-            new = np.logaddexp.reduce(inward[:, :, None] + tables, axis=1)
-            new -= new.max(axis=1, keepdims=True)
-            messages = damping * messages + (1 - damping) * new
-        belief = node.copy()
-        np.add.at(belief, target, messages)
-        return _normal(belief)
+            for (pairs, _), sent in zip(kinds, messages, strict=True):
+                for k in range(size):
+                    belief[:, k] += np.bincount(pairs[:, 1], sent[0, :, k], len(node)) + np.bincount(pairs[:, 0], sent[1, :, k], len(node))
+            return belief
+
+        for _ in range(rounds):
+            belief = beliefs()
+            for (pairs, table), sent in zip(kinds, messages, strict=True):
+                for at in range(0, len(pairs), part):
+                    some = slice(at, at + part)
+                    before = sent[:, some].copy()
+                    for way, source, potentials in ((0, pairs[some, 0], table), (1, pairs[some, 1], table.T)):
+                        inward = belief[source] - before[1 - way]
+                        new = np.logaddexp.reduce(inward[:, :, None] + potentials[None], axis=1)
+                        new -= new.max(axis=1, keepdims=True)
+                        sent[way, some] = damping * before[way] + (1 - damping) * new
+        return _normal(beliefs())
 
 
 def _normal(log: np.ndarray) -> np.ndarray:
@@ -166,12 +181,13 @@ def _normal(log: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, max_rows: int = 20_000, max_shapes: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
+def fit(docs: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Piecewise training from the base spans as labels, on about ``max_rows`` documents chosen by a hash of the id.
 
-    With indicator features each piece has its maximum-likelihood potentials in closed form, smoothed: a shape's are the
+    With indicator features each piece has its maximum-likelihood potentials in closed form, smoothed: an outline's are the
     log chances of the labels, a pair's the log of how much more often two labels stand together than apart. Executors
-    count; the driver gets the ``max_shapes`` most frequent shapes and two 5 x 5 tables.
+    count; the driver gets SLOTS rows at most and two 5 x 5 tables, whatever the documents hold. An outline that was never
+    seen has the chances of the labels over all tokens. No documents or no tokens: nothing is ever added.
     """
     n = docs.select(id_col).count()
     share = min(1_000_000, max(1, round(1_000_000 * max_rows / max(n, 1))))
@@ -185,37 +201,32 @@ def fit(docs: DataFrame, max_rows: int = 20_000, max_shapes: int = 5_000, id_col
                 if not found:
                     continue
                 known = labels(found, base_spans(text))
-                counts.update(("node", shape(t), int(k), 0) for (_, _, t), k in zip(found, known, strict=True))
+                counts.update(("node", slot(t), int(k), 0) for (_, _, t), k in zip(found, known, strict=True))
                 for name, pairs in zip(("chain", "skip"), edges(found), strict=True):
-                    counts.update((name, "", int(known[a]), int(known[b])) for a, b in pairs)
+                    counts.update((name, 0, int(known[a]), int(known[b])) for a, b in pairs)
             columns = list(zip(*((*key, v) for key, v in counts.items()), strict=True)) or [[], [], [], [], []]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "shape", "a", "b", "n"])
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "slot", "a", "b", "n"])
 
-    counted = rows.mapInArrow(lean(run), "piece string, shape string, a int, b int, n long").groupBy("piece", "shape", "a", "b").agg(F.sum("n").alias("n"))
-    top = counted.where("piece = 'node'").groupBy("shape").agg(F.sum("n").alias("all"), F.collect_list(F.struct("a", "n")).alias("by"))
-    seen = top.orderBy(F.desc("all"), "shape").limit(max_shapes).collect()
+    counted = rows.mapInArrow(lean(run), "piece string, slot int, a int, b int, n long").groupBy("piece", "slot", "a", "b").agg(F.sum("n").alias("n"))
     size = len(KINDS) + 1
-    base, shapes = np.ones(size), {}
-    for r in seen:
-        one = np.zeros(size)
-        for x in r["by"]:
-            one[x["a"]] += x["n"]
-        base += one
-        shapes[r["shape"]] = one
-    prior = base / base.sum()
-    tables = {"chain": np.outer(prior, prior), "skip": np.outer(prior, prior)}
-    for r in counted.where("piece != 'node'").collect():
-        tables[r["piece"]][r["a"], r["b"]] += r["n"]
+    seen, tables = np.zeros((SLOTS, size)), {"chain": np.zeros((size, size)), "skip": np.zeros((size, size))}
+    for r in counted.collect():
+        if r["piece"] == "node":
+            seen[r["slot"], r["a"]] += r["n"]
+        else:
+            tables[r["piece"]][r["a"], r["b"]] += r["n"]
+    prior = seen.sum(axis=0) + np.array([100.0, *[0.5] * len(KINDS)])
+    prior /= prior.sum()
     edge = {}
     for name, table in tables.items():
-        both = (table + table.T) / 2
+        both = (table + table.T) / 2 + np.outer(prior, prior)
         chance = both / both.sum()
         side = chance.sum(axis=1)
         edge[name] = np.clip(np.log(chance / np.outer(side, side)), -3.0, 3.0)
-    # A shape that is rare says little by itself: its counts are joined by five of the prior's.
-    logs = {s: np.log((one + 5 * prior) / (one.sum() + 5)).tolist() for s, one in shapes.items()}
-    return Field(logs, [math.log(0.98), *[math.log(0.005)] * len(KINDS)], edge["chain"], edge["skip"])
+    # An outline that is rare says little by itself: its counts are joined by five of the prior's.
+    logs = np.log((seen + 5 * prior) / (seen.sum(axis=1, keepdims=True) + 5))
+    return Field(logs, edge["chain"], edge["skip"])
 
 
 def all_spans(text: str, base: list[Span], field: Field, threshold: float = 0.9) -> list[Span]:
@@ -242,7 +253,8 @@ def scan(docs: DataFrame, field: Field | None = None, threshold: float = 0.9, id
 
     Counts and base_sha256 are of the base spans; ``spans`` has those and what the field adds, by start, then kind, in
     code points with exclusive ends. Without a ``field`` one is trained on the documents themselves. Null counts as
-    empty. Further columns of ``docs`` are ignored.
+    empty. Repeated rows come out as often as they came in; spans that start together are in the order of KINDS. Very long
+    texts are read whole. An empty table gives no rows; further columns of ``docs`` are ignored.
     """
     field = fit(docs, id_col=id_col, text_col=text_col) if field is None else field
 
