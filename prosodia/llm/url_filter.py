@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosodia.llm.shared import LOWER, UPPER
+from prosodia.llm.shared import LOWER, UPPER, materialise
 
 RULES = (
     ("allow", "org", "/"),
@@ -18,6 +18,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
+#: Parts that rows of rare and unknown suffixes are dealt to.
+SALTS = 16
 #: Bin edges of the lexical features; a value's bin is the number of edges that it exceeds.
 EDGES = {
     "length": (25, 30, 35, 40, 45, 50, 60, 80, 120),
@@ -89,7 +91,6 @@ def features(urls: DataFrame) -> DataFrame:
             "entropy": _entropy(F.concat("host", "path")),
             "params": F.when(F.instr(url, "?") > 0, F.regexp_count(F.substring_index(url, "?", -1), F.lit("[^&#]+"))).otherwise(0).cast("double"),
             "hyphens": F.regexp_count("host", F.lit("-")).cast("double"),
-            "tld": F.substring_index("host", ".", -2),
         }
     )
 
@@ -98,13 +99,18 @@ def _binned(name: str) -> Column:
     return sum((F.col(name) > F.lit(float(e))).cast("int") for e in EDGES[name])
 
 
+#: Suffixes that may be sent to every task, the most frequent ones, and how long such a suffix is at most.
+HEAD_SUFFIXES, HEAD_CHARS = 10_000, 253
+
+
 @dataclass
 class Trees:
-    """Boosted trees as nested tuples (feature, bin, left, right) with leaf weights, and suffix log-odds."""
+    """Boosted trees as nested tuples (feature, bin, left, right) with leaf weights, and a table (tld, suffix, rank) of all
+    suffixes' log-odds; the rank is 1 for those sent to every task and 0 for the others."""
 
     base: float = 0.0
     trees: list = field(default_factory=list)
-    suffixes: dict[str, float] = field(default_factory=dict)
+    suffixes: DataFrame | None = None
 
     def margin(self) -> Column:
         def say(node) -> Column:
@@ -116,42 +122,66 @@ class Trees:
         return sum((say(t) for t in self.trees), F.lit(self.base))
 
     def apply(self, urls: DataFrame) -> DataFrame:
-        """Adds ``block_score`` between 0 and 1 to rows with ``url``, ``host`` and ``path``, in columns of the plan only."""
-        suffix = F.lit(0.0)
-        if self.suffixes:
-            table = F.create_map(*(F.lit(x) for pair in self.suffixes.items() for x in pair))
-            suffix = F.coalesce(F.try_element_at(table, F.col("tld")), F.lit(0.0))
-        scored = features(urls).withColumn("suffix", suffix)
+        """Adds ``block_score`` between 0 and 1 to rows with ``url``, ``host`` and ``path``, by functions and joins only."""
+        scored = features(with_suffix(urls, self.suffixes))
         scored = scored.withColumns({f"b_{n}": _binned(n) for n in EDGES})
         scored = scored.withColumn("block_score", 1 / (1 + F.exp(-self.margin())))
         return scored.select(*urls.columns, "block_score")
 
 
-def fit(labelled: DataFrame, trees: int = 30, depth: int = 3, rate: float = 0.3, max_suffixes: int = 200, max_cells: int = 50_000) -> Trees:
-    """Learns from every row of ``labelled`` (url, host, path, block 0 or 1; null labels are left out).
+def _tld() -> Column:
+    return F.substring_index("host", ".", -2)
+
 
-    Rows are counted by suffix and by the bins of all features in two aggregations; what reaches the driver is the
-    ``max_suffixes`` most frequent suffixes (the rest have log-odds 0) and the ``max_cells`` most frequent cells of the
-    binned space, the documented bound of the sample that the trees are grown from. No labels or one class only: no
-    trees, and the score is the smoothed share of blocked rows (0 without labels).
+def with_suffix(rows: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """Adds ``suffix``, the log-odds of the last two labels of each row's ``host``; 0 where no labelled url has them.
+
+    Frequent suffixes meet their rows where these are. What is left has no key that many rows share, but rows of suffixes
+    that are in no label: these are told apart by a hash of the url, so that one unknown suffix is not one task's.
+    """
+    if suffixes is None:
+        return rows.withColumn("suffix", F.lit(0.0))
+    head = F.broadcast(suffixes.where("rank = 1").select("tld", F.col("suffix").alias("sent")))
+    rows = rows.withColumn("tld", _tld()).join(head, "tld", "left")
+    known = rows.where("sent is not null").withColumn("suffix", F.col("sent")).drop("sent", "tld")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    tail = suffixes.where("rank = 0").select("tld", F.col("suffix").alias("rare"), F.explode(salts).alias("salt"))
+    others = rows.where("sent is null").withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(tail, ["tld", "salt"], "left")
+    return known.unionByName(others.withColumn("suffix", F.coalesce("rare", F.lit(0.0))).drop("sent", "rare", "salt", "tld"))
+
+
+def fit(labelled: DataFrame, trees: int = 30, depth: int = 3, rate: float = 0.3, max_rows: int = 50_000) -> Trees:
+    """Learns from ``labelled`` (url, host, path, block 0 or 1; null labels are left out).
+
+    Log-odds of suffixes come from all rows and cover all suffixes; their table stays distributed. Trees are grown from
+    about ``max_rows`` rows, chosen by a hash of the url, counted by the bins of all features: that many cells at most
+    reach the driver. What the trees see of suffixes comes from the half of the rows that they are not grown from, since
+    a suffix of one url would give its label away. No labels or one class only: no trees, and the score is the smoothed
+    share of blocked rows (0 without labels).
     """
-    rows = features(labelled.where("block is not null"))
-    total = rows.agg(F.count("*"), F.sum("block")).first()
-    n, blocked = total[0], total[1] or 0
+    rows = labelled.where("block is not null").withColumn("half", F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2)))
+    total = rows.agg(F.count("*"), F.sum("block"), F.sum("half")).first()
+    n, blocked, grown = total[0], total[1] or 0, total[2] or 0
     if not n:
         return Trees(base=-30.0)
     prior = math.log((blocked + 1) / (n - blocked + 1))
     if blocked in (0, n):
         return Trees(base=prior)
-    by = rows.groupBy("tld").agg(F.count("*").alias("n"), F.sum("block").alias("b")).orderBy(F.desc("n"), "tld").limit(max_suffixes)
-    suffixes = {r["tld"]: math.log((r["b"] + 1) / (r["n"] - r["b"] + 1)) - prior for r in by.collect()}
-    table = F.create_map(*(F.lit(x) for pair in suffixes.items() for x in pair))
+    odds = lambda n, b: F.log((F.col(b) + 1) / (F.col(n) - F.col(b) + 1)) - prior
+    other = F.when(F.col("half") == 0, F.col("block"))
+    by = rows.groupBy(_tld().alias("tld")).agg(
+        F.count("*").alias("n"), F.sum("block").alias("b"), F.count(other).alias("n0"), F.coalesce(F.sum(other), F.lit(0)).alias("b0")
+    )
+    top = by.where(F.length("tld") <= HEAD_CHARS).orderBy(F.desc("n"), "tld").limit(HEAD_SUFFIXES).select("tld", F.lit(1).alias("top"))
+    by = by.join(F.broadcast(top), "tld", "left")
+    suffixes = materialise(by.select("tld", odds("n", "b").alias("suffix"), odds("n0", "b0").alias("other_half"), F.coalesce("top", F.lit(0)).alias("rank")))
     names = list(EDGES)
-    binned = rows.withColumn("suffix", F.coalesce(F.try_element_at(table, F.col("tld")), F.lit(0.0)))
-    binned = binned.select(*(_binned(x).alias(x) for x in names), "block")
+    share = min(1_000_000, max(1, round(1_000_000 * max_rows / max(grown, 1))))
+    some = rows.where((F.col("half") == 1) & (F.pmod(F.xxhash64("url", F.lit("trees")), F.lit(1_000_000)) < share))
+    seen = with_suffix(some, suffixes.select("tld", F.col("other_half").alias("suffix"), "rank"))
+    binned = features(seen).select(*(_binned(x).alias(x) for x in names), "block")
     cells = binned.groupBy(*names).agg(F.count("*").alias("n"), F.sum("block").alias("b"))
-    cells = [tuple(r) for r in cells.orderBy(F.desc("n"), *names).limit(max_cells).collect()]
-    return Trees(prior, _boost(cells, names, prior, trees, depth, rate), suffixes)
+    return Trees(prior, _boost(sorted(map(tuple, cells.collect())), names, prior, trees, depth, rate), suffixes.drop("other_half"))
 
 
 def _boost(cells: list[tuple], names: list[str], base: float, trees: int, depth: int, rate: float) -> list:
@@ -204,7 +234,7 @@ def judge(
     The verdict is that of the longest rule that fits, else ``block`` where the trees' score reaches the threshold.
     Without a model, the trees are trained on the pages that rules decide: those are the labelled URLs. Null urls and
     urls without ``://`` have an empty host and path, fit no rule and are judged by the trees. Repeated rows come out as
-    often as they came in; further columns are ignored.
+    often as they came in. Very long urls are read whole. An empty table gives no rows; further columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = with_rule(rows.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}), rules)

@@ -53,7 +53,20 @@ def test_trees_learn_and_carry_over(spark):
 def test_no_python_on_the_main_path(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = uf.judge(pages)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rare_and_unknown_suffixes(spark, monkeypatch):
+    monkeypatch.setattr(uf, "HEAD_SUFFIXES", 1)
+    rows = [("", i, f"http://s{i % 7}.a{i % 5}.net/x{i}", "", int(i % 5 < 2)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "h string, page_id long, url string, rule string, block int")
+    known = frame.select("page_id", "url", "block", uf.host(frame.url).alias("host"), uf.path(frame.url).alias("path"))
+    model = uf.fit(known)
+    assert model.suffixes.count() == 5 and model.suffixes.where("rank = 1").count() == 1
+    got = uf.with_suffix(known.unionByName(known.limit(1).withColumn("host", uf.F.lit("other.org"))), model.suffixes).collect()
+    assert len(got) == 401 and all((r["suffix"] > 0) == bool(r["block"]) for r in got if r["host"] != "other.org")
+    assert [r["suffix"] for r in got if r["host"] == "other.org"] == [0.0]
+    assert all((r["block_score"] >= 0.5) == bool(r["block"]) for r in model.apply(known).collect())
 
 
 def test_empty_tables_and_one_class(spark):
