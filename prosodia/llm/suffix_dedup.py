@@ -114,6 +114,19 @@ def _cut(rows: Iterator[tuple[int, int, bytes]], size: int, length: int) -> Iter
             yield doc_id, base + at, text[at : at + size + length - 1]
 
 
+def _parts(rows: Iterator[tuple[int, int, bytes]], size: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Rows in lists of ``size`` bytes or one row."""
+    part, held = [], 0
+    for row in rows:
+        if part and held + len(row[2]) > size:
+            yield part
+            part, held = [], 0
+        part.append(row)
+        held += len(row[2])
+    if part:
+        yield part
+
+
 # --- merging transforms ---------------------------------------------------------------------------------------------
 
 
@@ -282,18 +295,7 @@ def _deal(length: int, anchor: int, buckets: int, chunk: int, crowded: np.ndarra
                 rows = zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True)
                 yield from _cut(((d, 0, t) for d, t in rows if d is not None and t and len(t) >= length), chunk, length)
 
-        def held() -> Iterator[list[tuple[int, int, bytes]]]:
-            part, size = [], 0
-            for row in cut():
-                if part and size + len(row[2]) > chunk:
-                    yield part
-                    part, size = [], 0
-                part.append(row)
-                size += len(row[2])
-            if part:
-                yield part
-
-        for part in held():
+        for part in _parts(cut(), chunk):
             text, start, end, minimizer, h = pieces([t for _, _, t in part], length, anchor, crowded)
             rows = np.empty(len(text), _ROW)
             rows["m"], rows["h"] = minimizer, h
@@ -512,9 +514,12 @@ def crowded_minimizers(slim: DataFrame, length: int, anchor: int, looked_at: int
         for batch in batches:
             texts = [t for t in utf8(batch.column(0)) if t and len(t) >= length]
             for at in range(0, len(texts), 256):
-                text, _, _, minimizer, _ = pieces(texts[at : at + 256], length, anchor)
-                each = np.unique(minimizer.astype(np.int64) << 8 | text) >> 8
-                m, docs = np.unique(each, return_counts=True)
+                each = []
+                for part in _parts(_cut(((i, 0, t) for i, t in enumerate(texts[at : at + 256])), CHUNK, length), CHUNK):
+                    text, _, _, minimizer, _ = pieces([t for _, _, t in part], length, anchor)
+                    doc = np.array([i for i, _, _ in part], np.int64)[text]
+                    each.append(np.unique(minimizer.astype(np.int64) << 8 | doc))
+                m, docs = np.unique(np.unique(np.concatenate(each)) >> 8, return_counts=True) if each else (np.zeros(0, np.int64),) * 2
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(docs.astype(np.int64))], ["m", "docs"])
 
     counts = some.where("doc_id is not null").select("text").mapInArrow(lean(run), "m long, docs long").groupBy("m").agg(F.sum("docs").alias("docs"))
@@ -522,11 +527,17 @@ def crowded_minimizers(slim: DataFrame, length: int, anchor: int, looked_at: int
     return np.array(sorted(r["m"] for r in counts.where(F.col("docs") >= bound).collect()), np.uint64)
 
 
+def numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """(given, doc_id): a long for each distinct id, in the order of the ids, by a distributed sort."""
+    ids = docs.select(F.col(id_col).alias("given")).where("given is not null").distinct()
+    return materialise(ids.sort("given").withColumn("doc_id", F.monotonically_increasing_id()))
+
+
 def remove_repeats(
     docs: DataFrame,
     length: int = LENGTH,
     anchor: int = ANCHOR,
-    bucket_bytes: int = 1 << 24,
+    bucket_bytes: int = 1 << 22,
     chunk: int = CHUNK,
     crowd: int = CROWD,
     least_crowded: int = 64,
@@ -539,8 +550,16 @@ def remove_repeats(
     are judged on the input, and never reach across documents. ``spans`` are the removed runs as start:end in bytes.
     Null counts as empty. Rows with a null id have no smaller or larger one and keep all; rows that repeat an id count as
     one document each and are cut alike where their texts are the same (texts that differ under one id are not defined
-    as before or after each other, but get spans found in any of them). Further columns of ``docs`` are ignored.
+    as before or after each other, but get spans found in any of them). Ids that are no integers, such as strings, are
+    ordered as Spark orders them. Very long texts are cut into parts that share ``length - 1`` bytes. An empty table gives
+    no rows; further columns of ``docs`` are ignored.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        numbers = numbered(docs, id_col)
+        slim = docs.select(F.col(id_col).alias("given"), F.col(text_col).cast("string").alias("text")).join(numbers, "given", "left")
+        out = remove_repeats(slim.select("doc_id", "text"), length, anchor, bucket_bytes, chunk, crowd, least_crowded)
+        named = numbers.select("doc_id", F.col("given").alias("_given"))
+        return out.join(named, "doc_id", "left").select(F.col("_given").alias("doc_id"), *_OUT[1:])
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))

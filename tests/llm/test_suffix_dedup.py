@@ -64,6 +64,22 @@ def test_odd_tables(spark):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("3", 0), ("3", 0), ("7", len(line)), ("None", 0)]
 
 
+def test_ids_that_are_strings(spark):
+    rows = corpus(3, 30)
+    named = {i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i, _ in rows}
+    docs = spark.createDataFrame([(named[i], t) for i, t in rows] + [(None, rows[0][1])], "doc_id string, text string").repartition(5)
+    got = sd.remove_repeats(docs)
+    assert sorted(tuple(r)[:5] for r in got.where("doc_id is not null").collect()) == sorted((named[i], *rest) for i, *rest in brute(rows))
+    assert [r["n_removed"] for r in got.where("doc_id is null").collect()] == [0]
+
+
+def test_minimizers_of_long_texts_come_in_parts(spark, monkeypatch):
+    slim = spark.createDataFrame([(i, f"{i} " + "the same words again and again in each of them, " * 50) for i in range(80)], "doc_id long, text string")
+    whole = sd.crowded_minimizers(slim, 50, 24, least=40)
+    monkeypatch.setattr(sd, "CHUNK", 300)
+    assert len(whole) and set(whole) == set(sd.crowded_minimizers(slim, 50, 24, least=40))
+
+
 def test_transform_sorts_all_suffixes():
     draw = random.Random(4)
     strings = [bytes(draw.choices(b"ab", k=draw.randint(0, 30))) for _ in range(20)] + [b"abab" * 9] * 3
