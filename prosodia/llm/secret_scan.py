@@ -57,11 +57,11 @@ def _pairs(token: Column) -> Column:
     return F.zip_with(F.slice(spots, F.lit(1), n), F.slice(spots, F.lit(2), n), lambda a, b: a * k + b)
 
 
-def fit(docs: DataFrame, max_rows: int = 20_000, text_col: str = "text", id_col: str = "doc_id") -> list[float]:
+def fit(docs: DataFrame, max_rows: int = 20_000, text_col: str = "text", id_col: str = "doc_id", max_chars: int = 200) -> list[float]:
     """Log-likelihood ratios of character pairs, random strings against ordinary identifiers.
 
     Labelled samples come from the documents themselves: values of assignments, access keys and hex strings are random,
-    words of letters joined by nothing, ``_`` or ``-`` are ordinary; tokens longer than 200 characters, which are
+    words of letters joined by nothing, ``_`` or ``-`` are ordinary; tokens of more than ``max_chars``, which are
     judged all the same, are neither. Learns from about ``max_rows`` documents chosen by a
     hash of the id; counts of character pairs, 41 x 41 for each class, are all that reaches the driver.
     """
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, max_rows: int = 20_000, text_col: str = "text", id_col:
     )
     plain = F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9])[A-Za-z]{3,}(?:[_-][A-Za-z]{2,})*(?![A-Za-z0-9])"), F.lit(0))
     both = rows.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), random.alias("tokens")), F.struct(F.lit(0).alias("random"), plain.alias("tokens")))).alias("c"))
-    tokens = both.select("c.random", F.explode("c.tokens").alias("token")).where(F.length("token").between(2, 200))
+    tokens = both.select("c.random", F.explode("c.tokens").alias("token")).where(F.length("token").between(2, max_chars))
     tokens = tokens.groupBy("random", "token").agg(F.count("*").alias("times"))
     pairs = tokens.select("random", "times", F.explode(_pairs(F.col("token"))).alias("pair"))
     counts = pairs.groupBy("random", "pair").agg(F.sum("times").alias("n")).collect()
@@ -103,7 +103,10 @@ def scan(docs: DataFrame, llr: list[float] | None = None, threshold: float = 1.5
     """(doc_id, spans): spans an array of (start, kind, end) by start, then kind; kinds as in KINDS, one row per input row.
 
     Base spans come from the patterns and always stay. A candidate token becomes a ``random`` span when the mean
-    log-likelihood ratio of its character pairs reaches ``threshold`` and no base span overlaps it. Null counts as empty.
+    log-likelihood ratio of its character pairs reaches ``threshold`` and no base span overlaps it.
+
+    Null counts as empty. Spans that start together are in the order of KINDS. Repeated rows come out as often as they came
+    in, null ids too. Very long texts and runs are read whole. An empty table gives no rows; further columns are ignored.
     """
     llr = fit(docs, id_col=id_col, text_col=text_col) if llr is None else llr
     table = F.array(*(F.lit(round(x, 4)) for x in llr))
