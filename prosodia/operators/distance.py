@@ -25,37 +25,58 @@ def plain(text: Column) -> Column:
     return F.filter(F.split(cleaned, " "), lambda w: w != "")
 
 
-def table(a: list[str], b: list[str]) -> np.ndarray:
-    """Edit distances of all prefixes; a row at a time, insertions by a running minimum."""
-    code = {w: i for i, w in enumerate({*a, *b})}
-    y = np.array([code[w] for w in b], np.int64)
-    out = np.empty((len(a) + 1, len(b) + 1), np.int32)
-    out[0] = np.arange(len(b) + 1)
-    steps = np.arange(len(b) + 1)
-    for i, w in enumerate(a, 1):
-        row = out[i]
-        row[0] = i
-        row[1:] = np.minimum(out[i - 1, :-1] + (y != code[w]), out[i - 1, 1:] + 1)
-        row[:] = np.minimum.accumulate(row - steps) + steps
-    return out
+class Table:
+    """Edit distances of all prefixes of two lists. Each square-rootth row is kept and the rows between are made again where
+    they are read, so fifty thousand words on both sides take some tens of megabytes."""
+
+    def __init__(self, a: list[str], b: list[str]):
+        code = {w: i for i, w in enumerate({*a, *b})}
+        self.x = np.array([code[w] for w in a], np.int64)
+        self.y = np.array([code[w] for w in b], np.int64)
+        self.ways = np.arange(len(b) + 1, dtype=np.int32)
+        self.step = max(int(len(a) ** 0.5), 1)
+        self.kept = [self.ways]
+        row = self.ways
+        for i in range(1, len(a) + 1):
+            row = self._next(row, i)
+            if i % self.step == 0:
+                self.kept.append(row)
+        self.last = int(row[-1])
+        self.first, self.block = -1, []
+
+    def _next(self, row: np.ndarray, i: int) -> np.ndarray:
+        """Row i from the one before: substitutions and deletions at once, insertions by a running minimum."""
+        out = np.empty_like(row)
+        out[0] = i
+        out[1:] = np.minimum(row[:-1] + (self.y != self.x[i - 1]), row[1:] + 1)
+        return np.minimum.accumulate(out - self.ways) + self.ways
+
+    def row(self, i: int) -> np.ndarray:
+        at = i // self.step
+        if at != self.first:
+            self.first, self.block = at, [self.kept[at]]
+        while len(self.block) <= i - at * self.step:
+            self.block.append(self._next(self.block[-1], at * self.step + len(self.block)))
+        return self.block[i - at * self.step]
 
 
 def edits(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     """(type, place in a, place in b) in order: match before substitution before deletion before insertion."""
-    d, i, j, out = table(a, b), len(a), len(b), []
+    d, i, j, out = Table(a, b), len(a), len(b), []
+    here, above = d.row(i), d.row(i - 1) if i else None
     while i or j:
         if i and j and a[i - 1] == b[j - 1]:
-            kind, i, j = "match", i - 1, j - 1
-            out.append((kind, i, j))
-        elif i and j and d[i, j] == d[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append(("substitution", i, j))
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            out.append(("deletion", i, -1))
+            kind, up, left = "match", 1, 1
+        elif i and j and here[j] == above[j - 1] + 1:
+            kind, up, left = "substitution", 1, 1
+        elif i and here[j] == above[j] + 1:
+            kind, up, left = "deletion", 1, 0
         else:
-            j -= 1
-            out.append(("insertion", -1, j))
+            kind, up, left = "insertion", 0, 1
+        i, j = i - up, j - left
+        out.append((kind, i if up else -1, j if left else -1))
+        if up:
+            here, above = above, d.row(i - 1) if i else None
     return out[::-1]
 
 
@@ -122,7 +143,7 @@ def pronunciation_errors(alignment: list[tuple[str, int, int, float]], source: s
 
 
 def characters(a: str, b: str) -> int:
-    return int(table(list(a), list(b))[-1, -1])
+    return Table(list(a), list(b)).last
 
 
 def around(ws: list[str], at: int, half: int = 4) -> str:
@@ -175,11 +196,12 @@ def in_sentence(f0: Column) -> dict[str, Column]:
     }
 
 
-def intonation(sentences: DataFrame) -> DataFrame:
-    """Issues of rows (clip_id, sent, start_ms, end_ms, n_words, question, f0 array of voiced frames in time order)."""
+def intonation(sentences: DataFrame, *more: Column | str) -> DataFrame:
+    """Issues of rows (clip_id, sent, start_ms, end_ms, n_words, question, f0 array of voiced frames in time order), with
+    ``more`` columns of theirs."""
     rows = sentences.where(F.size("f0") >= 2).withColumns(in_sentence(F.col("f0")))
     flat = F.when((F.col("f0_range") < 20) & (F.col("n_words") >= 5), F.struct(F.lit("monotone_segment").alias("type"), F.when(F.col("f0_range") < 10, "high").when(F.col("f0_range") < 15, "medium").otherwise("low").alias("severity")))
     falls = F.when(F.col("question") & (F.col("f0_end") < F.col("f0_start")), F.struct(F.lit("wrong_question_inflection").alias("type"), F.lit("medium").alias("severity")))
     rises = F.when(~F.col("question") & (F.size("f0") >= 6) & (F.col("f0_end") - F.col("f0_before") > 15), F.struct(F.lit("uptalk").alias("type"), F.lit("low").alias("severity")))
     found = F.filter(F.array(flat, falls, rises), lambda x: x.isNotNull())
-    return rows.withColumn("i", F.explode(found)).select("clip_id", "sent", "start_ms", "end_ms", "i.type", "i.severity", "f0_range", "f0_start", "f0_end")
+    return rows.withColumn("i", F.explode(found)).select("clip_id", "sent", "start_ms", "end_ms", "i.type", "i.severity", "f0_range", "f0_start", "f0_end", *more)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from prosodia.functions.phonology import candidates, suffixed, will_column
 from prosodia.operators.text import lossy_runes
 
 TIERS = ("custom", "gold", "silver")
-#: Rows that may be sent to every task; longer lexicons are joined on their keys.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of words and readings that may be sent to every task; longer lexicons are joined on their keys.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 1 << 26
+#: Entries of a tier that are put in order in one place for its fingerprint.
+FINGERPRINT_ROWS = 5_000_000
 SCHWA, THE = "ə", "ðə"
 
 
@@ -22,9 +26,10 @@ def with_lower_case(lexicon: DataFrame) -> DataFrame:
 
 
 def _sent(lexicon: DataFrame) -> DataFrame:
-    """Broadcast only where a count says that it is small; else Spark picks a join by size."""
-    few = lexicon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(lexicon) if few else lexicon
+    """Broadcast only where its rows and bytes say that it is small; else Spark picks a join by size."""
+    size = F.sum(F.octet_length("word") + F.octet_length("ipa"))
+    rows, size = lexicon.limit(BROADCAST_ROWS + 1).agg(F.count("*"), size).first()
+    return F.broadcast(lexicon) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else lexicon
 
 
 def look_up(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def look_up(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     Candidates are generated and joined on equality, so the plan grows with words, not with words times entries.
     """
     tried = words.select("word", F.explode(candidates(F.col("word"))).alias("c")).select("word", "c.rank", "c.base", "c.rule")
-    hits = tried.join(_sent(lexicon.select("tier", F.col("word").alias("base"), "ipa")), "base")
+    hits = tried.join(lexicon.select("tier", F.col("word").alias("base"), "ipa"), "base")
     best = hits.groupBy("word", "tier").agg(F.min_by(F.struct("ipa", "rule"), "rank").alias("b"))
     return best.select("word", "tier", suffixed(F.col("b.ipa"), F.col("b.rule")).alias("ipa"), F.col("b.rule").alias("rule"))
 
@@ -43,6 +48,10 @@ def resolve(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     The rule comes after 's and before the others, so it wins over what the other rules say of the same word.
     """
+    return _resolved(words, _sent(lexicon))
+
+
+def _resolved(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     direct = look_up(words, lexicon)
     stems = words.where("word like '%''ll'").select("word", F.expr("substring(word, 1, char_length(word) - 3)").alias("stem"))
     found = look_up(stems.select(F.col("stem").alias("word")).distinct(), lexicon).withColumnRenamed("word", "stem")
@@ -59,10 +68,11 @@ def cascade(words: DataFrame, lexicon: DataFrame, homographs: DataFrame | None =
     ``homographs`` keeps its default reading here, the occurrence decides elsewhere), gold, silver, hyphenated parts that
     all resolve, ``sounded`` (a letter-to-sound column over ``word``), skip.
     """
-    found = resolve(words, lexicon)
+    lexicon = _sent(lexicon)
+    found = _resolved(words, lexicon)
     wide = found.groupBy("word").pivot("tier", list(TIERS)).agg(F.first(F.struct("ipa", "rule")))
     parts = words.where("instr(word, '-') > 0").select("word", F.posexplode(F.split("word", "-")).alias("i", "part"))
-    known = resolve(parts.select(F.col("part").alias("word")).distinct(), lexicon)
+    known = _resolved(parts.select(F.col("part").alias("word")).distinct(), lexicon)
     order = F.when(F.col("tier") == "custom", 0).when(F.col("tier") == "gold", 1).otherwise(2)
     first = known.groupBy(F.col("word").alias("part")).agg(F.min_by("ipa", order).alias("ipa"))
     joined = parts.join(first, "part", "left").groupBy("word").agg(
@@ -110,13 +120,52 @@ def violations(lexicon: DataFrame, most: int = 10) -> DataFrame:
 def fingerprint(lexicon: DataFrame) -> DataFrame:
     """(tier, entries, digest): sixteen hex digits over the sorted entries of each tier, independent of row order.
 
-    Entries are sorted in one array for each tier: a lexicon is a dictionary of some hundred thousand words.
+    Entries are put in order in one array for each tier, so more than FINGERPRINT_ROWS are refused.
     """
     entry = F.concat("word", F.lit("\0"), "ipa", F.lit("\0"))
+    counted = lexicon.groupBy("tier").agg(F.count("*").alias("entries"))
+    if not counted.where(F.col("entries") > FINGERPRINT_ROWS).isEmpty():
+        raise ValueError(f"a tier has more than {FINGERPRINT_ROWS} entries")
     joined = F.array_join(F.array_sort(F.collect_list(entry)), "")
     return lexicon.groupBy("tier").agg(F.count("*").alias("entries"), F.substring(F.sha2(joined, 256), 1, 16).alias("digest"))
 
 
+def _digest(count: int, parts: list[bytes]) -> dict:
+    return {"entries": count, "digest": hashlib.sha256(b"".join(p + b"\0" for p in parts)).hexdigest()[:16]}
+
+
+def rules_fingerprint(rules: dict) -> dict:
+    """Entries and digest of context rules, over all their fields, words and readings in the order of their bytes."""
+    parts: list[str] = []
+    for word in sorted(rules, key=str.encode):
+        rule = rules[word]
+        parts += [word, rule.default, rule.imperative, rule.narrated_past, rule.subject_name, rule.inflected_default]
+        for ipa in sorted(rule.readings, key=str.encode):
+            reading = rule.readings[ipa]
+            parts += [ipa, "before", *reading.before, "after", *reading.after, "immediately before", *reading.immediately_before]
+    return _digest(len(rules), [p.encode() for p in parts])
+
+
+def vocabulary_fingerprint(vocabulary: dict[str, int]) -> dict:
+    """Entries and digest of symbols and their ids, by symbol: an id that changes is a change."""
+    return _digest(len(vocabulary), [x for c in sorted(vocabulary) for x in (c.encode(), vocabulary[c].to_bytes(8, "big"))])
+
+
+def data_fingerprint(lexicon: DataFrame, rules: dict, vocabulary: dict[str, int]) -> dict[str, dict]:
+    """What was loaded: gold, silver, custom, homographs and vocabulary; an absent bank has no entries."""
+    found = {r["tier"]: {"entries": r["entries"], "digest": r["digest"]} for r in fingerprint(lexicon).collect()}
+    banks = {tier: found.get(tier, _digest(0, [])) for tier in ("gold", "silver", "custom")}
+    return {**banks, "homographs": rules_fingerprint(rules), "vocab": vocabulary_fingerprint(vocabulary)}
+
+
+def files_fingerprint(spark: SparkSession, pattern: str) -> str:
+    """Twelve hex digits over the names and contents of data files, by name. Files are hashed where they are read; their
+    digests, one short row a file, are put together in order."""
+    files = spark.read.format("binaryFile").load(pattern)
+    each = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"))
+    return hashlib.sha256("".join(f"{r['name']}\0{r['sha']}\0" for r in each.orderBy("name").collect()).encode()).hexdigest()[:12]
+
+
 def small_lexicon(spark: SparkSession) -> DataFrame:
     """A lexicon of frequent words and some stems, for demonstration and tests; users supply their own."""
     return spark.createDataFrame([(t, w, i) for t, w, i in SMALL], "tier string, word string, ipa string")

@@ -15,12 +15,12 @@ from prosodia.functions.constants import ABBREVIATIONS, CLOSING, FUNCTION_WORDS,
 MAX_TOKENS, SPACE = 509, 16
 
 
-def _class(chars: str) -> str:
+def char_class(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "[]\\^-&\"" else c for c in chars) + "]"
 
 
 def strip_edges(word: Column, chars: str = STRIPPED) -> Column:
-    return F.regexp_replace(word, f"^{_class(chars)}+|{_class(chars)}+$", "")
+    return F.regexp_replace(word, f"^{char_class(chars)}+|{char_class(chars)}+$", "")
 
 
 def paragraphs(docs: DataFrame, text_col: str = "text", pattern: str = r"\n[ \t\n\r\f]*\n") -> DataFrame:
@@ -38,35 +38,37 @@ def words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # --- sentences ------------------------------------------------------------------------------------------------------
 
 _PREFIXES = frozenset(a[:-1] for a in ABBREVIATIONS)
+_LONGEST = max(map(len, _PREFIXES))
+_BLANKS = re.compile("[ \t]*")
+
+
+_END = re.compile(f"[.!?][{re.escape(CLOSING)}]*")
 
 
 def _closes(text: str, at: int) -> bool:
-    """Whether the dot at ``at`` ends a sentence."""
+    """Whether the dot at ``at`` ends a sentence. Looks no further than the word before and the blanks behind."""
     before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
     if before.isdecimal() and after.isdecimal():
         return False
-    if before.isalpha() and after.isalpha() and not text[at - 2 : at - 1].isalpha():
+    if before.isalpha() and after.isalpha() and not (at > 1 and text[at - 2].isalpha()):
         return False
-    token = re.split("[ \t]", text[:at][-40:] if " " in text[max(0, at - 40) : at] else text[:at])[-1].lower()
+    low = max(at - _LONGEST - 1, 0)
+    token = text[max(text.rfind(" ", low, at), text.rfind("\t", low, at), low - 1) + 1 : at].lower()
     if token in _PREFIXES:
         return False
     if token in ("a.m", "p.m"):
-        following = text[at + 1 :].lstrip(" \t")[:1]
-        return not (following.islower() or following in (",", ":")) if following else True
+        following = _BLANKS.match(text, at + 1).end()
+        return not (text[following : following + 1].islower() or text[following : following + 1] in (",", ":"))
     return True
 
 
 def split_sentences(text: str) -> list[str]:
-    """At . ! and ?, closing marks included; dots of abbreviations, decimals and initials do not count."""
-    out, start, i = [], 0, 0
-    while i < len(text):
-        c = text[i]
-        if c in "!?" or c == "." and _closes(text, i):
-            while i + 1 < len(text) and text[i + 1] in CLOSING:
-                i += 1
-            out.append(text[start : i + 1].strip())
-            start = i + 1
-        i += 1
+    """At . ! and ?, closing marks included; dots of abbreviations, decimals and initials do not count. Linear in the text."""
+    out, start = [], 0
+    for m in _END.finditer(text):
+        if m[0][0] != "." or _closes(text, m.start()):
+            out.append(text[start : m.end()].strip())
+            start = m.end()
     out.append(text[start:].strip())
     return [s for s in out if s]
 
@@ -117,22 +119,19 @@ def inject_emphasis(sentence: str) -> str:
 
 
 def emphasis_beats(sentence_words: Column) -> Column:
-    """emphasis_places() as a fold over an array of words, inside the plan."""
+    """emphasis_places() as a fold over an array of words, inside the plan. Each word is looked at once; where a place fits,
+    neither word has punctuation at its ends, so that what is stripped for context is the word itself."""
     n = F.size(sentence_words)
-    edge = f"^{_class(STRIPPED)}|{_class(STRIPPED)}$"
-    functions = F.array(*map(F.lit, sorted(FUNCTION_WORDS)))
-    core = lambda w: strip_edges(w, STRIPPED_FOR_CONTEXT)
-
-    def fits(i: Column) -> Column:
-        one, two = F.get(sentence_words, i), F.get(sentence_words, i + 1)
-        head = core(two)
-        return (
-            ~one.rlike(edge) & ~two.rlike(edge)
-            & F.array_contains(functions, F.lower(core(one)))
-            & ~head.rlike("[0-9]") & ~F.array_contains(functions, F.lower(head)) & (F.char_length(head) >= LEAST_HEAD)
-        )
-
-    places = F.filter(F.sequence(F.lit(EDGE), F.greatest(n - 2 - EDGE, F.lit(EDGE))), fits)
+    edge = f"^{char_class(STRIPPED)}|{char_class(STRIPPED)}$"
+    functions = sorted(FUNCTION_WORDS)
+
+    def seen(w: Column) -> Column:
+        plain, function = ~w.rlike(edge), F.lower(w).isin(functions)
+        head = plain & ~function & (F.char_length(w) >= LEAST_HEAD) & ~w.rlike("[0-9]")
+        return F.struct((plain & function).alias("opens"), head.alias("head"))
+
+    looked = F.transform(sentence_words, seen)
+    places = F.filter(F.sequence(F.lit(EDGE), F.greatest(n - 2 - EDGE, F.lit(EDGE))), lambda i: F.get(looked, i)["opens"] & F.get(looked, i + 1)["head"])
     start = F.struct(F.lit(-SPACING).alias("last"), F.array().cast("array<int>").alias("out"))
     step = lambda acc, i: F.when(i - acc["last"] >= SPACING, F.struct(i.alias("last"), F.concat(acc["out"], F.array(i)).alias("out"))).otherwise(acc)
     return F.when(n >= LEAST_WORDS, F.aggregate(places, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<int>"))
@@ -140,19 +139,19 @@ def emphasis_beats(sentence_words: Column) -> Column:
 
 # --- narration ------------------------------------------------------------------------------------------------------
 
-_PAST = frozenset(
+PAST = frozenset(
     "began bought broke brought built came caught chose cut drew dug fell felt flew fought found gave got grew heard held hit hung "
     "kept knew lay led left lit made met paid put ran rang rose said sang sat saw sent set shook shut slept sought spent spoke stole "
     "stood struck swam swept taught thought threw told took tore went wept woke wore wrote".split()
 )
-_NOT_PAST = frozenset(
+NOT_PAST = frozenset(
     "bed bleed bored breed creed exceed feed greed hatred heed hundred indeed kindred led naked need proceed ragged red reed "
     "sacred scared seed shed sled speed succeed tired weed wicked wired".split()
 )
-_INFINITIVE = frozenset(
+INFINITIVE = frozenset(
     "and can could did didn't do does don't i'll let may might must not please shall should then to we'll will would you'll".split()
 )
-_PERFECT = frozenset("had hadn't has hasn't have haven't having".split())
+PERFECT = frozenset("had hadn't has hasn't have haven't having".split())
 _EDGES = ".,;:!?'’"
 
 
@@ -165,14 +164,14 @@ def narrates_past(sentence: str) -> bool:
     if any(c in sentence for c in "\"“”:"):
         return False
     ws = sentence.split()
-    if any(w.strip(_EDGES).lower() in _PERFECT for w in ws):
+    if any(w.strip(_EDGES).lower() in PERFECT for w in ws):
         return False
     for i, w in enumerate(ws):
         core = re.sub("^[^A-Za-z'’]+|[^A-Za-z'’]+$", "", w).lower()
         if core == "read":
-            if i and ws[i - 1].strip(_EDGES).lower() not in _INFINITIVE:
+            if i and ws[i - 1].strip(_EDGES).lower() not in INFINITIVE:
                 return True
-        elif core in _PAST or len(core.encode()) >= 4 and core.endswith("ed") and core not in _NOT_PAST:
+        elif core in PAST or len(core.encode()) >= 4 and core.endswith("ed") and core not in NOT_PAST:
             return True
     return False
 

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosodia.functions import numbers as say
-from prosodia.functions.constants import CAPITAL_WORDS, LETTERS, SPOKEN_FUNCTION_WORDS, VOCABULARY
+from prosodia.functions.constants import ABBREVIATIONS, CAPITAL_WORDS, FUNCTION_WORDS, LETTERS, SPOKEN_FUNCTION_WORDS, VOCABULARY
 from prosodia.functions.phonology import past_column, possessive_column, syllables, will_column
 from prosodia.operators import alignment as al
-from prosodia.operators import distance, homographs, lexicon, signal, text
+from prosodia.operators import distance, frontend, homographs, lexicon, signal, text
 from prosodia.session import table
 from prosodia.streaming import serving
 
@@ -157,11 +157,11 @@ SELECT c.doc_id, count(v.id) AS n_tokens, count(DISTINCT CASE WHEN v.id IS NULL
 )
 def token_counts(spark, sf_dir):
     rows = _docs(spark, sf_dir)
-    # Ids are needed one at a time here, so removing what the vocabulary has and lacks counts them without an array.
-    known = "[" + "".join("\\" + c if c in "\\[]^-&" else c for c in sorted(VOCABULARY)) + "]"
-    n = F.char_length(F.regexp_replace("text", "[^" + known[1:], ""))
-    rest = F.array_distinct(F.filter(F.split(F.regexp_replace("text", known, ""), ""), lambda c: c != ""))
-    return rows.select("doc_id", n.cast("long").alias("n_tokens"), F.size(rest).cast("long").alias("n_lossy"))
+    # Ids are needed one at a time here, so what is left without the vocabulary's characters counts them without an array.
+    rest = F.translate("text", "".join(sorted(VOCABULARY)), "")
+    n = F.char_length("text") - F.char_length("rest")
+    lossy = F.when(F.col("rest") == "", 0).otherwise(F.size(F.array_distinct(F.filter(F.split("rest", ""), lambda c: c != ""))))
+    return rows.withColumn("rest", rest).select("doc_id", n.cast("long").alias("n_tokens"), lossy.cast("long").alias("n_lossy"))
 
 
 @query(
@@ -176,13 +176,31 @@ def syllable_counts(spark, sf_dir):
 
 # --- paragraphs, sentences, normalisation ---------------------------------------------------------------------------
 
+PARAGRAPHS_SQL = r"""
+split_up AS (SELECT doc_id, regexp_split_to_array(text, '\n[ \t\n\r\f]*\n') AS ps FROM documents),
+numbered AS (SELECT doc_id, unnest(range(len(ps)))::INT AS para, regexp_replace(unnest(ps), '^\s+|\s+$', '', 'g') AS paragraph FROM split_up),
+paras AS (SELECT * FROM numbered WHERE paragraph <> '')"""
+#: Dots that end no sentence are put out of sight: decimals, initials, abbreviations, and a.m. or p.m. before small letters.
+_HIDDEN = "\ue000"
+_MASKED_SQL = "paragraph"
+for _pattern, _put in (
+    *[(r"(\p{Nd})\.(\p{Nd})", rf"\1{_HIDDEN}\2")] * 2,
+    *[(r"(^|[^\p{L}])(\p{L})\.(\p{L})", rf"\1\2{_HIDDEN}\3")] * 2,
+    (rf"(^|[ \t])((?i:{'|'.join(sorted(a[:-1] for a in ABBREVIATIONS))}))\.", rf"\1\2{_HIDDEN}"),
+    (rf"(^|[ \t])([aApP]{_HIDDEN}[mM])\.([ \t]*[\p{{Ll}},:])", rf"\1\2{_HIDDEN}\3"),
+):
+    _MASKED_SQL = f"regexp_replace({_MASKED_SQL}, '{_pattern}', '{_put}', 'g')"
+SENTENCES_SQL = rf"""{PARAGRAPHS_SQL},
+cut_up AS (SELECT doc_id, para, list_filter(list_transform(regexp_extract_all({_MASKED_SQL}, '[^.!?]*[.!?][")''”’]*|[^.!?]+$'),
+  lambda x: regexp_replace(replace(x, '{_HIDDEN}', '.'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM paras),
+sentences AS (SELECT doc_id, para, unnest(range(len(ss)))::INT AS sent, unnest(ss) AS sentence FROM cut_up)"""
+
 
 @query(
-    """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents), u AS (SELECT doc_id, unnest(ps) AS paragraph, unnest(range(len(ps)))::INT AS para FROM p)
-SELECT doc_id, para, length(trim(paragraph)) AS n_chars FROM u WHERE trim(paragraph) <> ''"""
+    f"""WITH {PARAGRAPHS_SQL} SELECT doc_id, para, length(paragraph) AS n_chars FROM paras"""
 )
 def paragraph_lengths(spark, sf_dir):
-    return text.paragraphs(_docs(spark, sf_dir), pattern="\n").select("doc_id", "para", F.char_length("paragraph").cast("long").alias("n_chars"))
+    return text.paragraphs(_docs(spark, sf_dir)).select("doc_id", "para", F.char_length("paragraph").cast("long").alias("n_chars"))
 
 
 _PLAIN_SENTENCE = r"[^.!?]*[.!?]+[\"”’)']*|[^.!?]+$"
@@ -200,10 +218,10 @@ def sentence_lengths(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_sentences"), longest.cast("long").alias("longest"))
 
 
-@query()
+@query(f"WITH {SENTENCES_SQL} SELECT * FROM sentences")
 def sentences_exact(spark, sf_dir):
     """The guarded splitter: abbreviations, decimals and initials keep their dots."""
-    return text.sentences(text.paragraphs(_docs(spark, sf_dir), pattern="\n")).select("doc_id", "para", "sent", "sentence")
+    return text.sentences(text.paragraphs(_docs(spark, sf_dir))).select("doc_id", "para", "sent", "sentence")
 
 
 _L, _R = "(^|[^0-9A-Za-z_])", "([^0-9A-Za-z_]|$)"
@@ -354,57 +372,75 @@ def homograph_readings(spark, sf_dir):
     return homographs.readings(rows, homographs.SMALL)
 
 
-@query(
-    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?]*[.!?]+|[^.!?]+$'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents),
-u AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss)))::INT AS sent FROM s),
-m AS (SELECT doc_id, sent, regexp_matches(lower(sentence), '(^| )[a-z]{2,}ed( |[.,!?;]|$)') AS past, regexp_matches(lower(sentence), '^read ') AS opens FROM u),
-i AS (SELECT *, sum(CASE WHEN opens THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sent) AS island FROM m),
-h AS (SELECT *, coalesce(bool_or(past) OVER (PARTITION BY doc_id, island ORDER BY sent), false) AS told FROM i)
-SELECT doc_id, sent, coalesce(lag(told) OVER (PARTITION BY doc_id ORDER BY sent), false) AS hint FROM h"""
-)
+_TOLD_SQL = f"""WITH {SENTENCES_SQL},
+worded AS (SELECT doc_id, para, sent, sentence, list_filter(regexp_split_to_array(sentence, '\\s+'), lambda w: w <> '') AS ws FROM sentences),
+cored AS (SELECT *, list_transform(ws, lambda w: lower(regexp_replace(w, '^[.,;:!?''’]+|[.,;:!?''’]+$', '', 'g'))) AS edges,
+  list_transform(ws, lambda w: lower(regexp_replace(w, '^[^A-Za-z''’]+|[^A-Za-z''’]+$', '', 'g'))) AS cores FROM worded),
+m AS (SELECT doc_id, para, sent, NOT regexp_matches(sentence, '["“”:]') AND NOT list_has_any(edges, [{_listed(text.PERFECT)}])
+  AND len(list_filter(range(1, len(ws) + 1), lambda i: CASE WHEN cores[i] = 'read' THEN i > 1 AND NOT list_contains([{_listed(text.INFINITIVE)}], edges[i - 1])
+    ELSE list_contains([{_listed(text.PAST)}], cores[i]) OR (strlen(cores[i]) >= 4 AND ends_with(cores[i], 'ed') AND NOT list_contains([{_listed(text.NOT_PAST)}], cores[i])) END)) > 0 AS past,
+  coalesce(edges[1] = 'read', false) AS opens FROM cored),
+i AS (SELECT *, sum(CASE WHEN opens THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, para ORDER BY sent) AS island FROM m),
+h AS (SELECT *, bool_or(past) OVER (PARTITION BY doc_id, para, island ORDER BY sent) AS told FROM i)"""
+
+
+@query(_TOLD_SQL + " SELECT doc_id, para, sent, coalesce(lag(told) OVER (PARTITION BY doc_id, para ORDER BY sent), false) AS hint FROM h")
 def narration_hints(spark, sf_dir):
-    """Whether what precedes a sentence tells of the past: islands of sentences that pass the hint on."""
-    flat = F.regexp_replace("text", "\n", " ")
-    found = F.filter(F.transform(F.regexp_extract_all(flat, F.lit("[^.!?]*[.!?]+|[^.!?]+$"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(found).alias("sent", "sentence"))
-    low = F.lower("sentence")
-    doc = Window.partitionBy("doc_id").orderBy("sent")
-    marked = rows.select("doc_id", "sent", low.rlike("(^| )[a-z]{2,}ed( |[.,!?;]|$)").alias("past"), low.rlike("^read ").alias("opens"))
-    islands = marked.withColumn("island", F.sum((~F.col("opens")).cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("doc_id", "island").orderBy("sent").rowsBetween(Window.unboundedPreceding, 0)
-    told = islands.withColumn("told", F.max("past").over(within))
-    return told.select("doc_id", "sent", F.coalesce(F.lag("told").over(doc), F.lit(False)).alias("hint"))
+    """Whether what precedes a sentence in its paragraph tells of the past."""
+    return frontend.hinted_sentences(_docs(spark, sf_dir)).select("doc_id", "para", "sent", "hint")
 
 
-@query()
+_EDGE_SQL = text.char_class(text.STRIPPED).replace("'", "''").replace('\\"', '"')
+_BEATS_SQL = f"""WITH {SENTENCES_SQL},
+worded AS (SELECT doc_id, para, sent, list_filter(regexp_split_to_array(sentence, '\\s+'), lambda w: w <> '') AS ws FROM sentences SEMI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') USING (doc_id)),
+looked AS (SELECT doc_id, para, sent, len(ws) AS n, list_transform(ws, lambda w: NOT regexp_matches(w, '^{_EDGE_SQL}|{_EDGE_SQL}$') AND list_contains([{_listed(FUNCTION_WORDS)}], lower(w))) AS opens,
+  list_transform(ws, lambda w: NOT regexp_matches(w, '^{_EDGE_SQL}|{_EDGE_SQL}$') AND NOT list_contains([{_listed(FUNCTION_WORDS)}], lower(w)) AND length(w) >= 5 AND NOT regexp_matches(w, '[0-9]')) AS heads FROM worded),
+fit AS (SELECT doc_id, para, sent, list_filter(range(2, n - 3), lambda i: opens[i + 1] AND heads[i + 2]) AS places FROM looked WHERE n >= 8),
+kept AS (SELECT doc_id, para, sent, list_reduce(list_prepend([-5::BIGINT], list_transform(places, lambda i: [i])), lambda acc, x: CASE WHEN x[1] - acc[-1] >= 5 THEN list_concat(acc, x) ELSE acc END)[2:] AS kept FROM fit)"""
+
+
+@query(_BEATS_SQL + " SELECT doc_id, para, sent, unnest(kept)::INT AS pos FROM kept")
 def emphasis_beats(spark, sf_dir):
-    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir, english=True), pattern="\n"))
+    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir, english=True)))
     ws = F.filter(F.split("sentence", r"\s+"), lambda w: w != "")
-    rows = exact.select("doc_id", "para", "sent", F.explode(text.emphasis_beats(ws)).alias("pos"))
-    return rows
+    return exact.select("doc_id", "para", "sent", ws.alias("ws")).select("doc_id", "para", "sent", F.explode(text.emphasis_beats(F.col("ws"))).alias("pos"))
 
 
-@query()
+_KNOWN_SQL = "".join("\\" + c if c in "\\[]^-&" else c for c in sorted(VOCABULARY)).replace("'", "''")
+GROUPS_SQL = f"""WITH {SENTENCES_SQL},
+kept AS (SELECT doc_id, para, sent, regexp_replace(sentence, '[^{_KNOWN_SQL}]', '', 'g') AS txt FROM sentences),
+listed AS (SELECT doc_id, para, list([struct_pack(n := 1, txt := txt)] ORDER BY sent) AS xs FROM kept WHERE txt <> '' GROUP BY doc_id, para),
+folded AS (SELECT doc_id, para, list_reduce(xs, lambda acc, x: CASE WHEN length(acc[-1].txt) + 1 + length(x[1].txt) <= 509
+  THEN list_concat(acc[1:len(acc) - 1], [struct_pack(n := acc[-1].n + 1, txt := acc[-1].txt || ' ' || x[1].txt)]) ELSE list_concat(acc, x) END) AS gs FROM listed),
+groups AS (SELECT doc_id, para, unnest(range(len(gs)))::INT AS grp, unnest(gs).n::INT AS n_sentences, unnest(gs).txt AS txt, len(gs) AS n_groups FROM folded)"""
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of sentences as they are spelled: packing by itself, without what phonemes do to lengths."""
+    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir)))
+    return frontend.token_groups(exact.withColumnRenamed("sentence", "phonemes"))
+
+
+@query(GROUPS_SQL + " SELECT doc_id, para, grp, n_sentences, length(txt)::INT AS n_tokens FROM groups")
 def token_groups(spark, sf_dir):
     """Sentences packed greedily into groups of at most 509 tokens."""
-    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir), pattern="\n"))
-    sized = exact.select("doc_id", "para", "sent", F.size(text.token_ids(F.col("sentence"))).alias("n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("sent", "n"))), lambda x: x["n"])
-    groups = sized.groupBy("doc_id", "para").agg(ordered.alias("sizes"))
-    return groups.select("doc_id", "para", F.posexplode(text.group_sizes(F.col("sizes"))).alias("grp", "g")).select("doc_id", "para", "grp", F.col("g.n").alias("n_sentences"), F.col("g.tokens").alias("n_tokens"))
+    return _groups(spark, sf_dir).select("doc_id", "para", "grp", "n_sentences", F.size("tokens").alias("n_tokens"))
 
 
 @query(
-    """WITH t AS (SELECT doc_id, length(text) AS n, CASE right(text, 1) WHEN '!' THEN 0.32::DOUBLE WHEN '?' THEN 0.30::DOUBLE WHEN '…' THEN 0.35::DOUBLE ELSE 0.25::DOUBLE END AS base FROM documents)
-SELECT doc_id, trunc(least(greatest(CASE WHEN n <= 50 THEN base + 0.03::DOUBLE WHEN n >= 200 THEN base - 0.03::DOUBLE ELSE base END, 0.20::DOUBLE), 0.35::DOUBLE) * 24000)::INT AS sentence_samples,
-trunc(CASE WHEN n // 509 + 1 <= 2 THEN 0.85::DOUBLE WHEN n // 509 + 1 = 3 THEN 0.80::DOUBLE ELSE 0.70::DOUBLE END * 24000)::INT AS paragraph_samples FROM t"""
+    GROUPS_SQL
+    + """, t AS (SELECT *, length(txt) AS n, CASE right(regexp_replace(right(txt, 5), '[")”]', '', 'g'), 1) WHEN '!' THEN 0.32::DOUBLE WHEN '?' THEN 0.30::DOUBLE WHEN '…' THEN 0.35::DOUBLE ELSE 0.25::DOUBLE END AS base,
+  list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length(txt) + 1), lambda i: [i - 1, CASE WHEN substr(txt, i, 1) = ' ' THEN 1 WHEN substr(txt, i, 1) IN (',', ';', '—') THEN 2 ELSE 0 END])),
+    lambda acc, x: CASE WHEN x[2] = 1 THEN list_prepend(acc[1] + 1, acc[2:]) WHEN x[2] = 2 AND acc[1] >= 3 THEN list_append(list_prepend(0::BIGINT, acc[2:]), x[1]) ELSE acc END)[2:] AS places FROM groups)
+SELECT doc_id, para, grp, len(places)::INT AS n_places, coalesce(list_sum(places), 0)::BIGINT AS sum_places,
+CASE WHEN grp = n_groups - 1 THEN 0 ELSE trunc(least(greatest(CASE WHEN n <= 50 THEN base + 0.03::DOUBLE WHEN n >= 200 THEN base - 0.03::DOUBLE ELSE base END, 0.20::DOUBLE), 0.35::DOUBLE) * 24000)::INT END AS sentence_samples,
+trunc(CASE WHEN n_groups <= 2 THEN 0.85::DOUBLE WHEN n_groups = 3 THEN 0.80::DOUBLE ELSE 0.70::DOUBLE END * 24000)::INT AS paragraph_samples FROM t"""
 )
 def silence_plan(spark, sf_dir):
-    n = F.char_length("text")
-    last = F.right("text", F.lit(1))
-    end = F.when(last == "!", 5).when(last == "?", 6).when(last == "…", 10).otherwise(4)
-    groups = F.floor(n / 509) + 1
-    return _docs(spark, sf_dir).select("doc_id", text.sentence_silence(end, n).alias("sentence_samples"), text.paragraph_silence(groups).alias("paragraph_samples"))
+    """Clause pauses within each group and silences behind it, by its tokens and its paragraph's groups."""
+    rows = frontend.voiced_plan(_groups(spark, sf_dir))
+    total = F.aggregate("clause_places", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "para", "grp", F.size("clause_places").alias("n_places"), total.alias("sum_places"), "sentence_samples", "paragraph_samples")
 
 
 # --- alignments -----------------------------------------------------------------------------------------------------
@@ -491,10 +527,10 @@ def pacing_summary(spark, sf_dir):
     ALIGNED_SQL
     + """, n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY clip_id) AS n, lag(word, 4) OVER w AS b4, lag(word, 3) OVER w AS b3, lag(word, 2) OVER w AS b2, lag(word) OVER w AS b1,
 lead(word) OVER w AS a1, lead(word, 2) OVER w AS a2, lead(word, 3) OVER w AS a3, lead(word, 4) OVER w AS a4 FROM alignment WINDOW w AS (PARTITION BY clip_id ORDER BY pos))
-SELECT clip_id, pos, CASE WHEN k > 5 THEN '...' ELSE '' END || concat_ws(' ', b4, b3, b2, b1, upper(replace(word, 'ß', 'ss')), a1, a2, a3, a4) || CASE WHEN k + 4 < n THEN '...' ELSE '' END AS context FROM n WHERE pos % 50 = 7"""
+SELECT clip_id, pos, CASE WHEN k > 5 THEN '...' ELSE '' END || concat_ws(' ', b4, b3, b2, b1, upper(replace(word, 'ß', 'ss')), a1, a2, a3, a4) || CASE WHEN k + 4 < n THEN '...' ELSE '' END AS context FROM n"""
 )
 def context_snippets(spark, sf_dir):
-    return al.context(_alignment(spark, sf_dir)).where("pos % 50 = 7").select("clip_id", "pos", "context")
+    return al.context(_alignment(spark, sf_dir)).select("clip_id", "pos", "context")
 
 
 def _prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -549,8 +585,8 @@ def issues_top30(spark, sf_dir):
 
 @query(ISSUES_SQL + " SELECT category, severity, count(*) AS n FROM issues GROUP BY GROUPING SETS ((category), (severity), ())")
 def issue_groupings(spark, sf_dir):
-    _issues(spark, sf_dir).createOrReplaceTempView("prosodia_issues")
-    return spark.sql("SELECT category, severity, count(*) AS n FROM prosodia_issues GROUP BY GROUPING SETS ((category), (severity), ())")
+    sets = [[F.col("category")], [F.col("severity")], []]
+    return _issues(spark, sf_dir).groupingSets(sets, "category", "severity").agg(F.count("*").alias("n"))
 
 
 # --- signals --------------------------------------------------------------------------------------------------------
@@ -648,7 +684,11 @@ def voice_blend(spark, sf_dir):
     return mixed.select("label", F.round(F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 4).alias("total"))
 
 
-@query()
+@query(
+    FRAMES_SQL.format(n="1 + (len(embedding) - 16) // 8")
+    + """, q AS (SELECT *, max(rms) OVER (PARTITION BY clip_id) AS peak FROM levels)
+SELECT clip_id, coalesce(min(frame * 8) FILTER (rms > 0 AND 20 * log10(rms / peak) > -3.0), 0)::INT AS first, coalesce(least(max((frame + 1) * 8) FILTER (rms > 0 AND 20 * log10(rms / peak) > -3.0), any_value(n)), 0)::INT AS last FROM q GROUP BY clip_id"""
+)
 def trim_bounds(spark, sf_dir):
     kernel = signal.kernel(lambda s: dict(zip(("first", "last"), signal.trim_bounds(s, 3.0, 16, 8), strict=True)), "struct<first:int,last:int>")
     return _clips(spark, sf_dir).select("clip_id", kernel(F.col("samples")).alias("b")).select("clip_id", "b.*")
@@ -662,10 +702,19 @@ def pitch_stats(spark, sf_dir):
     return _rounded(signal.pitch_stats(frames), "voiced_pct", "mean_f0", "median_f0", "sd_f0", "min_f0", "max_f0")
 
 
-@query()
+_PART_SQL = "list_sum(list_transform(range(0, 16), lambda i: e[f * 8 + i + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * i / 15)) * {}(2 * pi() * k * i / 16)))"
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, embedding AS e, 1 + (len(embedding) - 16) // 8 AS n FROM embeddings), f AS (SELECT *, unnest(range(0, n)) AS f FROM e), k AS (SELECT *, unnest(range(0, 8)) AS k FROM f),
+l AS (SELECT vec_id, n, 20 * log10(sqrt(pow({_PART_SQL.format('cos')}, 2) + pow({_PART_SQL.format('sin')}, 2)) + 1e-10) AS level FROM k)
+SELECT vec_id AS clip_id, any_value(n)::INT AS n_frames, round(greatest(min(level) - max(level), -80), 6) AS floor, round(max(level) - max(level), 6) AS peak, round(avg(greatest(level, p - 80)) - max(level), 4) AS mean FROM (SELECT *, max(level) OVER (PARTITION BY vec_id) AS p FROM l) GROUP BY vec_id"""
+)
 def spectrogram_stats(spark, sf_dir):
     made = signal.kernel(lambda s: signal.spectrogram(s, 16, 8, 100, 50).tolist(), "array<array<double>>")
-    return _clips(spark, sf_dir).select("clip_id", made(F.col("samples")).alias("m")).select("clip_id", F.size("m").alias("n_frames"), F.round(F.array_min(F.flatten("m")), 6).alias("floor"), F.round(F.array_max(F.flatten("m")), 6).alias("peak"))
+    rows = _clips(spark, sf_dir).select("clip_id", made(F.col("samples")).alias("m")).withColumn("all", F.flatten("m"))
+    mean = F.aggregate("all", F.lit(0.0), lambda a, x: a + x) / F.size("all")
+    return rows.select("clip_id", F.size("m").alias("n_frames"), F.round(F.array_min("all"), 6).alias("floor"), F.round(F.array_max("all"), 6).alias("peak"), F.round(mean, 4).alias("mean"))
 
 
 # --- distances ------------------------------------------------------------------------------------------------------
@@ -685,29 +734,33 @@ def char_distance(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.levenshtein("ref", "hyp").alias("distance"))
 
 
-@query(
+#: Rows of the edit table from one another: each word of one side brings its mismatches with the other's.
+WORD_TABLE_SQL = (
     TURNS_SQL
-    + r""", w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(ref, '\s+'), lambda x: x <> '')[1:40] AS a, list_filter(regexp_split_to_array(hyp, '\s+'), lambda x: x <> '')[1:40] AS b FROM pairs WHERE ref IS NOT NULL),
-u AS (SELECT *, list_distinct(list_concat(a, b)) AS joint FROM w)
-SELECT conv_id, turn, levenshtein(array_to_string(list_transform(a, lambda x: chr(32 + list_position(joint, x)::INT)), ''), array_to_string(list_transform(b, lambda x: chr(32 + list_position(joint, x)::INT)), ''))::INT AS distance FROM u"""
+    + r""", w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(ref, '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(hyp, '\s+'), lambda x: x <> '') AS b FROM pairs WHERE ref IS NOT NULL),
+d AS (SELECT conv_id, turn, len(a) AS total_ref, len(b) AS total_hyp, list_reduce(list_prepend(range(0, len(b) + 1), list_transform(a, lambda x: list_transform(b, lambda y: CASE WHEN x = y THEN 0::BIGINT ELSE 1::BIGINT END))),
+  lambda r, f: list_transform([list_prepend(r[1] + 1, list_transform(range(1, len(r)), lambda j: least(r[j] + f[j], r[j + 1] + 1)))],
+    lambda t: list_transform(range(1, len(t) + 1), lambda j: list_min(list_transform(range(1, j + 1), lambda k: t[k] - k)) + j))[1])[-1] AS distance FROM w)"""
 )
-def word_distance(spark, sf_dir):
-    """Of the first forty words of two turns: a length at which the SQL twin's codes stay ASCII."""
-    first = lambda c: F.slice(F.filter(F.split(F.col(c), r"\s+"), lambda x: x != ""), 1, 40)
-    return _turns(spark, sf_dir).select("conv_id", "turn", distance.word_distance(first("ref"), first("hyp")).alias("distance"))
 
 
-@query()
-def word_distance_whole(spark, sf_dir):
-    """Of all words of two turns; word_distance stays with its SQL twin's first forty."""
+@query(WORD_TABLE_SQL + " SELECT conv_id, turn, distance::INT AS distance FROM d")
+def word_distance(spark, sf_dir):
+    """Of all words of two turns."""
     words = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda x: x != "")
     return _turns(spark, sf_dir).select("conv_id", "turn", distance.word_distance(words("ref"), words("hyp")).alias("distance"))
 
 
-@query()
+@query(
+    WORD_TABLE_SQL
+    + """ SELECT conv_id, turn, round(CASE WHEN total_ref = 0 THEN total_hyp ELSE distance / total_ref::DOUBLE END, 9)::DOUBLE AS wer, CASE WHEN total_ref = 0 THEN total_hyp ELSE distance END::INT AS errors,
+(total_hyp - total_ref)::INT AS excess, total_ref::INT AS total_ref, total_hyp::INT AS total_hyp FROM d"""
+)
 def wer_rows(spark, sf_dir):
+    """Error rates of turns against the ones before; insertions less deletions are the excess."""
     rows = _turns(spark, sf_dir).withColumn("r", distance.wer_of("ref", "hyp"))
-    return rows.select("conv_id", "turn", "r.wer", "r.subs", "r.ins", "r.dels", "r.total_ref", "r.total_hyp")
+    errors = F.col("r.subs") + F.col("r.ins") + F.col("r.dels")
+    return rows.select("conv_id", "turn", F.round("r.wer", 9).alias("wer"), errors.alias("errors"), (F.col("r.ins") - F.col("r.dels")).alias("excess"), "r.total_ref", "r.total_hyp")
 
 
 @query()

@@ -56,5 +56,5 @@ def test_entry_without_the_optional_parts(tmp_path):
 def test_word_distance_over_whole_turns(spark, tmp_path):
     said = [" ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" if i < 45 else f"x{i}" for i in range(58)), ""]
     spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = catalog.QUERIES["word_distance_whole"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["word_distance"](spark, str(tmp_path)).collect()
     assert {(r["turn"], r["distance"]) for r in got} == {(1, 15), (2, 58)}
