@@ -130,11 +130,20 @@ def emphasis_beats(sentence_words: Column) -> Column:
         head = plain & ~function & (F.char_length(w) >= LEAST_HEAD) & ~w.rlike("[0-9]")
         return F.struct((plain & function).alias("opens"), head.alias("head"))
 
-    looked = F.transform(sentence_words, seen)
-    places = F.filter(F.sequence(F.lit(EDGE), F.greatest(n - 2 - EDGE, F.lit(EDGE))), lambda i: F.get(looked, i)["opens"] & F.get(looked, i + 1)["head"])
-    start = F.struct(F.lit(-SPACING).alias("last"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, i: F.when(i - acc["last"] >= SPACING, F.struct(i.alias("last"), F.concat(acc["out"], F.array(i)).alias("out"))).otherwise(acc)
-    return F.when(n >= LEAST_WORDS, F.aggregate(places, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<int>"))
+    # One fold over neighbours; the array of what was seen is bound once, since each mention of it would make it anew.
+    looked = F.array(F.transform(sentence_words, seen))
+    pairs = F.transform(looked, lambda l: F.zip_with(l, F.slice(l, 2, F.greatest(F.size(l) - 1, F.lit(0))), lambda a, b: a["opens"] & F.coalesce(b["head"], F.lit(False))))
+    start = F.struct(F.lit(0).alias("i"), F.lit(-SPACING).alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, fits: Column) -> Column:
+        i = acc["i"]
+        take = fits & (i >= EDGE) & (i < n - 1 - EDGE) & (i - acc["last"] >= SPACING)
+        return F.struct(
+            (i + 1).alias("i"), F.when(take, i).otherwise(acc["last"]).alias("last"), F.when(take, F.concat(acc["out"], F.array(i))).otherwise(acc["out"]).alias("out")
+        )
+
+    found = F.aggregate(F.element_at(pairs, 1), start, step, lambda acc: acc["out"])
+    return F.when(n >= LEAST_WORDS, found).otherwise(F.array().cast("array<int>"))
 
 
 # --- narration ------------------------------------------------------------------------------------------------------
