@@ -110,11 +110,12 @@ def inventory(diagnosed: DataFrame, order: list[str]) -> DataFrame:
     return firsts.select("source", "word", "n", *(F.col(f"at.{c}").alias(f"first_{c}") for c in order))
 
 
-def violations(lexicon: DataFrame, most: int = 10) -> DataFrame:
-    """Entries whose reading the vocabulary can't speak, with the code points; the first ``most`` by word."""
+def violations(lexicon: DataFrame, most: int | None = 10) -> DataFrame:
+    """Entries whose reading the vocabulary can't speak, with the code points; the first ``most`` by word, or all."""
     lossy = lexicon.withColumn("lossy", lossy_runes(F.col("ipa"))).where(F.size("lossy") > 0)
     points = F.transform("lossy", lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.unhex(F.hex(F.encode(c, "UTF-32")))), 8, "0")))
-    return lossy.select("tier", "word", "ipa", points.alias("code_points")).orderBy("word", "tier").limit(most)
+    rows = lossy.select("tier", "word", "ipa", points.alias("code_points"))
+    return rows if most is None else rows.orderBy("word", "tier").limit(most)
 
 
 def fingerprint(lexicon: DataFrame) -> DataFrame:

@@ -798,10 +798,25 @@ def metrics_histogram(spark, sf_dir):
     return serving.histogram(_observed(spark, sf_dir), "generation_s", serving.GENERATION_BOUNDS).withColumn("sum", F.round("sum", 4))
 
 
-@query()
+_GENERAL_SQL = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE rtrim({0}::DECIMAL(38,6)::VARCHAR, '0') END"
+_HIST_SQL = """SELECT '{n}_bucket{{voice="' || o.voice || '",le="' || """ + _GENERAL_SQL.format("b.le") + """ || '"}} ' || count(*) FILTER (o.{c} <= b.le) AS line FROM o JOIN (SELECT le::DOUBLE AS le FROM {b}) b ON true WHERE status = 'ok' GROUP BY o.voice, b.le
+UNION ALL SELECT '{n}_bucket{{voice="' || voice || '",le="+Inf"}} ' || count(*) FROM o WHERE status = 'ok' GROUP BY voice
+UNION ALL SELECT '{n}_sum{{voice="' || voice || '"}} ' || """ + _GENERAL_SQL.format("round(sum({c}), 4)") + """ FROM o WHERE status = 'ok' GROUP BY voice
+UNION ALL SELECT '{n}_count{{voice="' || voice || '"}} ' || count(*) FROM o WHERE status = 'ok' GROUP BY voice"""
+
+
+@query(
+    OBSERVED_SQL
+    + """ SELECT unnest(['# HELP tts_model_loaded Whether the model is loaded.', '# TYPE tts_model_loaded gauge', 'tts_model_loaded 1', '# HELP tts_requests_total Requests by voice and outcome.', '# TYPE tts_requests_total counter',
+'# HELP tts_characters_total Characters of all requests.', '# TYPE tts_characters_total counter', '# HELP tts_generation_seconds Generation seconds of successful requests.', '# TYPE tts_generation_seconds histogram', '# HELP tts_audio_seconds Audio seconds of successful requests.', '# TYPE tts_audio_seconds histogram']) AS line
+UNION ALL SELECT 'tts_requests_total{voice="' || voice || '",status="' || status || '"} ' || count(*) FROM o GROUP BY voice, status UNION ALL SELECT 'tts_characters_total{voice="' || voice || '"} ' || sum(length(text))::BIGINT FROM o GROUP BY voice
+UNION ALL """
+    + " UNION ALL ".join(_HIST_SQL.format(n=n, c=c, b=_values([(x,) for x in bounds], "le")) for n, c, bounds in (("tts_generation_seconds", "generation_s", serving.GENERATION_BOUNDS), ("tts_audio_seconds", "audio_s", serving.AUDIO_BOUNDS)))
+)
 def metrics_exposition(spark, sf_dir):
     seen = _observed(spark, sf_dir)
-    return serving.exposition(serving.counters(seen), serving.histogram(seen, "generation_s", serving.GENERATION_BOUNDS), "tts_generation_seconds")
+    hist = lambda value, bounds: serving.histogram(seen, value, bounds).withColumn("sum", F.round("sum", 4))
+    return serving.exposition(serving.counters(seen), {"generation_seconds": hist("generation_s", serving.GENERATION_BOUNDS), "audio_seconds": hist("audio_s", serving.AUDIO_BOUNDS)})
 
 
 @query(

@@ -31,6 +31,45 @@ def validated(requests: DataFrame) -> DataFrame:
     return filled.withColumn("error", F.when(empty, "text is required").when(~F.col("format").isin(*FORMATS), unsupported))
 
 
+SPEECH = "model string, input string, voice string, response_format string, speed double, emphasis boolean"
+
+
+def speech_requests(requests: DataFrame, body: str = "body") -> DataFrame:
+    """Request bodies of the other shape, flat and with ``input`` and ``response_format``, as those of validated(); what is
+    answered is the bare audio, so its ``content_type`` is known beforehand."""
+    made = F.from_json(body, SPEECH)
+    rows = requests.withColumn("r", made).select(*requests.columns, F.col("r.input").alias("text"), "r.voice", "r.speed", F.col("r.response_format").alias("format"), "r.emphasis")
+    checked = validated(rows)
+    error = F.regexp_replace(F.regexp_replace("error", "^text is required$", "input is required"), "^unsupported format:", "unsupported response_format:")
+    kind = F.when(F.col("error").isNull(), F.when(F.col("format") == "mp3", "audio/mpeg").otherwise("audio/wav"))
+    return checked.withColumn("content_type", kind).withColumn("error", F.when(made.isNull(), "invalid JSON").otherwise(error))
+
+
+def voice_list(voices: DataFrame) -> DataFrame:
+    """(n, names, body): how many voices (name) there are, their names in order, and the same as JSON."""
+    names = F.array_sort(F.collect_set("name"))
+    return voices.agg(names.alias("all")).select(
+        F.size("all").cast("long").alias("n"), F.array_join("all", ", ").alias("names"), F.to_json(F.struct(F.transform("all", lambda v: F.struct(v.alias("name"))).alias("voices"))).alias("body")
+    )
+
+
+def with_voice(requests: DataFrame, voices: DataFrame) -> DataFrame:
+    """Requests with an ``error`` that names the voices there are, where a voice is not one of them."""
+    held = voices.select(F.col("name").alias("voice"), F.lit(True).alias("held")).distinct()
+    listed = F.broadcast(voice_list(voices).select("names"))
+    rows = requests.join(held, "voice", "left").join(listed, how="left")
+    missing = F.format_string('voice "%s" not found (available: %s)', "voice", "names")
+    return rows.withColumn("error", F.when(F.col("held").isNull(), missing)).drop("held", "names")
+
+
+def version_row(spark, build_time: str, git_hash: str, data: dict | None = None) -> DataFrame:
+    """(body): when and from what this was built, and a fingerprint of the data that is loaded; none for a stand-in."""
+    import json
+
+    body = {"build_time": build_time, "git_hash": git_hash, **({"data": data} if data is not None else {})}
+    return spark.createDataFrame([(json.dumps(body),)], "body string")
+
+
 def stub_seconds(text: Column, speed: Column) -> Column:
     """How long a stand-in for a synthesiser speaks: 0.08 s a word."""
     return F.size(F.filter(F.split(text, " "), lambda w: w != "")) * F.lit(0.08) / speed
@@ -91,28 +130,34 @@ def histogram(observed: DataFrame, value: str, bounds: tuple[float, ...]) -> Dat
     return wide.select("voice", F.explode(rows).alias("r"), "total", "sum").select("voice", "r.le", "r.n", "total", "sum")
 
 
-def exposition(counted: DataFrame, hist: DataFrame, name: str) -> DataFrame:
-    """Lines of the Prometheus text format, in order."""
-    lines = counted.select(
-        F.lit(0).alias("part"), "voice", F.col("status").alias("key"), F.lit(0.0).alias("le"),
-        F.format_string('tts_requests_total{voice="%s",status="%s"} %d', "voice", "status", "requests").alias("line"),
-    )
-    buckets = hist.select(
-        F.lit(1).alias("part"), "voice", F.lit("bucket").alias("key"), "le",
-        F.format_string(name + '_bucket{voice="%s",le="%s"} %d', "voice", F.regexp_replace(F.col("le").cast("string"), r"\.0$", ""), "n").alias("line"),
-    )
-    ends = hist.select("voice", "total", "sum").distinct()
-    rest = [
-        ends.select(F.lit(1).alias("part"), "voice", F.lit(k).alias("key"), F.lit(float("inf")).alias("le"), F.format_string(form, "voice", v).alias("line"))
-        for k, form, v in (
-            ("c+Inf", name + '_bucket{voice="%s",le="+Inf"} %d', "total"),
-            ("d_sum", name + '_sum{voice="%s"} %s', F.col("sum").cast("string")),
-            ("e_count", name + '_count{voice="%s"} %d', "total"),
-        )
-    ]
-    out = lines
-    for part in (buckets, *rest):
-        out = out.unionByName(part)
+def general(value: Column) -> Column:
+    """A number without a decimal point where it is whole, else without the zeros at its end; never with an exponent."""
+    plain = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"0+$", "")
+    return F.when(value == F.floor(value), F.format_string("%d", value.cast("long"))).otherwise(plain)
+
+
+def exposition(counted: DataFrame, histograms: dict[str, DataFrame], loaded: bool = True, prefix: str = "tts") -> DataFrame:
+    """Lines of the Prometheus text format, in order: whether a model is loaded, requests by voice and status, characters
+    by voice, and a histogram for each of ``histograms`` by name."""
+    kind = "part int, voice string, key string, le double, line string"
+    spark = counted.sparkSession
+    heads = [("model_loaded", "gauge", "Whether the model is loaded."), ("requests_total", "counter", "Requests by voice and outcome."), ("characters_total", "counter", "Characters of all requests.")]
+    heads += [(name, "histogram", f"{name.replace('_', ' ').capitalize()} of successful requests.") for name in histograms]
+    said = [(i, "", f" {k}", 0.0, line) for i, (n, t, h) in enumerate(heads) for k, line in enumerate((f"# HELP {prefix}_{n} {h}", f"# TYPE {prefix}_{n} {t}"))]
+    out = spark.createDataFrame([*said, (0, "", "a", 0.0, f"{prefix}_model_loaded {int(loaded)}")], kind)
+    put = lambda frame, part, key, le, form, *values: frame.select(
+        F.lit(part).alias("part"), "voice", key.alias("key"), le.alias("le"), F.format_string(form, "voice", *values).alias("line")
+    )
+    zero = F.lit(0.0)
+    out = out.unionByName(put(counted, 1, F.col("status"), zero, prefix + '_requests_total{voice="%s",status="%s"} %d', "status", "requests"))
+    letters = counted.groupBy("voice").agg(F.sum("characters").alias("n"))
+    out = out.unionByName(put(letters, 2, F.lit("a"), zero, prefix + '_characters_total{voice="%s"} %d', "n"))
+    for part, (name, hist) in enumerate(histograms.items(), 3):
+        name = f"{prefix}_{name}"
+        out = out.unionByName(put(hist, part, F.lit("a"), F.col("le"), name + '_bucket{voice="%s",le="%s"} %d', general(F.col("le")), "n"))
+        ends = hist.groupBy("voice").agg(F.first("total").alias("total"), F.first("sum").alias("sum"))
+        for key, form, value in (("b", name + '_bucket{voice="%s",le="+Inf"} %d', F.col("total")), ("c", name + '_sum{voice="%s"} %s', general(F.col("sum"))), ("d", name + '_count{voice="%s"} %d', F.col("total"))):
+            out = out.unionByName(put(ends, part, F.lit(key), zero, form, value))
     return out.orderBy("part", "voice", "key", "le").select("line")
 
 
