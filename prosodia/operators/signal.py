@@ -58,33 +58,44 @@ def trim_bounds(samples, floor: float = 60.0, size: int = 2048, hop: int = 512)
     return (int(loud[0]) * hop, min(int(loud[-1] + 1) * hop, len(x))) if len(loud) else (0, 0)
 
 
+#: Levels below which a frame is quiet, and below which there is no ratio to the next.
+QUIET, NOTHING = 0.001, 1e-6
+
+
+def level_glitches(rms: np.ndarray, hop: int) -> list[tuple[str, int, float]]:
+    """Spikes and dropouts of frame levels. A frame of over four times the level before is a spike, unless it opens speech:
+    four of the six frames before are quiet, or the one before is nearly so. A fall by over 20 dB is a dropout if the next
+    frame is twice as loud again."""
+    if len(rms) < 2:
+        return []
+    before, now = rms[:-1], rms[1:]
+    held = before > NOTHING
+    ratio = np.divide(now, before, out=np.ones_like(now), where=held)
+    quiet = np.concatenate(([0], np.cumsum(rms < QUIET)))
+    at = np.arange(1, len(rms))
+    loud = held & (ratio > 4.0)
+    onset = loud & ((quiet[at] - quiet[np.maximum(at - 6, 0)] >= 4) | (before < 0.005))
+    fall = 20 * np.log10(np.maximum(ratio, 1e-300))
+    after = np.append(rms[2:], 0.0)
+    drop = held & ~onset & (now > NOTHING) & (fall < -20) & (after > 2 * now)
+    found = [("spike", int(i) * hop, float(ratio[i - 1])) for i in at[loud & ~onset]]
+    return sorted(found + [("dropout", int(i) * hop, float(-fall[i - 1])) for i in at[drop]], key=lambda g: g[1])
+
+
+def mean_jumps(x: np.ndarray, window: int = 512, least: float = 0.08) -> list[tuple[str, int, float]]:
+    """Places where the mean of the next window is far from that of the one before."""
+    at = np.arange(window, len(x) - window, window // 2)
+    sums = np.concatenate(([0.0], np.cumsum(x)))
+    jump = np.abs(sums[at + window] - 2 * sums[at] + sums[at - window]) / window
+    return [("dc_jump", int(i), float(j) / least) for i, j in zip(at[jump > least], jump[jump > least], strict=True)]
+
+
 def glitches(samples, rate: int = RATE, size: int = 128, hop: int = 64) -> list[tuple[str, int, float]]:
-    """(type, sample, severity): spikes, dropouts and jumps of the mean."""
+    """(type, sample, severity): spikes and dropouts by place, then jumps of the mean."""
     x = _array(samples)
-    out: list[tuple[str, int, float]] = []
     if len(x) < 2 * size:
-        return out
-    rms = frame_rms(x, size, hop, (len(x) - size) // hop)
-    quiet = np.concatenate(([0], np.cumsum(rms < 0.001)))
-    for i in range(1, len(rms)):
-        before, now = rms[i - 1], rms[i]
-        if before <= 1e-6:
-            continue
-        if now / before > 4.0:
-            if quiet[i] - quiet[max(0, i - 6)] >= 4 or before < 0.005:
-                continue
-            out.append(("spike", i * hop, now / before))
-        if now > 1e-6:
-            fall = 20 * np.log10(now / before)
-            if fall < -20 and i + 1 < len(rms) and rms[i + 1] > 2 * now:
-                out.append(("dropout", i * hop, -fall))
-    window, least = 512, 0.08
-    sums = np.concatenate(([0.0], np.cumsum(x)))
-    for i in range(window, len(x) - window, window // 2):
-        jump = abs((sums[i + window] - sums[i]) - (sums[i] - sums[i - window])) / window
-        if jump > least:
-            out.append(("dc_jump", i, jump / least))
-    return out
+        return []
+    return level_glitches(frame_rms(x, size, hop, (len(x) - size) // hop), hop) + mean_jumps(x)
 
 
 def _parabola(d: np.ndarray, tau: int, last: int) -> float:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -605,17 +606,14 @@ def rms_profile(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id, value FROM events)
-SELECT user_id, event_id, round(sqrt(avg(value * value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)), 6) AS rms FROM s"""
+    """WITH p AS (SELECT vec_id AS clip_id, embedding AS e, unnest(range(1, len(embedding) + 1))::INT AS i FROM embeddings)
+SELECT clip_id, i - 1 AS pos, round(sqrt(list_avg(list_transform(e[greatest(i - 4, 1):least(i + 4, len(e))], lambda x: x::DOUBLE * x::DOUBLE))), 6) AS rms FROM p"""
 )
 def rms_envelope(spark, sf_dir):
     """A centred window from prefix sums: linear in the samples whatever the window."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value").withColumns({"i": F.row_number().over(order), "s": F.sum(F.col("value") * F.col("value")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count("*").over(Window.partitionBy("user_id"))})
-    high = F.coalesce(F.lead("s", 4).over(order), F.max("s").over(Window.partitionBy("user_id")))
-    low = F.coalesce(F.lag("s", 5).over(order), F.lit(0.0))
-    width = F.least(F.col("i") + 4, F.col("n")) - F.greatest(F.col("i") - 5, F.lit(0))
-    return rows.select("user_id", "event_id", F.round(F.sqrt(F.greatest(high - low, F.lit(0.0)) / width), 6).alias("rms"))
+    made = signal.kernel(lambda s: signal.envelope(s, 9).tolist(), "array<double>")
+    rows = _clips(spark, sf_dir).select("clip_id", F.posexplode(made(F.col("samples"))).alias("pos", "rms"))
+    return _rounded(rows, "rms")
 
 
 _ISLANDS_SQL = (
@@ -651,17 +649,22 @@ def pause_histogram(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT user_id, event_id, value, lag(value) OVER w AS before, lead(value) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, event_id, CASE WHEN value / before > 4 THEN 'spike' ELSE 'dropout' END AS type, round(CASE WHEN value / before > 4 THEN value / before ELSE -20 * log10(value / before) END, 6) AS severity
-FROM s WHERE before > 0.005 AND value > 1e-6 AND (value / before > 4 OR (20 * log10(value / before) < -20 AND after > 2 * value))"""
+    """WITH f AS (SELECT vec_id AS clip_id, embedding AS e, unnest(range(0, 14))::INT AS frame FROM embeddings),
+l AS (SELECT clip_id, frame, sqrt(list_avg(list_transform(e[frame * 4 + 1:frame * 4 + 8], lambda x: x::DOUBLE * x::DOUBLE * CASE WHEN frame % 7 = 3 THEN 0.0001 WHEN frame % 7 < 3 THEN 0.01 ELSE 1 END))) AS rms FROM f),
+n AS (SELECT *, lag(rms) OVER w AS before, lead(rms) OVER w AS after, count(*) FILTER (rms < 0.001) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS quiet FROM l WINDOW w AS (PARTITION BY clip_id ORDER BY frame)),
+j AS (SELECT *, rms / before > 4 AS jumps, rms / before > 4 AND (quiet >= 4 OR before < 0.005) AS onset FROM n WHERE before > 1e-6)
+SELECT clip_id, 'spike' AS type, frame * 4 AS sample, round(rms / before, 5) AS severity FROM j WHERE jumps AND NOT onset
+UNION ALL SELECT clip_id, 'dropout', frame * 4, round(-20 * log10(rms / before), 5) FROM j WHERE NOT onset AND rms > 1e-6 AND 20 * log10(rms / before) < -20 AND after > 2 * rms"""
 )
 def glitch_spikes(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value").withColumns({"before": F.lag("value").over(order), "after": F.lead("value").over(order)})
-    rows = rows.where("before > 0.005 and value > 1e-6").withColumn("ratio", F.col("value") / F.col("before")).withColumn("db", 20 * F.log10("ratio"))
-    spike = F.col("ratio") > 4
-    hit = spike | ((F.col("db") < -20) & (F.col("after") > 2 * F.col("value")))
-    return rows.where(hit).select("user_id", "event_id", F.when(spike, "spike").otherwise("dropout").alias("type"), F.round(F.when(spike, F.col("ratio")).otherwise(-F.col("db")), 6).alias("severity"))
+    """Spikes and dropouts of clips whose frames are made soft and loud by turns."""
+    made = signal.kernel(lambda levels: [{"type": k, "sample": i, "severity": float(v)} for k, i, v in signal.level_glitches(np.array(levels), 4)], "array<struct<type:string,sample:int,severity:double>>")
+    levels = signal.frames(_clips(spark, sf_dir), 8, 4, plus_one=False)
+    turn = F.col("frame") % 7
+    scaled = levels.withColumn("rms", F.col("rms") * F.when(turn == 3, 0.01).when(turn < 3, 0.1).otherwise(1.0))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame", "rms"))), lambda x: x["rms"])
+    rows = scaled.groupBy("clip_id").agg(ordered.alias("levels")).select("clip_id", F.explode(made(F.col("levels"))).alias("g"))
+    return rows.select("clip_id", "g.type", "g.sample", F.round("g.severity", 5).alias("severity"))
 
 
 @query(
