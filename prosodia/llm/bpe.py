@@ -109,7 +109,8 @@ def round_trips(docs: DataFrame, path: str, pattern: str, with_ids: bool = False
 
     Each match of ``pattern`` is encoded separately, once for each distinct one that a worker meets; the ids are then
     decoded by the inverse mapping and compared with the text (``exact``). ``with_ids`` adds the ids themselves as
-    ``ids``. Null counts as empty. ``path`` is opened on the executors. Further columns of ``docs`` are ignored.
+    ``ids``. Null counts as empty. Repeated rows come out as often as they came in, null ids too; very long texts are
+    encoded whole. An empty table gives no rows. ``path`` is opened on the executors. Further columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

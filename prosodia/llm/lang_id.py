@@ -146,7 +146,8 @@ def predict(
 
     score is the cosine of the whole text's bundle with the nearest prototype, 0 at least. Null texts, texts without a
     letter and all texts where nothing was learnt are ``und`` with score 0; equal cosines take the first language in
-    order. Further columns of ``docs`` are ignored.
+    order. Repeated rows come out as often as they came in, null ids too; very long texts are read whole. An empty table
+    gives no rows. Further columns of ``docs`` are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,7 +132,8 @@ def near_duplicates(
     SimHashes (a pair that one of them just misses is caught by another); fingerprint is the first. component_id is the smallest doc_id
     that links reach, the document's own included. Null and blank texts have fingerprint zero and are linked like any
     other. Rows with a null id keep their row; component_id is null only if no document of the component has an id.
-    Repeated rows come out as often as they came in; further columns of ``docs`` are ignored. An empty table gives none.
+    Repeated rows come out as often as they came in; further columns of ``docs`` are ignored. Very long texts are read
+    whole. An empty table gives none.
     """
     printed = materialise(fingerprints(docs, width, tables, id_col, text_col))
     prints = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))

@@ -69,3 +69,29 @@ def test_stages_keep_columns_and_repeated_ids(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "no id but words"), (1, "other words here"), (2, "some words")]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_very_long_texts_go_through(spark, tmp_path):
+    draw = random.Random(6)
+    words = [f"wo{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]
+    long = " ".join(draw.choices(words, k=60_000))
+    item = " ".join(draw.choices(words, k=40))
+    near = long.replace(" ", "  ", 5) + " one more"
+    rows = [(1, long, "en", "s", 1, 0), (2, near, "en", "s", 1, 0), (3, long.upper(), "en", "s", 1, 0), (4, " ".join(draw.choices(words, k=50_000)) + " " + item, "en", "s", 1, 0), (5, "x" * 200_000, None, "s", 1, 0)]
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 2 in got and not {1, 3, 4} & set(got) and got[2]["exact"]
+
+
+def test_near_copies_of_one_text_in_hundreds(spark):
+    draw = random.Random(7)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(500):
+        copy = list(words)
+        copy[draw.randrange(400)] = f"n{i}"
+        rows.append((1000 - i, " ".join(copy), "en", "s", 1, 0))
+    rows.append((5000, " ".join(draw.choices(words, k=400)), "en", "s", 1, 0))
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [501, 5000]
