@@ -566,7 +566,9 @@ def remove_repeats(
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 26)))
     crowded = crowded_minimizers(slim, length, anchor, least=least_crowded)
     dealt = slim.mapInArrow(_deal(length, anchor, buckets, chunk, crowded), "bucket long, settled boolean, rows binary")
-    dealt = dealt.repartition(min(tasks, 2 * buckets), "bucket").sortWithinPartitions("bucket")
+    # Buckets are even in size and numbered, so each task is given as many of them instead of what hashes to it.
+    n = min(tasks, 2 * buckets)
+    dealt = dealt.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
     found = materialise(dealt.mapInArrow(_settle_buckets(buckets, crowd), _SPAN_SCHEMA))
 
     texts = slim.repartition(tasks, "doc_id")
