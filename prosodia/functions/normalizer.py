@@ -23,6 +23,7 @@ _TICKS = re.compile(r"`+([^`]+)`+")
 _MARKS = [re.compile(rf"\*{{{n}}}([^*]+)\*{{{n}}}|_{{{n}}}([^_]+)_{{{n}}}") for n in (3, 2, 1)]
 _BLANK_LINE = re.compile(r"\n[ \t\n\r\f]*\n")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
+_ODD_SPACE = re.compile(r"[\t\n\v\f\r\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _DEGREE = re.compile(r"\s*°\s*([CF])\b", _A)
 _PLUS_MINUS = re.compile(r"\s*±\s*", _A)
 _STREET = re.compile(r"((?<![0-9A-Za-z_])(?=[A-Za-z_])[^\W\d_'][^\W\d_']*(?:'[^\W\d_]*)*|(?<=[0-9A-Za-z_])'[^\W\d_']*)([ \t\n\r\f]+)[Ss]t\.([ \t\n\r\f]+((?:[^\W\d_]|')+))?")
@@ -124,14 +125,14 @@ STEPS: list[tuple[str, Callable[[str, IsWord | None], str]]] = [
     ("emphasis marks", lambda t, _: _MARKS[2].sub(_both, _MARKS[1].sub(_both, _MARKS[0].sub(_both, t)))),
     ("apostrophes", lambda t, _: t.replace("’", "'").replace("‘", "'")),
     ("paragraphs", lambda t, _: _BLANK_LINE.sub(".\n", t).replace("\n", " ")),
-    ("spaces", lambda t, _: "".join(" " if _is_space(c) else c for c in t) if _odd_space(t) else t),
+    ("spaces", lambda t, _: _ODD_SPACE.sub(" ", t)),
     ("degrees", lambda t, _: _DEGREE.sub(lambda m: " degrees " + ("Fahrenheit" if m[1] == "F" else "Celsius"), t)),
     ("plus or minus", lambda t, _: _PLUS_MINUS.sub(" plus or minus ", t)),
     ("symbols", lambda t, _: _symbols(t)),
     ("collapse", lambda t, _: _SPACES.sub(" ", t).strip()),
     ("dashes", lambda t, _: t.replace("—", " — ").replace("–", " — ")),
     ("ellipses", lambda t, _: t.replace("...", " … ").replace("…", " … ")),
-    ("street", lambda t, _: _STREET.sub(_street, t)),
+    ("street", lambda t, _: _STREET.sub(_street, t) if "St." in t or "st." in t else t),
     ("abbreviations", lambda t, _: abbreviations(t)),
     ("dotted capitals", lambda t, _: _DOTTED.sub(lambda m: m[0][:-1].replace(".", " "), t)),
     ("slashes", lambda t, _: _SLASH.sub(r"\1 \2", t)),
@@ -158,22 +159,24 @@ def _both(m: re.Match) -> str:
     return (m[1] or "") + (m[2] or "")
 
 
-def _is_space(c: str) -> bool:
-    return c.isspace() and not "\x1c" <= c <= "\x1f"
-
-
-_odd_space = re.compile(r"[\t\n\v\f\r\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-
-
 def _symbols(text: str) -> str:
     for sign, said in (("=", " "), ("_", " "), ("&", " and "), ("≈", " approximately "), ("§", " section ")):
         text = text.replace(sign, said)
     return text
 
 
+#: Steps that change nothing in a text without ASCII digits; no step before them makes any.
+NUMERIC = frozenset(
+    ("decades", "years", "timestamps", "clock", "ordinals", "currency", "percent", "letter and number", "split digits", "decimals", "numbers")
+)
+_digit = re.compile("[0-9]").search
+
+
 def normalize(text: str, is_word: IsWord | None = None) -> str:
-    for _, step in STEPS:
-        text = step(text, is_word)
+    numeric = _digit(text)
+    for name, step in STEPS:
+        if numeric or name not in NUMERIC:
+            text = step(text, is_word)
     return text
 
 

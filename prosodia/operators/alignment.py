@@ -98,12 +98,29 @@ def erratic_pacing(alignment: DataFrame) -> DataFrame:
     return judged.select("clip_id", "clause", "start_ms", "end_ms", F.col("cv").alias("variance"), _severity(F.col("z"), 2.5, 3.0).alias("severity"), "context")
 
 
+def clause_issues(alignment: DataFrame) -> DataFrame:
+    """The issues of rate_anomalies() and erratic_pacing() from one table of clauses and one sort of each clip's."""
+    clip = Window.partitionBy("clip_id")
+    rated = F.when((F.col("n_words") >= 3) & (F.col("rate") > 0), F.col("rate"))
+    varied = F.when((F.col("n_words") >= 4) & (F.col("cv") > 0), F.col("cv"))
+    stats = {"n_clauses": F.count("*").over(clip)}
+    for name, x in (("rate", rated), ("cv", varied)):
+        stats |= {f"{name}_x": x, f"{name}_n": F.count(x).over(clip), f"{name}_mean": F.avg(x).over(clip), f"{name}_sd": F.stddev_pop(x).over(clip)}
+    rows = clause_table(alignment).withColumns(stats).where("n_clauses >= 3")
+    z = lambda n: F.try_divide(F.col(f"{n}_x") - F.col(f"{n}_mean"), F.col(f"{n}_sd"))
+    fast = (F.col("rate_n") >= 3) & (F.col("rate_sd") >= F.col("rate_mean") * 0.05) & (F.col("rate_sd") > 0) & (F.abs(z("rate")) > LIMIT_Z)
+    uneven = (F.col("cv_n") >= 3) & (F.col("cv_sd") >= 0.01) & (z("cv") > LIMIT_Z)
+    issue = lambda kind, severity: F.struct(kind.alias("type"), severity.alias("severity"))
+    kind = F.when(z("rate") > 0, "rushed_segment").otherwise("slow_segment")
+    found = F.array(F.when(fast, issue(kind, _severity(F.abs(z("rate")), 2.5, 3.0))), F.when(uneven, issue(F.lit("erratic_pacing"), _severity(z("cv"), 2.5, 3.0))))
+    hit = rows.withColumn("i", F.explode(F.filter(found, lambda x: x.isNotNull())))
+    return hit.select("clip_id", "i.type", "start_ms", "end_ms", "i.severity", "context")
+
+
 def pacing(alignment: DataFrame) -> DataFrame:
     """The three pacing detectors as one table of issues."""
-    rates = rate_anomalies(alignment).select("clip_id", "type", "start_ms", "end_ms", "severity", "context")
     pauses = unexpected_pauses(alignment).select("clip_id", F.lit("unexpected_pause").alias("type"), "start_ms", "end_ms", "severity", "context")
-    erratic = erratic_pacing(alignment).select("clip_id", F.lit("erratic_pacing").alias("type"), "start_ms", "end_ms", "severity", "context")
-    return rates.unionByName(pauses).unionByName(erratic)
+    return clause_issues(alignment).unionByName(pauses)
 
 
 def pacing_summary(alignment: DataFrame) -> DataFrame:
@@ -124,22 +141,38 @@ def context(alignment: DataFrame, half: int = 4) -> DataFrame:
     return rows.select(*alignment.columns, full.alias("context"))
 
 
+def _joint(x: Column, before: Window, after: Window) -> tuple[Column, Column]:
+    """Mean and population deviation of two frames taken together, 0 for fewer than two values. Each frame's are exact and
+    put together by the difference of the means, so equal values deviate by nothing."""
+    n1, n2 = F.count(x).over(before), F.count(x).over(after)
+    m1, m2 = (F.coalesce(F.avg(x).over(w), F.lit(0.0)) for w in (before, after))
+    v1, v2 = (F.coalesce(F.var_pop(x).over(w), F.lit(0.0)) for w in (before, after))
+    n = n1 + n2
+    gap = F.when((n1 > 0) & (n2 > 0), m1 - m2).otherwise(F.lit(0.0))
+    mean = (m1 * n1 + m2 * n2) / n
+    spread = F.sqrt((v1 * n1 + v2 * n2 + gap * gap * n1 * n2 / n) / n)
+    return F.when(n >= 2, mean).otherwise(F.lit(0.0)), F.when(n >= 2, spread).otherwise(F.lit(0.0))
+
+
 def emphasis_anomalies(prominence: DataFrame, half: int = 7) -> DataFrame:
     """Words that stand out from the ``half`` content words before and after them.
 
-    Rows have clip_id, pos, word, rms, f0 (0 where unvoiced) and duration. The window counts content words only, so words
-    are numbered by the content words up to them and meet their neighbours by equality on that number: 2 x ``half`` rows
-    for each word, in one shuffle by clip.
+    Rows have clip_id, pos, word, rms, f0 (0 where unvoiced) and duration. The window counts content words only: these have
+    even places, function words the odd ones between, so one range of places before and one after hold the neighbours of
+    either, without the word itself. One shuffle by clip, no row is multiplied.
     """
     content = (~is_function(F.col("word"))).cast("int")
     running = _in_order().rowsBetween(Window.unboundedPreceding, 0)
-    rows = prominence.withColumn("content", content).withColumn("c", F.sum("content").over(running))
-    sides = rows.where("content = 1").select("clip_id", F.col("c").alias("near"), F.col("rms").alias("r"), F.when(F.col("f0") > 0, F.col("f0")).alias("f"), F.col("duration").alias("d"))
-    low = F.col("c") - F.when(F.col("content") == 1, half).otherwise(half - 1)
-    spread = rows.withColumn("near", F.explode(F.sequence(low, F.col("c") + half))).where("not (content = 1 and near = c)")
-    stat = lambda x, n: [F.when(F.count(x) >= 2, F.avg(x)).otherwise(F.lit(0.0)).alias(f"{n}_mean"), F.when(F.count(x) >= 2, F.stddev_pop(x)).otherwise(F.lit(0.0)).alias(f"{n}_sd")]
-    keys = ["clip_id", "pos", "word", "content", "rms", "f0", "duration"]
-    local = spread.join(sides, ["clip_id", "near"], "left").groupBy(*keys).agg(*stat("r", "rms"), *stat("f", "f0"), *stat("d", "dur"))
+    rows = prominence.withColumn("content", content)
+    rows = rows.withColumn("place", 2 * F.sum("content").over(running) + 1 - F.col("content"))
+    around = Window.partitionBy("clip_id").orderBy("place")
+    before, after = around.rangeBetween(-2 * half, -1), around.rangeBetween(1, 2 * half)
+    own = F.col("content") == 1
+    values = {"rms": F.when(own, F.col("rms")), "f0": F.when(own & (F.col("f0") > 0), F.col("f0")), "dur": F.when(own, F.col("duration"))}
+    stats = {}
+    for name, x in values.items():
+        stats[f"{name}_mean"], stats[f"{name}_sd"] = _joint(x, before, after)
+    local = rows.withColumns(stats)
     floor = lambda n: F.greatest(F.col(f"{n}_sd"), F.col(f"{n}_mean") * F.lit(0.05))
     ratio = lambda x, n: F.coalesce(F.try_divide(F.col(x) - F.col(f"{n}_mean"), floor(n)), F.lit(0.0))
     pitch = F.when((F.col("f0") > 0) & (F.col("f0_mean") > 0), ratio("f0", "f0")).otherwise(F.lit(0.0))
