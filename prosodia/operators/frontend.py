@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosodia.functions.arrow import arrow
@@ -15,6 +15,7 @@ from prosodia.functions.normalizer import normalized
 from prosodia.functions.sounding import Node, sound_out, stem_and_ending
 from prosodia.operators import homographs, lexicon, text
 from prosodia.operators.homographs import Rule
+from prosodia.session import once
 
 PLACE = ["doc_id", "para", "sent"]
 
@@ -92,53 +93,57 @@ def split_punctuation(word: Column) -> Column:
     return F.struct(prefix.alias("prefix"), core.alias("core"), F.substring(rest, F.char_length(core) + 1, F.char_length(rest)).alias("suffix"))
 
 
-def spoken_words(sentences: DataFrame, front: Frontend) -> tuple[DataFrame, DataFrame]:
-    """(place, pos, prefix, core, suffix) of each word of the normalised sentences, and their (place, hint, words)."""
+def spoken_words(sentences: DataFrame, front: Frontend) -> DataFrame:
+    """(place, pos, prefix, core, suffix, reading) of each word of the normalised sentences; ``reading`` is what context
+    rules say of it, null where none does."""
     spoken = sentences.select(*PLACE, "hint", normalized(F.col("sentence"), front.words).alias("spoken"))
-    words = F.filter(F.split("spoken", r"\s+"), lambda w: w != "")
-    rows = spoken.select(*PLACE, "hint", words.alias("words"))
-    placed = rows.select(*PLACE, F.posexplode("words").alias("pos", "word"))
-    return placed.select(*PLACE, "pos", split_punctuation(F.col("word")).alias("s")).select(*PLACE, "pos", "s.*"), rows
-
-
-def _sounded(front: Frontend):
+    rows = spoken.select(*PLACE, "hint", F.filter(F.split("spoken", r"\s+"), lambda w: w != "").alias("words"))
+    if front.rules:
+        rows = rows.withColumn("told", homographs.readings_of(F.col("words"), front.rules, F.col("hint")))
+    else:
+        rows = rows.withColumn("told", F.array().cast("array<struct<pos:int,word:string,reading:string>>"))
+    placed = rows.select(*PLACE, "told", F.posexplode("words").alias("pos", "word"))
+    reading = F.get(F.filter("told", lambda t: t["pos"] == F.col("pos")), F.lit(0))["reading"]
+    return placed.select(*PLACE, "pos", split_punctuation(F.col("word")).alias("s"), reading.alias("reading")).select(*PLACE, "pos", "s.*", "reading")
+
+
+def said_words(cores: DataFrame, front: Frontend) -> DataFrame:
+    """(core, source, ipa, rule) for distinct words as they are written: the cascade, then letter-to-sound for what it lacks."""
+    cores = once(cores.withColumn("word", F.lower("core")))
+    # Tables of distinct words, cut off from what made them: the plans of the cascade and of the sentences grow apart.
+    resolved = once(cores.join(lexicon.cascade(cores.select("word").distinct(), front.lexicon), "word"))
+    if not front.nodes:
+        return resolved.select("core", "source", "ipa", "rule")
     nodes, roots = front.nodes, front.roots
 
     @arrow("struct<ipa:string,rule:string>")
-    def run(words: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def sounded(words: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in words:
-            said = [stem_and_ending(w, lambda x: sound_out(x, nodes, roots)) for w in batch]
+            said = [("", "") if w is None else stem_and_ending(w, lambda x: sound_out(x, nodes, roots)) for w in batch]
             yield pd.DataFrame(said, columns=["ipa", "rule"])
 
-    return run
+    skipped = F.col("source") == "skip"
+    rows = resolved.withColumn("said", sounded(F.when(skipped, F.col("core"))))
+    new = skipped & (F.col("said.ipa") != "")
+    pick = lambda a, b, name: F.when(new, a).otherwise(b).alias(name)
+    return once(rows.select("core", pick(F.lit("lts"), F.col("source"), "source"), pick(F.col("said.ipa"), F.col("ipa"), "ipa"), pick(F.col("said.rule"), F.col("rule"), "rule")))
 
 
 def diagnosed(sentences: DataFrame, front: Frontend) -> DataFrame:
     """(doc_id, para, sent, pos, prefix, core, suffix, source, ipa, rule) of each word, stand-alone punctuation included with
-    an empty core. The cascade decides words once each; context rules decide occurrences, within their sentence."""
-    placed, rows = spoken_words(sentences, front)
-    named = placed.where("core != ''").withColumn("word", F.lower("core"))
-    resolved = lexicon.diagnose(named, front.lexicon)
-    if front.nodes:
-        unknown = resolved.where("source = 'skip'").select("core").distinct().withColumn("said", _sounded(front)(F.col("core")))
-        resolved = resolved.join(unknown.where("said.ipa != ''"), "core", "left")
-        new = F.col("said").isNotNull() & (F.col("source") == "skip")
-        resolved = resolved.withColumns(
-            {"source": F.when(new, "lts").otherwise(F.col("source")), "ipa": F.when(new, F.col("said.ipa")).otherwise(F.col("ipa")), "rule": F.when(new, F.col("said.rule")).otherwise(F.col("rule"))}
-        ).drop("said")
-    if front.rules:
-        found = homographs.readings(rows.select(*PLACE, "hint", "words"), front.rules, "hint").select(*PLACE, "pos", "reading")
-        resolved = resolved.join(found, [*PLACE, "pos"], "left")
-        # Gold owns a word that it holds whole, unless the word is a bare homograph.
-        bare = F.col("word").isin(*sorted(front.rules))
-        owned = F.col("source").isin("builtin", "custom") | ((F.col("source") == "gold") & (F.col("rule") == "") & ~bare)
-        told = F.col("reading").isNotNull() & ~owned
-        resolved = resolved.withColumns(
-            {"source": F.when(told, "homograph").otherwise(F.col("source")), "ipa": F.when(told, F.col("reading")).otherwise(F.col("ipa")), "rule": F.when(told, "").otherwise(F.col("rule"))}
-        )
-    columns = [*PLACE, "pos", "prefix", "core", "suffix"]
-    alone = placed.where("core = ''").select(*columns, *(F.lit(None).cast("string").alias(c) for c in ("source", "ipa", "rule")))
-    return resolved.select(*columns, "source", "ipa", "rule").unionByName(alone)
+    an empty core. Words are decided once each, occurrences by context rules within their sentence: the sentences are made
+    twice, once for the words that there are and once to be joined with them."""
+    placed = spoken_words(sentences, front)
+    said = said_words(placed.where("core != ''").select("core").distinct(), front).withColumnRenamed("core", "key")
+    # Punctuation has no word to meet; its rows are spread instead of meeting at one empty key.
+    apart = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*PLACE, "pos"), F.lit(4096)).cast("string"))
+    rows = placed.withColumn("key", F.when(F.col("core") == "", apart).otherwise(F.col("core"))).join(said, "key", "left")
+    # Gold owns a word that it holds whole, unless the word is a bare homograph.
+    bare = F.lower("core").isin(*sorted(front.rules))
+    owned = F.col("source").isin("builtin", "custom") | ((F.col("source") == "gold") & (F.col("rule") == "") & ~bare)
+    told = F.col("reading").isNotNull() & ~owned
+    pick = lambda value, name: F.when(told, value).otherwise(F.col(name)).alias(name)
+    return rows.select(*PLACE, "pos", "prefix", "core", "suffix", pick(F.lit("homograph"), "source"), pick(F.col("reading"), "ipa"), pick(F.lit(""), "rule"))
 
 
 def diagnose_text(docs: DataFrame, front: Frontend, text_col: str = "text") -> DataFrame:
@@ -183,8 +188,8 @@ def tokenize_text(docs: DataFrame, front: Frontend, emphasis: bool = False, text
 def voiced_plan(groups: DataFrame) -> DataFrame:
     """Adds what is put between the groups of a text: clause places, silence behind each group, silence behind its
     paragraph, and whether it is the last of either."""
-    per = groups.groupBy("doc_id", "para").agg(F.count("*").alias("n_groups"), F.max("grp").alias("last_grp"))
-    rows = groups.join(per, ["doc_id", "para"])
+    para = Window.partitionBy("doc_id", "para")
+    rows = groups.withColumns({"n_groups": F.count("*").over(para), "last_grp": F.max("grp").over(para)})
     return rows.select(
         *groups.columns,
         text.clause_pauses(F.col("tokens")).alias("clause_places"),

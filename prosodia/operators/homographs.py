@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosodia.functions.constants import STRIPPED_FOR_CONTEXT
@@ -140,14 +140,10 @@ def resolve(ws: list[str], i: int, rules: dict[str, Rule], hint: bool = False) -
     return put(rule.inflected_default) if rule.inflected_default else None
 
 
-def readings(sentences: DataFrame, rules: dict[str, Rule], hint_col: str | None = None) -> DataFrame:
-    """One row for each occurrence of a ruled word in rows with an array column ``words``: (..., pos, word, reading).
-
-    Sentences are filtered by the plan before Python sees any; what Python gets is a sentence, never a document.
-    """
-    keys = F.array(*(F.lit(k) for k in sorted(rules)))
-    stems = "^(" + "|".join(sorted({k[:-1] if k.endswith(("e", "y")) else k for k in rules})) + ")"
-    hint = F.col(hint_col) if hint_col else F.lit(False)
+def readings_of(words: Column, rules: dict[str, Rule], hint: Column) -> Column:
+    """array<struct<pos, word, reading>> of the ruled words of a sentence, empty where the plan sees that there are none: only
+    the words of likely sentences reach Python."""
+    stems = "|".join(sorted({k[:-1] if k.endswith(("e", "y")) else k for k in rules}))
 
     @F.pandas_udf("array<struct<pos:int,word:string,reading:string>>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -159,10 +155,15 @@ def readings(sentences: DataFrame, rules: dict[str, Rule], hint_col: str | None
                 rows.append([{"pos": i, "word": w, "reading": r} for i, w, r in found if r is not None])
             yield pd.Series(rows)
 
-    low = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}]+", ""))
-    likely = sentences.where(F.exists("words", lambda w: low(w).rlike(stems) | F.array_contains(keys, low(w))))
+    likely = F.lower(F.array_join(words, " ")).rlike(rf"(?:^|[^\p{{L}}])(?:{stems})")
+    return run(F.when(likely, words).otherwise(F.array().cast("array<string>")), hint)
+
+
+def readings(sentences: DataFrame, rules: dict[str, Rule], hint_col: str | None = None) -> DataFrame:
+    """One row for each occurrence of a ruled word in rows with an array column ``words``: (..., pos, word, reading)."""
+    hint = F.col(hint_col) if hint_col else F.lit(False)
     rest = [c for c in sentences.columns if c != "words"]
-    return likely.select(*rest, F.explode(run("words", hint)).alias("r")).select(*rest, "r.*")
+    return sentences.select(*rest, F.explode(readings_of(F.col("words"), rules, hint)).alias("r")).select(*rest, "r.*")
 
 
 #: Rules for demonstration; users supply their own.

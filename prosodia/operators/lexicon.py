@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prosodia.functions.phonology import candidates, suffixed, will_column
 from prosodia.operators.text import lossy_runes
+from prosodia.session import once
 
 TIERS = ("custom", "gold", "silver")
 #: Rows and bytes of words and readings that may be sent to every task; longer lexicons are joined on their keys.
@@ -68,7 +69,7 @@ def cascade(words: DataFrame, lexicon: DataFrame, homographs: DataFrame | None =
     ``homographs`` keeps its default reading here, the occurrence decides elsewhere), gold, silver, hyphenated parts that
     all resolve, ``sounded`` (a letter-to-sound column over ``word``), skip.
     """
-    lexicon = _sent(lexicon)
+    lexicon, words = _sent(lexicon), once(words)
     found = _resolved(words, lexicon)
     wide = found.groupBy("word").pivot("tier", list(TIERS)).agg(F.first(F.struct("ipa", "rule")))
     parts = words.where("instr(word, '-') > 0").select("word", F.posexplode(F.split("word", "-")).alias("i", "part"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,19 +197,25 @@ def hints(paragraph: list[str]) -> list[bool]:
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
-def _vocabulary() -> Column:
-    return F.create_map(*(F.lit(x) for pair in sorted(VOCABULARY.items()) for x in pair))
+_IDS = np.zeros(max(map(ord, VOCABULARY)) + 2, np.int64)
+_IDS[[ord(c) for c in VOCABULARY]] = list(VOCABULARY.values())
 
 
-def token_ids(phonemes: Column) -> Column:
-    """Ids of the characters that the vocabulary has; the others vanish, see lossy_runes()."""
-    table = _vocabulary()
-    return F.filter(F.transform(F.split(phonemes, ""), lambda c: F.try_element_at(table, c)), lambda x: x.isNotNull()).cast("array<long>")
+@arrow("array<long>")
+def token_ids(phonemes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Ids of the characters that the vocabulary has; the others vanish, see lossy_runes(). One look-up for all characters of
+    a text; functions over arrays would go through them one at a time."""
+    for batch in phonemes:
+        out = []
+        for said in batch:
+            points = np.frombuffer((said or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+            ids = _IDS[np.minimum(points, len(_IDS) - 1)]
+            out.append(None if said is None else ids[ids > 0])
+        yield pd.Series(out, index=batch.index)
 
 
 def lossy_runes(phonemes: Column) -> Column:
-    table = _vocabulary()
-    return F.array_distinct(F.filter(F.split(phonemes, ""), lambda c: (c != "") & F.try_element_at(table, c).isNull()))
+    return F.array_distinct(F.filter(F.split(F.translate(phonemes, "".join(sorted(VOCABULARY)), ""), ""), lambda c: c != ""))
 
 
 def split_point(tokens: list[int], start: int, end: int) -> int:

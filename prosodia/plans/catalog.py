@@ -16,7 +16,7 @@ from prosodia.functions.constants import ABBREVIATIONS, CAPITAL_WORDS, FUNCTION_
 from prosodia.functions.phonology import past_column, possessive_column, syllables, will_column
 from prosodia.operators import alignment as al
 from prosodia.operators import distance, frontend, homographs, lexicon, signal, text
-from prosodia.session import table
+from prosodia.session import spread, table
 from prosodia.streaming import serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,10 @@ def _docs(spark: SparkSession, sf_dir: str, english: bool = False) -> DataFrame:
     return docs.where("lang = 'en'") if english else docs
 
 
+def _dealt_docs(spark: SparkSession, sf_dir: str, english: bool = False) -> DataFrame:
+    return spread(_docs(spark, sf_dir, english))
+
+
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = text.words(_docs(spark, sf_dir, english=True))
     return ws.select("doc_id", "pos", F.lower(text.strip_edges(F.col("word"))).alias("word")).where("word != ''")
@@ -258,7 +262,7 @@ STATIC_SQL = STATIC_SQL.replace("regexp_replace(text,", r"regexp_replace(regexp_
 def static_normalize(spark, sf_dir):
     from prosodia.functions.normalizer import static_steps
 
-    rows = _docs(spark, sf_dir).select("doc_id", static_steps(F.col("text")).alias("t"))
+    rows = _dealt_docs(spark, sf_dir).select("doc_id", static_steps(F.col("text")).alias("t"))
     return rows.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.char_length("t").cast("long").alias("n_chars"))
 
 
@@ -267,7 +271,7 @@ def normalize_exact(spark, sf_dir):
     from prosodia.functions.normalizer import normalized
 
     words = frozenset(w for _, w, _ in lexicon.SMALL)
-    return _docs(spark, sf_dir).select("doc_id", normalized(F.col("text"), words).alias("spoken"))
+    return _dealt_docs(spark, sf_dir).select("doc_id", normalized(F.col("text"), words).alias("spoken"))
 
 
 _LETTERS_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LETTERS.items()) + " END"
@@ -367,7 +371,7 @@ _SPOKEN_SQL = ", ".join(f"({i}, '{s}')" for i, s, _ in _SPOKEN)
 @query()
 def homograph_readings(spark, sf_dir):
     """All sentences of the documents, and some that have homographs, since the prose has none."""
-    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir), pattern="\n")).select("doc_id", "para", "sent", "sentence")
+    exact = text.sentences(text.paragraphs(_dealt_docs(spark, sf_dir), pattern="\n")).select("doc_id", "para", "sent", "sentence")
     more = spark.createDataFrame([(-i, 0, 0, s) for i, s, _ in _SPOKEN], "doc_id long, para int, sent int, sentence string")
     rows = exact.unionByName(more).withColumn("words", F.filter(F.split("sentence", r"\s+"), lambda w: w != "")).drop("sentence")
     return homographs.readings(rows, homographs.SMALL)
@@ -388,7 +392,7 @@ h AS (SELECT *, bool_or(past) OVER (PARTITION BY doc_id, para, island ORDER BY s
 @query(_TOLD_SQL + " SELECT doc_id, para, sent, coalesce(lag(told) OVER (PARTITION BY doc_id, para ORDER BY sent), false) AS hint FROM h")
 def narration_hints(spark, sf_dir):
     """Whether what precedes a sentence in its paragraph tells of the past."""
-    return frontend.hinted_sentences(_docs(spark, sf_dir)).select("doc_id", "para", "sent", "hint")
+    return frontend.hinted_sentences(_dealt_docs(spark, sf_dir)).select("doc_id", "para", "sent", "hint")
 
 
 _EDGE_SQL = text.char_class(text.STRIPPED).replace("'", "''").replace('\\"', '"')
@@ -402,7 +406,7 @@ kept AS (SELECT doc_id, para, sent, list_reduce(list_prepend([-5::BIGINT], list_
 
 @query(_BEATS_SQL + " SELECT doc_id, para, sent, unnest(kept)::INT AS pos FROM kept")
 def emphasis_beats(spark, sf_dir):
-    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir, english=True)))
+    exact = text.sentences(text.paragraphs(_dealt_docs(spark, sf_dir, english=True)))
     ws = F.filter(F.split("sentence", r"\s+"), lambda w: w != "")
     return exact.select("doc_id", "para", "sent", ws.alias("ws")).select("doc_id", "para", "sent", F.explode(text.emphasis_beats(F.col("ws"))).alias("pos"))
 
@@ -418,7 +422,7 @@ groups AS (SELECT doc_id, para, unnest(range(len(gs)))::INT AS grp, unnest(gs).n
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of sentences as they are spelled: packing by itself, without what phonemes do to lengths."""
-    exact = text.sentences(text.paragraphs(_docs(spark, sf_dir)))
+    exact = text.sentences(text.paragraphs(_dealt_docs(spark, sf_dir)))
     return frontend.token_groups(exact.withColumnRenamed("sentence", "phonemes"))
 
 
@@ -488,7 +492,7 @@ issues AS (SELECT clip_id, 'pacing' AS category, type, start_ms, end_ms, severit
 
 
 def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return al.of_words(text.words(_docs(spark, sf_dir)))
+    return al.of_words(text.words(_dealt_docs(spark, sf_dir)))
 
 
 def _rounded(frame: DataFrame, *names: str) -> DataFrame:

@@ -13,8 +13,8 @@ from prosodia.functions.arrow import arrow
 from prosodia.functions.constants import ABBREVIATIONS, ARPABET, LETTERS, NUCLEI, VOCABULARY
 from prosodia.functions.normalizer import normalized
 from prosodia.operators import frontend, homographs, lexicon, signal, speech, text
-from prosodia.plans.catalog import _SMALL_SQL, ALIGNED_SQL, _alignment, _clips, _docs, _listed, _occurrences, _rounded, _values, query
-from prosodia.session import table
+from prosodia.plans.catalog import _SMALL_SQL, ALIGNED_SQL, _alignment, _clips, _dealt_docs, _docs, _listed, _occurrences, _rounded, _values, query
+from prosodia.session import spread, table
 from prosodia.sources import files
 from prosodia.streaming import serving
 
@@ -120,22 +120,22 @@ def _front(spark: SparkSession) -> frontend.Frontend:
 
 @query()
 def diagnose_text(spark, sf_dir):
-    return frontend.diagnose_text(_docs(spark, sf_dir, english=True), _front(spark))
+    return frontend.diagnose_text(_dealt_docs(spark, sf_dir, english=True), _front(spark))
 
 
 @query()
 def diagnosis_report(spark, sf_dir):
-    return speech.diagnosis_report(frontend.diagnose_text(_docs(spark, sf_dir, english=True), _front(spark)), "small", sources="gold")
+    return speech.diagnosis_report(frontend.diagnose_text(_dealt_docs(spark, sf_dir, english=True), _front(spark)), "small", sources="gold")
 
 
 @query()
 def phonemize(spark, sf_dir):
-    return frontend.phonemize(_docs(spark, sf_dir, english=True), _front(spark), emphasis=True)
+    return frontend.phonemize(_dealt_docs(spark, sf_dir, english=True), _front(spark), emphasis=True)
 
 
 @query()
 def tokenize_text(spark, sf_dir):
-    groups = frontend.tokenize_text(_docs(spark, sf_dir, english=True), _front(spark))
+    groups = frontend.tokenize_text(_dealt_docs(spark, sf_dir, english=True), _front(spark))
     return groups.select("doc_id", "para", "grp", "n_sentences", F.size("tokens").alias("n_tokens"), F.size("segments").alias("n_segments"))
 
 
@@ -152,7 +152,7 @@ def phonemize_templates(spark, sf_dir):
     o = table(spark, sf_dir, "orders", "o_orderkey")
     word = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("o_orderkey") % 8 + 1).cast("int"))
     docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("“"), word, F.lit(",” to the cat")).alias("text"))
-    return frontend.phonemize(docs, _front(spark))
+    return frontend.phonemize(spread(docs), _front(spark))
 
 
 # --- symbols, letters and sounds ----------------------------------------------------------------------------------------
@@ -166,7 +166,7 @@ _SYMBOLS_SQL = "".join("\\" + c if c in "\\[]^-&" else c for c in sorted(VOCABUL
 def lossy_symbols(spark, sf_dir):
     """The characters of each text that the vocabulary would lose, taking the text as a reading."""
     sorted_runes = F.array_sort(text.lossy_runes(F.col("text")))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(sorted_runes, "").alias("lossy"))
+    return _dealt_docs(spark, sf_dir).select("doc_id", F.array_join(sorted_runes, "").alias("lossy"))
 
 
 @arrow("array<string>")
@@ -474,14 +474,14 @@ def speech_requests(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT event_id, props AS text, event_type AS voice, round(0.5 + value / 200, 6) AS speed FROM events WHERE coalesce(props, '') <> '')
-SELECT event_id AS job_id, floor(len(string_split(text, ' ')) * 0.08::DOUBLE / speed * 24000)::INT AS n_samples, voice FROM r"""
+    """WITH r AS (SELECT event_id, props AS text, event_type AS voice, round(0.5 + value / 200, 6) AS speed FROM events WHERE coalesce(props, '') <> ''),
+n AS (SELECT *, floor(len(string_split(text, ' ')) * 0.08::DOUBLE / speed * 24000)::INT AS n_samples FROM r)
+SELECT event_id AS job_id, n_samples, (23 + 4 * ((44 + 2 * n_samples + 2) // 3))::INT AS format_at FROM n"""
 )
 def job_results(spark, sf_dir):
-    """Jobs through validation, a stand-in synthesiser and envelopes; what the envelopes say."""
+    """Jobs through validation, a stand-in synthesiser and envelopes."""
     e = table(spark, sf_dir, "events", "event_id", "event_type", "value", "props")
     jobs = e.select(F.col("event_id").alias("job_id"), F.col("props").alias("text"), F.col("event_type").alias("voice"), F.round(0.5 + F.col("value") / 200, 6).alias("speed"), F.lit("wav").alias("format"))
     done = serving.responses(serving.synthesised(serving.validated(jobs), lambda: serving.tone))
-    output = F.from_json("body", "output struct<audio: string, duration_seconds: double, voice: string>")["output"]
-    n = (F.octet_length(F.unbase64(output["audio"])) - 44) / 2
-    return done.select("job_id", n.cast("int").alias("n_samples"), output["voice"].alias("voice"))
+    # Where the format comes in the envelope says how long the audio before it is.
+    return done.select("job_id", F.round(F.col("seconds") * 24_000).cast("int").alias("n_samples"), F.instr("body", '"format"').alias("format_at"))

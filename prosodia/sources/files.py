@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosodia.functions.arrow import arrow
+from prosodia.operators.signal import blend, hot_colour
 
 RATE = 24_000
 
@@ -98,8 +99,6 @@ def encode_png(pixels: np.ndarray) -> bytes:
 
 def spectrogram_png(levels: np.ndarray) -> bytes:
     """Frames by bins in decibels from -80 to 0, low frequencies at the bottom."""
-    from prosodia.operators.signal import hot_colour
-
     ramp = np.array([hot_colour(i / 255) for i in range(256)], np.uint8)
     shade = np.clip((np.asarray(levels) + 80) / 80 * 255, 0, 255).astype(np.uint8)
     return encode_png(ramp[shade.T[::-1]])
@@ -148,8 +147,6 @@ def style_for(requests: DataFrame, voices: DataFrame) -> DataFrame:
 
 def blended(voices: DataFrame, one: str, two: str, weight: float) -> DataFrame:
     """A further voice ``A+B@P`` of two, P the share of the second in percent."""
-    from prosodia.operators.signal import blend
-
     a = voices.where(F.col("name") == one).select("row", F.col("style").alias("a"))
     b = voices.where(F.col("name") == two).select("row", F.col("style").alias("b"))
     name = f"{one}+{two}@{round(weight * 100)}"

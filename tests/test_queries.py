@@ -58,3 +58,18 @@ def test_word_distance_over_whole_turns(spark, tmp_path):
     spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = catalog.QUERIES["word_distance"](spark, str(tmp_path)).collect()
     assert {(r["turn"], r["distance"]) for r in got} == {(1, 15), (2, 58)}
+
+
+def test_functions_need_no_package_on_the_executors(tmp_path):
+    """The driver alone has the package on its path: workers start in a folder without it."""
+    code = f"""
+import sys, os
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+import __spark_entry__ as e
+from prosodia.session import session
+spark = session("apart", "local[2]", 2)
+for name in ("sounded_words", "diagnose_text", "phonemize_templates", "wav_round_trip", "structural_flags", "timeline_joins"):
+    assert e.queries()[name](spark, {SF!r}).count() > 0
+"""
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
