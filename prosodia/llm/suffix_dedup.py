@@ -569,14 +569,15 @@ def remove_repeats(
     # Buckets are even in size and numbered, so each task is given as many of them instead of what hashes to it.
     n = min(tasks, 2 * buckets)
     dealt = dealt.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
-    found = materialise(dealt.mapInArrow(_settle_buckets(buckets, crowd), _SPAN_SCHEMA))
+    # Each of the three steps moves about as much as the table has; what one has moved goes before the next begins.
+    found = materialise(dealt.mapInArrow(_settle_buckets(buckets, crowd), _SPAN_SCHEMA), free=True)
 
     texts = slim.repartition(tasks, "doc_id")
     each = lambda frame: frame.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "ask")).alias("found"))
     asked = each(found.where("ask != -1"))
     fetched = texts.join(asked, "doc_id").select("doc_id", "text", "found").mapInArrow(_fetch(length), "m long, doc_id long, start int, piece binary")
     fetched = fetched.repartition(tasks, "m").sortWithinPartitions("m", "doc_id")
-    merged = fetched.mapInArrow(_merge_groups(length), _SPAN_SCHEMA)
+    merged = materialise(fetched.mapInArrow(_merge_groups(length), _SPAN_SCHEMA), free=True)
     spans = each(found.where("ask = -1").unionByName(merged))
     schema = T.StructType([T.StructField(n, T.StringType() if n in ("kept_sha256", "spans") else T.LongType()) for n in _OUT])
     return texts.join(spans, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_remove, schema)

@@ -1,9 +1,11 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 
+from prosodia.llm import shared
 from prosodia.llm import suffix_dedup as sd
 
 
@@ -80,6 +82,34 @@ def test_minimizers_of_long_texts_come_in_parts(spark, monkeypatch):
     assert len(whole) and set(whole) == set(sd.crowded_minimizers(slim, 50, 24, least=40))
 
 
+def shuffled(spark):
+    """Bytes of shuffles on disk, once they no longer change: Spark deletes them in the background."""
+    size, last = -1, -2
+    while size != last:
+        time.sleep(0.5)
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        last, size = size, 0
+        while files.hasNext():
+            file = files.next()
+            size += file.length() if file.getName().startswith("shuffle_") else 0
+    return size
+
+
+def test_what_a_step_has_moved_is_deleted_before_the_next(spark, monkeypatch):
+    monkeypatch.setattr(sd, "crowded_minimizers", lambda *_, **__: np.zeros(0, np.uint64))  # its look is bounded and stays
+    draw = random.Random(6)
+    rows = [(i, "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=8000))) for i in range(200)]
+    rows += [(200 + i, rows[i][1][100:3000] + "." + rows[i + 1][1]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    docs.count()
+    before = shuffled(spark)
+    out = sd.remove_repeats(docs)
+    assert shuffled(spark) - before < 0.1 * sum(len(t) for _, t in rows)
+    assert found(out) == brute(rows)
+    assert spark.conf.get(shared.CLEANUP) == "false"
+    docs.unpersist()
+
+
 def test_transform_sorts_all_suffixes():
     draw = random.Random(4)
     strings = [bytes(draw.choices(b"ab", k=draw.randint(0, 30))) for _ in range(20)] + [b"abab" * 9] * 3
