@@ -17,6 +17,8 @@ BUCKET_KEYS = 400_000
 SALT_ROWS = 512
 #: Groups with more than one in so many of all rows are fewer than this, so they may be sent to every task.
 HOT_GROUPS = 100_000
+#: Words of 64 bits that mark copied digests, at most (a power of two). Beyond it more texts are moved in vain, none is lost.
+MARK_WORDS = 1 << 18
 
 
 def sha256(norm: Column) -> Column:
@@ -52,6 +54,22 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest string, hit boolean")
 
 
+def marked(texts: DataFrame, digests: DataFrame, count: int) -> DataFrame:
+    """The texts whose digest may be one of ``count`` ``digests``, where they lie: no text is moved.
+
+    Each digest sets one bit in a table that is sent to every task, with sixteen bits for each up to ``MARK_WORDS`` words. A
+    digest that is among them always passes; another does by chance, about one in sixteen, more beyond that bound.
+    """
+    words = min(MARK_WORDS, 1 << max(0, math.ceil(count / 4) - 1).bit_length())
+    # Neither a remainder nor another expression that may be null: a check for null would hash the whole texts once more.
+    spot = F.xxhash64(F.col("digest"), F.lit(11)).bitwiseAND(F.lit(64 * words - 1))
+    bit = F.col("_spot").bitwiseAND(F.lit(63)).cast("int")
+    marks = digests.select(spot.alias("_spot")).groupBy(F.shiftright("_spot", 6).alias("_word"))
+    marks = marks.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    seen = (F.shiftright("_spot", 6) == F.col("_word")) & (F.getbit("_bits", bit) == 1)
+    return texts.withColumn("_spot", spot).join(F.broadcast(marks), seen, "left_semi").drop("_spot")
+
+
 def exact_classes(
     docs: DataFrame,
     in_snapshot: Column,
@@ -76,8 +94,9 @@ def exact_classes(
     given back, in parts of about ``SALT_ROWS`` rows of a group.
     """
     norm = ascii_lower(F.col(text_col))
+    known = lambda text: F.coalesce(digest(text), F.lit(""))  # noqa: E731  never null, or joins would hash each text twice to see
     rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), digest(norm).alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
+        docs.select(F.col(id_col).alias("doc_id"), known(norm).alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
     )
     group = lambda side: side.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     old = materialise(group(rows.where("old")))
@@ -89,15 +108,17 @@ def exact_classes(
     classes = materialise(met.unionByName(screened.where("not hit").drop("hit")))
 
     several = classes.where("n > 1").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).select("digest", "keep_id", "salts", "n")
-    least = max(SALT_ROWS, (classes.agg(F.sum("n")).first()[0] or 0) // HOT_GROUPS)
+    total, copied = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
+    least = max(SALT_ROWS, total // HOT_GROUPS)
     hot = several.where(F.col("n") > least)
-    # Ids meet their classes first, without texts; texts then meet ids, whose keys no group of copies makes frequent.
+    # Ids meet their classes first, without texts; texts that may have copies then meet ids, whose keys no group of copies
+    # makes frequent.
     ids = rows.select("doc_id", "digest").distinct()
     cold = ids.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(several.where(F.col("n") <= least), "digest")
     wanted = ids.join(F.broadcast(hot), "digest").unionByName(cold)
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "keep_id", "salts")
-    texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    member = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).drop("_id", "_digest")
+    texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("digest", known(F.col("norm")))
+    member = marked(texts, several, copied).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).drop("_id", "_digest")
     member = materialise(member.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))
     stays = member.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "salts").agg(F.min("norm").alias("stays"))
     stays = stays.select("digest", "stays", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))

@@ -66,3 +66,45 @@ def test_fuse_filter_holds_all_and_few_others(n):
     assert fuse.contains(held, keys).all()
     others = draw.integers(0, 1 << 64, 100_000, dtype=np.uint64)
     assert fuse.contains(held, others).mean() < 1e-3
+
+
+def moved_bytes(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    none = gateway.new_array(gateway.jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("words", [1 << 18, 1])
+def test_only_texts_with_copies_are_moved(spark, tmp_path, monkeypatch, words):
+    monkeypatch.setattr(exact_dedup, "MARK_WORDS", words, raising=False)
+    draw = random.Random(2)
+    rows = [(i, "".join(draw.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=20_000))) for i in range(300)]
+    rows += [(300 + i, t.upper()) for i, (_, t) in enumerate(rows[:10])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    before, threshold = moved_bytes(spark), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")  # a table of any size worth the name is not sent whole
+    try:
+        got = exact_dedup.exact_classes(spark.read.parquet(f"{tmp_path}/docs"), exact_dedup.older_half()).collect()
+    finally:
+        spark.conf.unset(threshold)
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert moved_bytes(spark) - before < 0.5 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("words, passes", [(1 << 18, 0.15), (4, 1.0)])
+def test_marks_pass_every_copied_digest(spark, monkeypatch, words, passes):
+    monkeypatch.setattr(exact_dedup, "MARK_WORDS", words)
+    digests = spark.range(5000).select(F.col("id").cast("string").alias("digest"))
+    got = {r[0] for r in exact_dedup.marked(digests, digests.where("int(digest) < 1000"), 1000).collect()}
+    assert {str(i) for i in range(1000)} <= got
+    assert len(got) - 1000 <= passes * 4000
+
+
+def test_digests_that_are_null_lose_no_row(spark):
+    rows = [(1, "a"), (2, "A"), (3, "b"), (4, "c"), (5, "B")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_classes(docs, F.lit(False), digest=lambda norm: F.when(norm == "c", F.lit("c"))).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
