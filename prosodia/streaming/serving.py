@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -76,27 +77,46 @@ def stub_seconds(text: Column, speed: Column) -> Column:
     return F.size(F.filter(F.split(text, " "), lambda w: w != "")) * F.lit(0.08) / speed
 
 
-def synthesised(requests: DataFrame, synthesiser: Callable[[], Callable[[str, str, float], Sequence[float]]]) -> DataFrame:
-    """Adds ``samples``, ``seconds`` and ``failed``. ``synthesiser`` is called once in each task and gives a function of
-    text, voice and speed, so a model is loaded once for many requests; what it raises goes to ``failed``. Requests are
-    small and take long, so they are dealt evenly first."""
+#: Bytes of samples, or of what is made of them, that a task holds before it hands them on.
+PART = 1 << 23
+
+
+def synthesised(requests: DataFrame, synthesiser: Callable[[], Callable[[str, str, float], Sequence[float]]], encoded: bool = False) -> DataFrame:
+    """Adds ``samples``, ``seconds`` and ``failed``, or where ``encoded`` the file in base64 as ``audio`` in place of samples,
+    so that these never leave the task. ``synthesiser`` is called once in each task and gives a function of text, voice and
+    speed, so a model is loaded once for many requests; what it raises goes to ``failed``. Requests are small and take long,
+    so they are dealt evenly first; what is made of them is large, so it is handed on every ``PART`` bytes."""
+    from prosodia.sources.files import encode_wav
+
+    made = (lambda samples: base64.b64encode(encode_wav(samples)).decode()) if encoded else (lambda samples: samples)
+    name, kind, width = ("audio", "string", 1) if encoded else ("samples", "array<float>", 4)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         speak = synthesiser()
         for batch in batches:
-            samples, failed = [], []
-            for text, voice, speed in zip(batch["text"], batch["voice"], batch["speed"], strict=True):
+            low, size, out, seconds, failed = 0, 0, [], [], []
+            done = lambda high: batch.iloc[low:high].assign(**{name: out}, seconds=seconds, failed=failed)  # noqa: B023, E731
+            for i, (text, voice, speed) in enumerate(zip(batch["text"], batch["voice"], batch["speed"], strict=True), 1):
                 try:
-                    samples.append(np.asarray(speak(text, voice, float(speed)), np.float32))
+                    samples = np.asarray(speak(text, voice, float(speed)), np.float32)
+                    out.append(made(samples))
+                    seconds.append(len(samples) / RATE)
                     failed.append(None)
+                    size += width * len(out[-1])
                 except Exception as e:  # noqa: BLE001  a request that fails must not fail the others
-                    samples.append(None)
+                    del out[i - 1 - low :], seconds[i - 1 - low :]
+                    out.append(None)
+                    seconds.append(None)
                     failed.append(str(e))
-            yield batch.assign(samples=samples, seconds=[len(s) / RATE if s is not None else None for s in samples], failed=failed)
+                if size >= PART:
+                    yield done(i)
+                    low, size, out, seconds, failed = i, 0, [], [], []
+            if out:
+                yield done(len(batch))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
     dealt = requests.where("error is null").repartition(max(requests.sparkSession.sparkContext.defaultParallelism, 1))
-    return dealt.mapInPandas(run, f"{kinds}, samples array<float>, seconds double, failed string")
+    return dealt.mapInPandas(run, f"{kinds}, {name} {kind}, seconds double, failed string")
 
 
 def tone(text: str, voice: str, speed: float) -> np.ndarray:
@@ -109,7 +129,8 @@ def responses(done: DataFrame) -> DataFrame:
     """Output or error envelopes as JSON in ``body``."""
     from prosodia.sources.files import wav_of
 
-    output = F.struct(F.translate(F.base64(wav_of("samples")), "\r\n", "").alias("audio"), "format", F.lit(RATE).alias("sample_rate"), F.col("seconds").alias("duration_seconds"), "voice")
+    audio = F.col("audio") if "audio" in done.columns else F.translate(F.base64(wav_of("samples")), "\r\n", "")
+    output = F.struct(audio.alias("audio"), "format", F.lit(RATE).alias("sample_rate"), F.col("seconds").alias("duration_seconds"), "voice")
     body = F.when(F.col("failed").isNull(), F.to_json(F.struct(output.alias("output")))).otherwise(F.to_json(F.struct(F.concat(F.lit("TTS synthesis failed: "), F.col("failed")).alias("error"))))
     return done.withColumn("body", body)
 
@@ -184,7 +205,7 @@ def serve(jobs: DataFrame, post: Callable[[DataFrame, int], None], synthesiser,
     def batch(frame: DataFrame, number: int) -> None:
         checked = validated(frame)
         refused = checked.where("error is not null").select("job_id", F.to_json(F.struct("error")).alias("body"))
-        done = responses(synthesised(checked, synthesiser)).select("job_id", "body")
+        done = responses(synthesised(checked, synthesiser, encoded=True)).select("job_id", "body")
         post(refused.unionByName(done), number)
 
     writer = jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

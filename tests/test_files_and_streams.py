@@ -81,3 +81,51 @@ def test_windows_of_a_stream_are_those_of_a_batch(spark, tmp_path):
     query = serving.windowed(stream, width="1 day").writeStream.format("memory").queryName("windows_seen").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("windows_seen").collect())) == sorted(map(tuple, serving.windowed(events, width="1 day").collect()))
+
+
+def test_a_failure_among_parts_is_its_own_row(spark):
+    from pyspark.sql import functions as F
+
+    asked = spark.range(40, numPartitions=1).select("id", F.lit("a b c").alias("text"), F.when(F.col("id") == 7, "bad").otherwise("v").alias("voice"), F.lit(1.0).alias("speed"), F.lit("wav").alias("format"))
+
+    def synthesiser():
+        def speak(text, voice, speed):
+            if voice == "bad":
+                raise ValueError("no such voice")
+            return np.zeros(100_000, np.float32)
+
+        return speak
+
+    for encoded in (False, True):
+        done = serving.synthesised(serving.validated(asked), synthesiser, encoded=encoded).coalesce(1)
+        assert sorted((r["id"], r["failed"]) for r in done.select("id", "failed").collect()) == [(i, "no such voice" if i == 7 else None) for i in range(40)]
+
+
+def test_encoded_answers_are_those_of_samples(spark):
+    jobs = spark.createDataFrame([(1, "say this now", "v", 1.0, "wav"), (2, "and \"this\"", "w", 0.7, "mp3")], "job_id long, text string, voice string, speed double, format string")
+    bodies = [sorted((r["job_id"], r["body"]) for r in serving.responses(serving.synthesised(serving.validated(jobs), lambda: serving.tone, encoded=e)).collect()) for e in (False, True)]
+    assert bodies[0] == bodies[1] and len(bodies[0]) == 2
+
+
+def test_no_part_is_larger_than_its_bound():
+    """The function that a task runs, on one batch of many requests."""
+    import pandas as pd
+
+    seen = {}
+
+    class Frame:
+        schema, sparkSession = [], type("S", (), {"sparkContext": type("C", (), {"defaultParallelism": 1})})
+
+        def where(self, _):
+            return self
+
+        def repartition(self, _):
+            return self
+
+        def mapInPandas(self, run, kinds):
+            seen["run"] = run
+
+    serving.synthesised(Frame(), lambda: lambda *_: np.zeros(1 << 18, np.float32))
+    batch = pd.DataFrame({"text": ["x"] * 100, "voice": ["v"] * 100, "speed": [1.0] * 100})
+    parts = list(seen["run"](iter([batch])))
+    assert sum(map(len, parts)) == 100 and max(sum(4 * len(x) for x in p["samples"]) for p in parts) <= serving.PART + (1 << 20)
