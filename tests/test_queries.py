@@ -73,3 +73,21 @@ for name in ("sounded_words", "diagnose_text", "phonemize_templates", "wav_round
 """
     env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
+
+
+def _as_twin(spark, duck, folder, name, table):
+    con = duck.cursor()
+    con.execute(f"CREATE OR REPLACE TEMP VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    con.execute("SET TimeZone = 'UTC'")
+    got = {tuple(r) for r in catalog.QUERIES[name](spark, str(folder)).collect()}
+    want = con.execute(catalog.ORACLE_SQL[name]).fetchdf()
+    con.execute(f"DROP VIEW temp.{table}")
+    return got, {tuple(r) for r in want.itertuples(index=False)}
+
+
+def test_numbers_beyond_a_thousand_million(spark, duck, tmp_path):
+    keys = [1_003_009, 1_003_008, 2_006_018_054, 5, 1_003_010, 3_000_000]
+    rows = [(k, 27 if k == 1_003_009 else 3) for k in keys] + [(1_003_009, 1_000_000_000 - 1_003_009 * 997)]
+    spark.createDataFrame([r for r in rows if r[1] >= 0], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, want = _as_twin(spark, duck, tmp_path, "number_words", "lineitem")
+    assert got == want and any(k * 997 > 10**9 for k, *_ in got)
