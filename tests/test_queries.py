@@ -91,3 +91,10 @@ def test_numbers_beyond_a_thousand_million(spark, duck, tmp_path):
     spark.createDataFrame([r for r in rows if r[1] >= 0], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got, want = _as_twin(spark, duck, tmp_path, "number_words", "lineitem")
     assert got == want and any(k * 997 > 10**9 for k, *_ in got)
+
+
+def test_numerals_beside_letters_whose_capitals_are_two(spark, duck, tmp_path):
+    said = ["Großim ßIV x", "ﬁx ıv ſi iſ vﬁ", "the mix IX, xiv_ é​VI İI mdcı"]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").selectExpr("*", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = _as_twin(spark, duck, tmp_path, "roman_numerals", "documents")
+    assert got == want and "IV" in {r[0] for r in got}
